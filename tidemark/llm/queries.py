@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, minhash_dedup, packing, token_counts, toxicity
+from tidemark.llm import bm25_search, decontaminate, language_id, minhash_dedup, packing, resharding, secret_scan, token_counts, toxicity, url_filter
 from tidemark.llm.storage import table
 
 
+#: Shards of the layout that op3 starts from; its rows lie there by their source.
+OLD_SHARDS = 16
+#: op10 takes the documents whose id it divides as queries.
+QUERY_EVERY = 20
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -30,9 +46,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op4_packing, op5_toxicity, op6_decontamination, op7_language_id, op9_minhash_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25_search.search(docs, queries)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_url_filter, op2_token_counts, op3_resharding, op4_packing, op5_toxicity, op6_decontamination, op7_language_id,
+        op8_secret_scan, op9_minhash_dedup, op10_bm25_search,
+    )
+}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op8_secret_scan": secret_scan.ORACLE}
