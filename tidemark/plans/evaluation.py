@@ -124,12 +124,12 @@ def sweep(spark, sf_dir):
     return r.select("low", "high", F.round("recall", 6).alias("recall"), "false_positives", (place == 1).alias("chosen"))
 
 
-@query("zero_loss_regions", f"WITH {FRAMES}, c AS (SELECT a * 2 AS low, b AS rest FROM range(1, 15) x(a), range(0, 20) y(b)), r AS (SELECT low, rest, avg(CAST(gm < low AND k % 20 >= rest AS INTEGER)) AS share, count(*) FILTER (label = 'bird' AND gm < low AND k % 20 >= rest) AS birds FROM frames, c GROUP BY 1, 2) SELECT low, rest, round(share, 6) AS share FROM r WHERE birds = 0 ORDER BY share DESC, low, rest LIMIT 10")
+@query("zero_loss_regions", f"WITH {FRAMES}, c AS (SELECT a * 10 + 20 AS low, b AS rest FROM range(1, 15) x(a), range(0, 20) y(b)), r AS (SELECT low, rest, avg(CAST(gm < low AND k >= 80 + rest AS INTEGER)) AS share, count(*) FILTER (label = 'bird' AND gm < low AND k >= 80 + rest) AS birds FROM frames, c GROUP BY 1, 2) SELECT low, rest, round(share, 6) AS share FROM r WHERE birds = 0 ORDER BY share DESC, low, rest LIMIT 10")
 def zero_loss_regions(spark, sf_dir):
     """280 regions; rows are first grouped by what the regions test."""
-    configs = spark.createDataFrame([(a * 2, b) for a in range(1, 15) for b in range(20)], "low long, rest long")
-    by = frames(spark, sf_dir).groupBy("gm", (F.col("k") % 20).alias("r")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "bird").alias("birds"))
-    inside = (F.col("gm") < F.col("low")) & (F.col("r") >= F.col("rest"))
+    configs = spark.createDataFrame([(a * 10 + 20, b) for a in range(1, 15) for b in range(20)], "low long, rest long")
+    by = frames(spark, sf_dir).groupBy("gm", F.col("k").alias("r")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "bird").alias("birds"))
+    inside = (F.col("gm") < F.col("low")) & (F.col("r") >= 80 + F.col("rest"))
     sums = by.crossJoin(F.broadcast(configs)).groupBy("low", "rest").agg((F.sum(F.when(inside, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.sum(F.when(inside, F.col("birds")).otherwise(0)).alias("b"))
     return sums.where("b = 0").orderBy(F.desc("share"), "low", "rest").limit(10).select("low", "rest", F.round("share", 6).alias("share"))
 
