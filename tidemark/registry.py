@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The twin of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     from tidemark import plans
 
