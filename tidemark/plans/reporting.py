@@ -10,7 +10,6 @@ from tidemark.registry import query
 from tidemark.sources.frames import FRAMES, document, frames, table
 
 _3H = "us // 10800000000 * 10800"
-_PAGE = "ORDER BY us DESC, id DESC"
 
 
 @query("frames_in_order", f"WITH {FRAMES} SELECT id, us, row_number() OVER (ORDER BY us, id) AS place FROM frames WHERE result IS NOT NULL ORDER BY us, id LIMIT 500")
@@ -203,9 +202,9 @@ def gallery_filters(spark, sf_dir):
     return frames(spark, sf_dir).where(bird | false).select("id", bird.alias("bird"), (bird & clouds).alias("missed"), false.alias("false_positive"))
 
 
-@query("third_page", f"WITH {FRAMES} SELECT id, us FROM frames WHERE source = 'rtc' {_PAGE} LIMIT 100 OFFSET 200")
+@query("third_page", f"WITH {FRAMES}, r AS (SELECT id, us, row_number() OVER (ORDER BY us DESC, id DESC) AS n, count(*) OVER () AS c FROM frames WHERE source = 'rtc') SELECT id, us FROM r WHERE (n - 1) // 100 = least(2, (c - 1) // 100)")
 def third_page(spark, sf_dir):
-    """Newest first, with the id as tiebreak."""
+    """Newest first, with the id as tiebreak; the last page if there are fewer."""
     rows = frames(spark, sf_dir).where("source = 'rtc'").select("id", "us")
     return paging.page(rows, [F.desc_nulls_first("us"), F.desc("id")], 3)
 
