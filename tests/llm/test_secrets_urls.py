@@ -1,0 +1,107 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import secret_scan, url_filter
+
+BASE = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+]
+
+
+def brute(text):
+    out = []
+    for rank, (kind, rx, group, least) in enumerate(BASE):
+        out += [(m.start(), rank, kind, m.end()) for m in rx.finditer(text or "") if len(m.group(group)) >= least]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def texts(n):
+    rng = random.Random(6)
+    parts = ["password", "API_KEY", "apikey", "token", ":", "=", " ", '"', "'", "abc", "0123456789abcdef", "AKIA", "ABCDEFGHIJ123456", "é", "😀", "\n", "deadbeef", "secret", "x=", "-"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_spans_against_re(documents):
+    rows = [*enumerate(texts(1500)), (9000, None), (9001, ""), (9001, ""), (None, "token=abcdefgh"), (9002, "é token=abcdefgh " * 400)]
+    got = secret_scan.secrets(documents(*rows, extra=True)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or -1, r.spans) for r in got) == sorted((-1 if i is None else i or -1, brute(t)) for i, t in rows)
+    for r in got:
+        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+        assert r.n_assign + r.n_access + r.n_hex == len([x for x in r.spans.split(",") if x])
+    assert secret_scan.secrets(documents()).count() == 0
+
+
+def test_ledger_scans_only_what_is_new(documents):
+    first = documents((1, "token=abcdefgh"), (2, "clean"))
+    ledger = secret_scan.update_ledger(first)
+    assert ledger.count() == 2
+    later = documents((1, "token=abcdefgh"), (3, "token=abcdefgh"), (4, "secret: zzzzzzz"), (5, "secret: zzzzzzz"))
+    assert secret_scan.update_ledger(later, ledger).count() == 1
+    both = ledger.unionByName(secret_scan.update_ledger(later, ledger))
+    found = {r.doc_id: len(r.spans) for r in secret_scan.path_findings(later, both).collect()}
+    assert found == {1: 1, 3: 1, 4: 1, 5: 1}
+    newer = (*secret_scan.RULES, secret_scan.Rule("pin", 1, r"zz+", 0, 3))
+    again = secret_scan.update_ledger(later, both, newer)
+    assert again.count() == 2 and {tuple(r.rules) for r in again.collect()} == {("pin:1",)}
+
+
+def test_masking_keeps_rows_and_columns(documents):
+    frame = documents((1, "key é token=abcdefgh end"), (2, "clean"), (3, None), (4, "0123456789abcdef01234567api_key=xyz12345"), (4, "clean"), extra=True)
+    got = secret_scan.mask_secrets(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id, r.text or "", r.n_chars or 0) for r in got.collect()) == [
+        (1, "key é [secret] end", 18), (2, "clean", 5), (3, "", 0), (4, "[secret]", 8), (4, "clean", 5),
+    ]
+    assert not any(brute(r.text) for r in got.collect())
+
+
+def pages(spark, rows, extra=False):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return frame.selectExpr("*", "'x' AS node", "'y' AS host", "'z' AS component", "1 AS force") if extra else frame
+
+
+def verdicts(frame):
+    return {r.page_id: (r.rule, r.verdict) for r in frame.collect()}
+
+
+def test_longest_rule_wins(spark):
+    rows = [
+        (1, "http://a.example.COM/en/77", None), (2, "https://example.com/en/6?x#y", None), (3, "http://example.net/de/81", None), (4, "http://notexample.com/en/7", None),
+        (5, "http://x.org/es/", None), (6, "http://x.org/es", None), (7, None, None), (8, "no scheme/en/", None), (9, "://com/en/", None), (9, "http://com?/en/", None),
+    ]
+    got = url_filter.judge(pages(spark, rows, True)).collect()
+    by = {(r.page_id, r.host): (r.rule, r.verdict, r.path) for r in got}
+    assert by[1, "a.example.com"] == ("example.com/en/7", "allow", "/en/77")
+    assert by[2, "example.com"] == ("com/en/", "block", "/en/6")
+    assert by[3, "example.net"] == ("example.net/de/8", "block", "/de/81")
+    assert by[4, "notexample.com"] == ("com/en/", "block", "/en/7")
+    assert by[5, "x.org"] == ("org/es/", "block", "/es/")
+    assert by[6, "x.org"] == (None, "block", "/es")  # by convention /es redirects to where /es/ does
+    assert by[7, ""] == (None, "allow", "") and by[8, ""] == (None, "allow", "")
+    assert by[9, "com"] in (("com/en/", "block", "/en/"), (None, "allow", ""))
+    assert url_filter.judge(pages(spark, []), conventions=False).count() == 0
+
+
+def test_blocks_spread_over_links_and_allows_win(spark):
+    canonical = lambda u: f'<HTML><head><LINK rel="canonical" href="{u}"></head>'
+    rows = [
+        (1, "http://alias.io/1", canonical("http://bad.org/es/1")), (2, "http://hop.io/2", '<meta http-equiv=refresh content="0; url=http://alias.io/1">'),
+        (3, "http://mixed.io/3", canonical("http://bad.org/es/3")), (4, "http://mixed.io/4", canonical("http://mixed.io/3")), (5, "http://free.io/5", canonical("/6")),
+        (6, "http://good.io/6", canonical("http://good.net/de/1")), (7, "http://good.io/7", canonical("http://mixed.io/3")), (8, "http://good.io/6", canonical("http://mixed.io/4")), (9, "http://logged.io/9", None),
+    ]
+    redirects = spark.createDataFrame([("http://logged.io/9", "http://hop.io/2"), (None, "http://hop.io/2")], "from_url string, to_url string")
+    got = verdicts(url_filter.judge(pages(spark, rows), redirects=redirects))
+    assert {k: v[1] for k, v in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block"}
+    assert all(v[0] is None for v in got.values())
+
+
+def test_long_chains_come_together(spark):
+    rows = [(k, f"http://c.io/{k}", f'<link rel=canonical href="http://c.io/{k + 1}">') for k in range(40)] + [(99, "http://z.io/", None)]
+    out = url_filter.judge(pages(spark, rows)).groupBy("component").agg(F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in out) == [1, 40]
