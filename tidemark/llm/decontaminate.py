@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
+from tidemark.llm.storage import free_name, Scratch, texts
 
 
 @dataclass(frozen=True)
@@ -170,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
     each pair of ids. Empty tables give an empty result. Texts may be of any length.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + size // (4 * config.block_words)
@@ -195,8 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """`docs`, with all columns, without the documents that hold a test item. Documents without an id are judged as one:
     they go if any of them holds an item, as nothing else tells them apart."""
-    from tidemark.llm.storage import Scratch
-
-    found = Scratch(docs.sparkSession, "contaminated").save(contaminated(docs, benchmark, config).select(F.col("doc_id").alias("__gone")).distinct())
+    gone = free_name(docs, "gone")
+    found = Scratch(docs.sparkSession, "contaminated").save(contaminated(docs, benchmark, config).select(F.col("doc_id").alias(gone)).distinct())
     few = found.count() <= 500_000
-    return docs.join(F.broadcast(found) if few else found, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, F.col("doc_id").cast("long").eqNullSafe(F.col(gone)), "left_anti")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
+from tidemark.llm.storage import texts
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel, config: LanguageConfig = Lan
     Null texts and texts without a letter: `und` with score 0; so is every text if nothing was learned. Ties go to the
     language that sorts first. A null doc_id is not held out. An empty table gives an empty result.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = texts(docs)
     found = read.mapInArrow(_predict(model, config), "doc_id long, lang_pred string, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

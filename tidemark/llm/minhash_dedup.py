@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.graph import connected_components
-from tidemark.llm.storage import Scratch
+from tidemark.llm.storage import free_name, Scratch, texts
 
 #: Nodes from here on stand for groups of texts of which none has an id.
 UNNAMED = 1 << 62
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig()) -> Dat
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     sketched = scratch.save(docs.mapInArrow(_sketches(config), SKETCH_SCHEMA))
     key = ["n", "f1", "f2"]
     unnamed = F.lit(UNNAMED) + F.col("f1").bitwiseAND(F.lit(UNNAMED - 1))
@@ -203,13 +203,12 @@ def near_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig()) -> Dat
 def _link(docs: DataFrame, members: DataFrame, scratch: Scratch, config: DedupConfig) -> DataFrame:
     """(node, component) of the uids in buckets that several sets share."""
     wanted = scratch.save(members.select("uid").distinct())
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "doc_id", "text")
     few = wanted.count() <= config.broadcast_ids and not wanted.where(F.col("uid") >= UNNAMED).limit(1).count()
     if few:
-        texts = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("uid"), "left_semi").select(F.col("doc_id").alias("uid"), "text")
+        own = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("uid"), "left_semi").select(F.col("doc_id").alias("uid"), "text")
+        sets = own.mapInArrow(_sets(config), "uid long, grams binary")
     else:
-        texts = docs.select("doc_id", "text")
-    sets = texts.mapInArrow(_sets(config), "uid long, grams binary") if few else texts.mapInArrow(_named_sets(config), "uid long, grams binary").join(wanted, "uid", "left_semi")
+        sets = docs.mapInArrow(_named_sets(config), "uid long, grams binary").join(wanted, "uid", "left_semi")
     sets = scratch.save(sets.where(F.length("grams") > 0))
     links = None
     component = None
@@ -292,9 +291,10 @@ def drop_near_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig()) -
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash-drop")
     judged = scratch.save(near_duplicates(docs, config))
-    dropped = judged.where("not kept").select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
+    gone = free_name(docs, "gone")
+    dropped = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct()
     few = judged.where("not kept").count() <= config.broadcast_ids
-    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col(gone), "left_anti")
     if judged.where("kept").groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens as T
 from tidemark.llm import textkernel as K
+from tidemark.llm.storage import texts
 
 LONGEST = 2048
 END_ID = 1
@@ -81,7 +82,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     return docs.mapInArrow(_cut(T.vocabulary(tokenizer), longest, with_ids), SCHEMA + ", ids array<int>" * with_ids)
 
 

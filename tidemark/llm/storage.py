@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Texts sent to a Python worker at once; rows are few as texts may be long. The byte bound holds where Spark knows it.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text of `docs` alone, typed, in small Arrow batches from here on in this session."""
+    for key, value in ARROW_BATCHES.items():
+        docs.sparkSession.conf.set(key, value)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 class Scratch:
     """Tables of one operator run in the shared folder. A table is written once, so lost executors never force more than a
     reread; `drop` frees those that no later plan reads."""
@@ -43,5 +55,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,9 @@ not the batch. Hashes are 64-bit and the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ U64 = np.uint64
 #: Odd multiplier of the polynomial hash and the multipliers of the finaliser (splitmix64).
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-SLICE_BYTES = 1 << 21
-BLOCK = 1 << 19
+SLICE_BYTES = 1 << 20
+BLOCK = 1 << 17
 
 #: The six ASCII blanks that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = np.zeros(256, bool)
@@ -74,6 +76,20 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker holds what it uses now and not the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets in them) of runs of rows of about `most` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -91,6 +107,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

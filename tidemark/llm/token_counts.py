@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens as T
 from tidemark.llm import textkernel as K
-from tidemark.llm.storage import Scratch
+from tidemark.llm.storage import Scratch, texts
 
 #: Of the public 50k vocabulary.
 END_OF_DOCUMENT = 50256
@@ -64,7 +64,7 @@ def flat_blocks(docs: DataFrame, tokenizer: str | None = None, block_tokens: int
     """(file, block, payload, doc_ids): a flat token file of little-endian 16-bit ids for each partition of `docs`, in
     blocks of `block_tokens` ids, the last one shorter. doc_ids is the manifest of the documents that end in a block; the
     scan carries it along and doesn't use it to find them. Null and empty texts are a separator alone."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     return docs.mapInArrow(_flatten(T.vocabulary(tokenizer), block_tokens, end_id), BLOCK_SCHEMA)
 
 

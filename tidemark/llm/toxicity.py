@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
+from tidemark.llm.storage import texts
 
 
 @dataclass(frozen=True)
@@ -233,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     for kind, most in bounds.items():
         own = known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most)
         ids = own if ids is None else ids.union(own)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= config.fit_chars)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").limit(2 * sum(bounds.values())).toPandas()
+    short = texts(docs).where(F.length("text") <= config.fit_chars)
+    rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").limit(2 * sum(bounds.values())).toPandas()
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     return train(rows.text.tolist(), rows.toxic.tolist(), config)
 
@@ -256,7 +257,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = Tox
     Null and empty texts and texts without words score as a text that gains nothing. A null doc_id is not held out.
     Repeated rows are scored each. An empty table gives an empty result.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = texts(docs)
     scored = read.mapInArrow(_score(model), "doc_id long, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
@@ -274,4 +275,5 @@ def _judge(model: ToxicityModel, threshold: float, column: int):
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """The rows of `docs`, with all their columns, that the model doesn't predict to be toxic; no shuffle."""
+    texts(docs)  # for its small batches
     return docs.mapInArrow(_judge(model, config.threshold, docs.columns.index("text")), docs.schema)
