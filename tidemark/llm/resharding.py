@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import Scratch
+from tidemark.llm.storage import Scratch, free_name
 
 
 @dataclass(frozen=True)
@@ -177,10 +177,13 @@ def _transfers(rows: DataFrame, names: list[int], flow: list[list[int]]):
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose rows, as Parquet under path/shard=N in slot order, and return their numbers. A
+    """Write the shards that gain or lose rows, as Parquet under path/shard=N (more underscores before the
+    name if the documents have such a column) in slot order, and return their numbers. A
     shard none of whose rows moves stays as its old file is. doc_id must be unique and not null here."""
     moved = plan.where("shard <> old_shard")
     touched = {r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()}
-    mine = plan.where(F.col("shard").isin(sorted(touched))).select(F.col("doc_id").alias("__id"), F.col("shard").alias("shard"), F.col("slot").alias("slot"))
-    docs.join(mine, F.col("doc_id") == F.col("__id")).drop("__id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ids, shard, slot = (free_name(docs, c) for c in ("id", "shard", "slot"))
+    mine = plan.where(F.col("shard").isin(sorted(touched))).select(F.col("doc_id").alias(ids), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = docs.join(mine, F.col("doc_id") == F.col(ids)).drop(*({ids} - {"doc_id"}))
+    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     return sorted(touched)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import Scratch
+from tidemark.llm.storage import Scratch, free_name
 
 
 @dataclass(frozen=True)
@@ -147,16 +147,18 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     is sent whole if there are few."""
     scratch = Scratch(docs.sparkSession, "mask")
     ledger = update_ledger(docs, None, rules)
-    found = scratch.save(ledger.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")))
-    few = found.count() <= BROADCAST_IDS // 20 and (found.agg(F.max(F.size("__spans"))).first()[0] or 0) <= 1000
-    joined = docs.join(F.broadcast(found) if few else found, blob_of(F.col("text")) == F.col("__blob"), "left")
-    new = F.when(F.col("__spans").isNotNull(), masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    blob, spans_name = free_name(docs, "blob"), free_name(docs, "spans")
+    found = scratch.save(ledger.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans_name)))
+    few = found.count() <= BROADCAST_IDS // 20 and (found.agg(F.max(F.size(spans_name))).first()[0] or 0) <= 1000
+    joined = docs.join(F.broadcast(found) if few else found, blob_of(F.col("text")) == F.col(blob), "left")
+    new = free_name(docs, "masked")
+    joined = joined.withColumn(new, F.when(F.col(spans_name).isNotNull(), masked(F.col("text"), F.col(spans_name))))
     out = []
     for name in docs.columns:
         if name == "text":
-            out.append(new.alias(name))
+            out.append(F.coalesce(new, "text").alias(name))
         elif name == "n_chars":
-            out.append(F.when(F.col("__spans").isNotNull(), F.char_length(new).cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name))
+            out.append(F.coalesce(F.char_length(new).cast(docs.schema[name].dataType), F.col(name)).alias(name))
         else:
             out.append(F.col(name))
     return joined.select(*out)
