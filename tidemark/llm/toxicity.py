@@ -84,28 +84,41 @@ def _contrast(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> by
     n = config.gram
     if len(data) < n or not toxic.any() or toxic.all():
         return b""
-    code = np.zeros(len(data) - n + 1, np.uint64)
-    for k in range(n):
-        code = (code << np.uint64(8)) | data[k : len(data) - n + 1 + k]
-    row = np.searchsorted(offsets, np.arange(len(code)), "right") - 1
-    inside = np.arange(len(code)) + n <= offsets[row + 1]
-    grams, inverse = np.unique(code, return_inverse=True)
-    pairs = np.unique(inverse[inside].astype(np.int64) * len(texts) + row[inside])
-    gram, owner = pairs // len(texts), pairs % len(texts)
+    #: Grams are counted by hash in 2**24 cells, some documents at a time, so the driver holds 4 bytes a character and the
+    #: cells, whatever the grams.
+    held = np.full(len(data), -1, np.int32)
+    counts = np.zeros((2, 1 << 24), np.uint16 if len(texts) < 1 << 16 else np.uint32)
+    for first in range(0, len(texts), 200):
+        last = min(first + 200, len(texts))
+        start, end = int(offsets[first]), int(offsets[last])
+        if end - start < n:
+            continue
+        code = np.zeros(end - start - n + 1, np.uint64)
+        for k in range(n):
+            code = (code << np.uint64(8)) | data[start + k : end - n + 1 + k]
+        cells = (K.mix(code) >> np.uint64(40)).astype(np.int32)
+        row = np.searchsorted(offsets, np.arange(start, start + len(code)), "right") - 1
+        inside = np.arange(start, start + len(code)) + n <= offsets[row + 1]
+        held[start : start + len(code)] = np.where(inside, cells, -1)
+        pairs = np.unique(cells[inside].astype(np.int64) * len(texts) + row[inside])
+        cell, owner = pairs // len(texts), pairs % len(texts)
+        for kind in (0, 1):
+            np.add.at(counts[kind], cell[toxic[owner] == bool(kind)], 1)
     n_toxic, n_ordinary = int(toxic.sum()), int((~toxic).sum())
-    in_toxic = np.bincount(gram[toxic[owner]], minlength=len(grams))
-    in_ordinary = np.bincount(gram[~toxic[owner]], minlength=len(grams))
+    likely = np.flatnonzero(counts[1] >= 3)
+    in_toxic, in_ordinary = counts[1][likely].astype(np.int64), counts[0][likely].astype(np.int64)
     odds = (in_toxic / n_toxic) / ((in_ordinary + 0.5) / n_ordinary)
-    rows_with = np.maximum(in_toxic + in_ordinary, 1)
+    rows_with = in_toxic + in_ordinary
     share = n_toxic / len(texts)
-    evidence = 2 * (in_toxic * np.log(np.maximum(in_toxic, 1) / (rows_with * share)) + in_ordinary * np.log(np.maximum(in_ordinary, 1) / (rows_with * (1 - share))))
-    chosen = (odds >= config.odds) & (in_toxic >= 3) & (evidence >= config.evidence)
-    hit = chosen[inverse] & inside & toxic[row]
+    evidence = 2 * (in_toxic * np.log(in_toxic / (rows_with * share)) + in_ordinary * np.log(np.maximum(in_ordinary, 1) / (rows_with * (1 - share))))
+    chosen = np.zeros(1 << 24, bool)
+    chosen[likely[(odds >= config.odds) & (evidence >= config.evidence)]] = True
+    of_toxic = np.repeat(toxic, np.diff(offsets))
+    hit = chosen[held] & (held >= 0) & of_toxic
     edge = _runs(hit, n, len(data))
     if not len(edge):
         return b""
-    spread = np.zeros(len(data), np.int64)  # a run's core: the grams as widespread as its widest, not those that reach into what stands beside
-    spread[: len(code)] = np.where(hit, in_toxic[inverse], 0)
+    spread = np.where(hit, counts[1][held], 0).astype(np.int32)  # a run's core: the grams as widespread as its widest, not those that reach into what stands beside
     most = np.maximum.reduceat(spread, edge.ravel()[: 2 * len(edge) - (edge[-1, 1] == len(data))])[::2]
     core = hit.copy()
     at = np.flatnonzero(hit)
@@ -119,21 +132,21 @@ def _contrast(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> by
             seen.add(own)
             rows_of[own[0]] += 1
     out: list[bytes] = []
-    held = b""
+    content = b""
     for segment, count in sorted(rows_of.items(), key=lambda x: (-x[1], x[0])):
-        if count >= max(2, n_toxic // 40) and segment not in held and sum(map(len, out)) + len(segment) <= config.toxic_bytes:
+        if count >= max(2, n_toxic // 40) and segment not in content and sum(map(len, out)) + len(segment) <= config.toxic_bytes:
             out.append(segment)
-            held += b"\n" + segment
+            content += b"\n" + segment
     return b"".join(x + b"\0" for x in reversed(out))  # apart, so that no match runs from one into the next
 
 
 def _runs(hit: np.ndarray, n: int, size: int) -> np.ndarray:
     """(start, end) of the stretches that n-grams at `hit` cover."""
-    cover = np.zeros(size + 1, np.int64)
+    cover = np.zeros(size + 1, np.int16)
     at = np.flatnonzero(hit)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + n, -1)
-    covered = np.cumsum(cover[:-1]) > 0
+    covered = np.cumsum(cover[:-1], dtype=np.int16) > 0
     return np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8))).reshape(-1, 2)
 
 
