@@ -111,3 +111,18 @@ def test_search_against_brute_force(spark, documents, shard_docs, query_block):
     assert dict(got) == want
     assert bm25_search.search(documents(), spark.createDataFrame(asked, "query_id long, text string")).count() == 0
     assert bm25_search.search(documents(*docs), spark.createDataFrame([], "query_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("shard_docs, query_words", [(16, 500), (1000, 200_000)])
+def test_queries_of_hundreds_of_terms(spark, documents, shard_docs, query_words):
+    rng = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(900)]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(100, 500)))) for k in range(120)]
+    asked = [(k, " ".join(rng.sample(vocabulary, n))) for k, n in enumerate((3, 30, 40, 200, 400, 700))] + [(90, docs[0][1]), (91, docs[7][1])]
+    queries = {q: collections.Counter(tokens(t)) for q, t in asked}
+    config = bm25_search.SearchConfig(shard_docs=shard_docs, query_words=query_words, shard_group=2)
+    got = collections.defaultdict(list)
+    for r in bm25_search.search(documents(*docs), spark.createDataFrame(asked, "query_id long, text string"), config).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((round(-r.score, 9), r.doc_id))
+    assert dict(got) == brute(docs, queries, config)
+    assert got[90][0][1] == 0 and got[91][0][1] == 7
