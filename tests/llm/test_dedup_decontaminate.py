@@ -131,3 +131,18 @@ def test_a_passage_that_many_documents_leak_is_still_found(spark, documents):
     docs = documents(*[(k, f"{noise()} {ITEM} {noise()}") for k in range(200)], *[(500 + k, noise()) for k in range(50)])
     got = decontaminate.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == list(range(200))
+
+
+def test_an_edited_version_that_many_documents_share_is_found(spark, documents):
+    rng = random.Random(12)
+    noise = lambda: " ".join(f"n{rng.randint(0, 9999)}" for _ in range(30))
+    words = ITEM.split()
+    one_left = [f"e{k}" if k in (3, 6, 9, 12, 14) else w for k, w in enumerate(words)]  # less than half of the 3-grams are left
+    config = decontaminate.DecontaminationConfig()
+    numbers = {w: k for k, w in enumerate({*words, *one_left})}
+    assert smith_waterman([numbers[w] for w in words], [numbers[w] for w in one_left], config) >= config.threshold * config.match * len(words)
+    held = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    assert 2 * sum(g in [tuple(one_left[k : k + 3]) for k in range(len(words) - 2)] for g in held) < len(held)
+    docs = documents(*[(k, f"{noise()} {' '.join(one_left)} {noise()}") for k in range(1000)], *[(5000 + k, f"{noise()} {' '.join(words[:3])} {noise()}") for k in range(50)])
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000))

@@ -1,9 +1,9 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 6).
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 6).
 
-Pass 1 counts, over all documents, in how many each word n-gram of the test items occurs. Of each item, n-grams that are
-no more frequent than its own rarer half, within a factor, are seeds: a copied item's n-grams all share the copies' count
-and stay, everyday phrases go. Pass 2 finds the seeds in documents, groups their hits on an item by the diagonal, and
-aligns the item with the passage around each group by Smith-Waterman over words, which scores edited copies.
+Every word n-gram of a test item is a seed, however many documents hold it. Hits of an item's seeds in a document are
+grouped by the diagonal, and the item is aligned with the passage around each group by Smith-Waterman over words, which
+scores edited copies. A group is passed over only where the passage lacks so many of the item's words that no alignment
+could reach the threshold.
 
 Texts never move: the items' n-grams are sent to the executors, in blocks of a bounded size, and no document is shuffled.
 """
@@ -24,15 +24,11 @@ from tidemark.llm.storage import free_name, Scratch, texts
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
-    """words: of a seed. min_words: items of fewer words match nothing. factor, floor: an item's n-gram is a seed if at
-    most factor * (the median of its n-grams' document counts) + floor documents hold it. match, mismatch, gap: of the
-    alignment. threshold: least alignment score as a share of the item's best possible. block_words: words of test items
+    """words: of a seed. min_words: items of fewer words match nothing. match, mismatch, gap: of the alignment. threshold: least alignment score as a share of the item's best possible. block_words: words of test items
     that are sent to the executors at once (8 bytes each); more items take more passes."""
 
     words: int = 3
     min_words: int = 6
-    factor: float = 2.0
-    floor: int = 3
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -82,19 +78,6 @@ def _hits(column: pa.Array, grams: np.ndarray, n: int):
             yield first, hashed, rows, at[hit], slot[hit]
 
 
-def _count(grams: np.ndarray, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(grams), np.int64)
-        for batch in batches:
-            for _, _, rows, at, slot in _hits(batch.column(0), grams, n):
-                own = np.unique(rows[at].astype(np.int64) * len(grams) + slot) % len(grams)
-                total += np.bincount(own, minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "docs"])
-
-    return run
-
-
 def align(item: np.ndarray, passage: np.ndarray, config: DecontaminationConfig) -> tuple[int, int]:
     """(best local alignment score, end of the aligned passage). Rows of the matrix are items' words; gaps along a row are
     a running maximum."""
@@ -117,19 +100,18 @@ def align(item: np.ndarray, passage: np.ndarray, config: DecontaminationConfig)
 PAIR_SCHEMA = "doc_id long, item_id long, score double, word_start long, word_end long"
 
 
-def _passages(items: Items, seeds: np.ndarray, config: DecontaminationConfig):
-    """seeds: whether each place of the items is one."""
+def _passages(items: Items, config: DecontaminationConfig):
     n = config.words
-    kept = np.unique(items.gram[seeds])
-    order = np.argsort(items.gram[seeds], kind="stable")
-    at_item, at_place = items.item[seeds][order], items.place[seeds][order]
-    begin = np.searchsorted(items.gram[seeds][order], np.concatenate((kept, [len(items.grams)])))
+    order = np.argsort(items.gram, kind="stable")
+    at_item, at_place = items.item[order], items.place[order]
+    begin = np.searchsorted(items.gram[order], np.arange(len(items.grams) + 1))
+    sizes = np.array([len(w) for w in items.words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             rows_out, items_out, scores, starts, ends = [], [], [], [], []
-            for first, hashed, rows, at, slot in _hits(batch.column(1), items.grams[kept], n):
+            for first, hashed, rows, at, slot in _hits(batch.column(1), items.grams, n):
                 many = begin[slot + 1] - begin[slot]
                 source = np.repeat(begin[slot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
                 at = np.repeat(at, many)
@@ -137,7 +119,7 @@ def _passages(items: Items, seeds: np.ndarray, config: DecontaminationConfig):
                 row = rows[at]
                 by = np.lexsort((diagonal, item, row))
                 row, item, diagonal = row[by], item[by], diagonal[by]
-                size = np.array([len(w) for w in items.words])[item]
+                size = sizes[item]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
                 group = np.flatnonzero(new)
@@ -146,6 +128,8 @@ def _passages(items: Items, seeds: np.ndarray, config: DecontaminationConfig):
                     pad = len(own) // 4 + 2
                     low, high = np.searchsorted(rows, row[a]), np.searchsorted(rows, row[a], "right")
                     s, e = max(low, diagonal[a] - pad), min(high, diagonal[b - 1] + len(own) + pad)
+                    if np.isin(own, hashed[s:e]).sum() < config.threshold * len(own):
+                        continue  # each word of the item that the passage has adds `match` at most
                     score, end = align(own, hashed[s:e], config)
                     share = score / (config.match * len(own))
                     if share >= config.threshold:
@@ -181,13 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
         items = parse([r.item_id for r in own], [r.text for r in own], config)
         if not len(items.ids):
             continue
-        counts = np.zeros(len(items.grams), np.int64)
-        for r in docs.select("text").mapInArrow(_count(items.grams, config.words), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toLocalIterator():
-            counts[r.gram] = r.docs
-        in_docs = counts[items.gram]
-        middle = np.array([np.median(in_docs[items.item == i]) for i in range(len(items.ids))])
-        seeds = in_docs <= config.factor * middle[items.item] + config.floor
-        found = docs.mapInArrow(_passages(items, seeds, config), PAIR_SCHEMA)
+        found = docs.mapInArrow(_passages(items, config), PAIR_SCHEMA)
         out = out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("word_start")).alias("o"), "word_start", "word_end")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.word_start", "b.word_end")
