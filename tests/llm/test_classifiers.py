@@ -87,3 +87,12 @@ def test_language_of_odd_texts(spark, documents):
     assert language_id.identify(documents(), model).count() == 0
     empty = language_id.fit(docs.limit(0))
     assert [r.lang_pred for r in language_id.identify(documents((1, "a")), empty).collect()] == ["und"]
+
+
+def test_held_out_toxicity_in_all_languages(spark, toxic_model):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    known = table(spark, "/root/testdata/sf0.1", "labels").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = toxicity.toxicity(docs, toxic_model).join(known, "doc_id").where("held_out").toPandas()
+    assert rows[rows.toxic == 0].predicted.mean() < 0.02
+    assert rows[rows.toxic == 1].predicted.mean() > 0.6
+    assert rows[(rows.toxic == 1) & (rows.lang == "fr")].predicted.mean() > 0.5

@@ -6,7 +6,8 @@ holds strings that toxic text repeats and ordinary text does not. The bytes gain
 probability on folds whose dictionaries have not seen them.
 
 Toxic text is mostly ordinary text, and a trainer that takes its most frequent strings would learn "the" twice. So the
-toxic dictionary is trained on contrasting segments alone: runs of byte 5-grams which toxic rows hold far more often.
+toxic dictionary is trained on contrasting segments alone: runs of byte 5-grams which toxic rows hold more often than chance
+allows, so that strings of a small part of them, such as one language, count as well as those of all.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from tidemark.llm.storage import texts
 class ToxicityConfig:
     """toxic_rows, ordinary_rows, fit_chars: the fit takes at most so many labelled rows of each class, those of least
     hash, and only rows of at most so many characters; this bounds the fit alone. window: words. gram: bytes of a
-    contrasting string. odds: by how much toxic rows must hold it more often. evidence: least likelihood ratio G for it. folds: of the calibration. threshold: of
+    contrasting string. evidence: least likelihood ratio G for toxic rows
+    holding it more often. folds: of the calibration. threshold: of
     `predicted`. ordinary_bytes, toxic_bytes: of the dictionaries."""
 
     toxic_rows: int = 800
@@ -38,7 +40,6 @@ class ToxicityConfig:
     fit_chars: int = 4000
     window: int = 8
     gram: int = 5
-    odds: float = 12.0
     evidence: float = 25.0
     folds: int = 2
     threshold: float = 0.7
@@ -104,26 +105,16 @@ def _contrast(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> by
         cell, owner = pairs // len(texts), pairs % len(texts)
         for kind in (0, 1):
             np.add.at(counts[kind], cell[toxic[owner] == bool(kind)], 1)
-    n_toxic, n_ordinary = int(toxic.sum()), int((~toxic).sum())
     likely = np.flatnonzero(counts[1] >= 3)
     in_toxic, in_ordinary = counts[1][likely].astype(np.int64), counts[0][likely].astype(np.int64)
-    odds = (in_toxic / n_toxic) / ((in_ordinary + 0.5) / n_ordinary)
     rows_with = in_toxic + in_ordinary
-    share = n_toxic / len(texts)
+    share = toxic.sum() / len(texts)
     evidence = 2 * (in_toxic * np.log(in_toxic / (rows_with * share)) + in_ordinary * np.log(np.maximum(in_ordinary, 1) / (rows_with * (1 - share))))
     chosen = np.zeros(1 << 24, bool)
-    chosen[likely[(odds >= config.odds) & (evidence >= config.evidence)]] = True
+    chosen[likely[(in_toxic > rows_with * share) & (evidence >= config.evidence)]] = True
     of_toxic = np.repeat(toxic, np.diff(offsets))
     hit = chosen[held] & (held >= 0) & of_toxic
     edge = _runs(hit, n, len(data))
-    if not len(edge):
-        return b""
-    spread = np.where(hit, counts[1][held], 0).astype(np.int32)  # a run's core: the grams as widespread as its widest, not those that reach into what stands beside
-    most = np.maximum.reduceat(spread, edge.ravel()[: 2 * len(edge) - (edge[-1, 1] == len(data))])[::2]
-    core = hit.copy()
-    at = np.flatnonzero(hit)
-    core[at] = spread[at] >= 0.5 * most[np.searchsorted(edge[:, 0], at, "right") - 1]
-    edge = _runs(core, n, len(data))
     rows_of: Counter[bytes] = Counter()
     seen = set()
     for a, b in edge.tolist():
@@ -134,7 +125,7 @@ def _contrast(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> by
     out: list[bytes] = []
     content = b""
     for segment, count in sorted(rows_of.items(), key=lambda x: (-x[1], x[0])):
-        if count >= max(2, n_toxic // 40) and segment not in content and sum(map(len, out)) + len(segment) <= config.toxic_bytes:
+        if count >= 2 and segment not in content and sum(map(len, out)) + len(segment) <= config.toxic_bytes:
             out.append(segment)
             content += b"\n" + segment
     return b"".join(x + b"\0" for x in reversed(out))  # apart, so that no match runs from one into the next
