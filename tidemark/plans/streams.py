@@ -119,7 +119,7 @@ def image_headers(spark, sf_dir):
 
 @query("spool_records", "SELECT device, count(*) AS records, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT user_id AS device, event_id AS id FROM events WHERE event_id < 2000) GROUP BY device")
 def spool_records(spark, sf_dir):
-    """A file of framed records for each device, its last record cut off, parsed again."""
+    """A spool file for each device over the first 2000 events alone, as its twin says; `spool_files` covers S19."""
     import pandas as pd
 
     def spool(key, frame):
@@ -131,6 +131,21 @@ def spool_records(spark, sf_dir):
     return parsed.groupBy("device").agg(F.count("*").alias("records"), F.sum("id").alias("ids"))
 
 
+@query("spool_files", "SELECT user_id AS device, count(*) AS records, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY user_id")
+def spool_files(spark, sf_dir):
+    """All events as framed records, in files of a device and a run of 10,000 ids, each file's last record cut off,
+    parsed again."""
+    import pandas as pd
+
+    def spool(key, frame):
+        raw = b"".join(binary.framed('{"id": %d}' % i, b"x" * (i % 7)) for i in frame["event_id"]) + b"\x10\0\0\0\0\0\0\0{"
+        return pd.DataFrame({"path": [f"{key[0]}/{key[1]}"], "content": [raw]})
+
+    files = table(spark, sf_dir, "events").withColumn("chunk", F.floor(F.col("event_id") / 10000)).groupBy("user_id", "chunk").applyInPandas(spool, "path string, content binary")
+    parsed = binary.records(files).select(F.split("path", "/")[0].cast("long").alias("device"), F.get_json_object("meta", "$.id").cast("long").alias("id"))
+    return parsed.groupBy("device").agg(F.count("*").alias("records"), F.sum("id").alias("ids"))
+
+
 @query("generated_header", f"SELECT cell // 12 AS line, '    ' || string_agg(lpad(CAST(score AS VARCHAR), 3, ' '), ', ' ORDER BY cell) || ',' AS text FROM (SELECT unnest(range(192)) AS cell, unnest([{', '.join(map(str, S.SCORES))}]) AS score) GROUP BY 1")
 def generated_header(spark, sf_dir):
     """The fitted table as source text, twelve values a line, one row for each line."""
