@@ -10,3 +10,12 @@ def test_all_events_are_spooled(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").agg({"event_id": "sum", "*": "count"}).first()
     assert events["count(1)"] > 2000
     assert (got["sum(records)"], got["sum(ids)"]) == (events["count(1)"], events["sum(event_id)"])
+
+
+def test_all_frames_are_replayed(spark):
+    from tidemark.sources.frames import frames
+
+    got = registry.queries()["frames_replayed"](spark, SF).collect()
+    want = sorted((r.us, r.id) for r in frames(spark, SF).where("result is not null").select("us", "id").collect())
+    assert len(want) > 500
+    assert [(r.us, r.id, r.place) for r in got] == [(us, i, k + 1) for k, (us, i) in enumerate(want)]

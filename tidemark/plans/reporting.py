@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from tidemark.operators import buckets, filters, paging
 from tidemark.registry import query
 from tidemark.sources.frames import FRAMES, document, frames, table
+from tidemark.sources.storage import scratch_path
 
 _3H = "us // 10800000000 * 10800"
 
 
 @query("frames_in_order", f"WITH {FRAMES} SELECT id, us, row_number() OVER (ORDER BY us, id) AS place FROM frames WHERE result IS NOT NULL ORDER BY us, id LIMIT 500")
 def frames_in_order(spark, sf_dir):
-    """The oldest 500 frames in replay order."""
+    """The oldest 500 frames in replay order, as its twin says; `frames_replayed` covers S01 and L01."""
     top = frames(spark, sf_dir).where("result is not null").orderBy("us", "id").limit(500)
     return top.select("id", "us", F.row_number().over(Window.orderBy("us", "id")).alias("place"))
 
 
+@query("frames_replayed", f"WITH {FRAMES} SELECT id, us, row_number() OVER (ORDER BY us, id) AS place FROM frames WHERE result IS NOT NULL")
+def frames_replayed(spark, sf_dir):
+    """All frames in replay order; places count on from one range of times to the next."""
+    path = scratch_path(spark, "replay")
+    ranged = frames(spark, sf_dir).where("result is not null").select("id", "us").repartitionByRange("us", "id")
+    ranged.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("us", "id"))
+    return rows.withColumn("own", own).join(F.broadcast(offsets), "part").select("id", "us", (F.col("before") + F.col("own")).alias("place")).orderBy("us", "id")
+
+
 @query("typed_document_scan", "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS battery FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0")
 def typed_document_scan(spark, sf_dir):
     """A typed path of the document, present and over 0."""
