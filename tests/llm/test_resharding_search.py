@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,15 +60,65 @@ def test_shards_are_even_and_slots_gapless(documents, block_bytes):
     assert resharding.reshard(documents(), F.lit(0)).count() == 0
 
 
+BIG = (1 << 53) + 1
+ODD = [(None, "a"), (None, "a"), (None, None), (BIG, "x" * 30), (BIG + 2, "x" * 30), (BIG, "y"), (7, "z"), (7, "z"), (8, ""), (9, "é" * 40)]
+
+
+def in_files(documents, tmp_path, rows, extra=True):
+    documents(*rows, extra=extra).repartition(3).write.parquet(str(tmp_path / "in"))
+    return documents().sparkSession.read.parquet(str(tmp_path / "in"))
+
+
+@pytest.mark.parametrize("block_bytes", [100, 1 << 20])
+def test_rewriting_keeps_every_row(documents, spark, tmp_path, block_bytes):
+    rows = ODD + [(BIG + 10 + 2 * k, "x" * (k % 40)) for k in range(200)]
+    docs, key = resharding.with_row_key(in_files(documents, tmp_path, rows))
+    assert key == ["row_file", "row_place"]
+    old = F.coalesce(F.col("doc_id") % 3, F.lit(0))
+    plan = resharding.reshard(docs, old, resharding.ReshardConfig(shards=4, block_bytes=block_bytes), key=key).cache()
+    assert collections.Counter(r.doc_id for r in plan.collect()) == collections.Counter(i for i, _ in rows)
+    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"), key)
+    assert touched == [0, 1, 2, 3]
+    files = spark.read.parquet(str(tmp_path / "out"))
+    assert set(files.columns) == {*docs.columns, "_shard", "_slot"} - set(key)
+    got = [(r._shard, r._slot, r.doc_id, r.text) for r in files.collect()]
+    assert collections.Counter(g[2:] for g in got) == collections.Counter(rows)
+    assert sorted(g[:2] for g in got) == sorted((r.shard, r.slot) for r in plan.collect())
+    for shard in touched:
+        order = [r._slot for r in files.where(F.col("_shard") == shard).collect()]
+        assert order == sorted(order)
+
+
 def test_only_affected_shards_are_written(documents, spark, tmp_path):
-    docs = documents(*[(k, "x" * 20) for k in range(100)], extra=True)
-    old = F.when(F.col("doc_id") < 70, 0).otherwise(1)
-    plan = resharding.reshard(docs, old, resharding.ReshardConfig(shards=2))
-    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"))
-    assert touched == [0, 1]
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
-    same = resharding.reshard(docs.where("doc_id < 50 or doc_id >= 70").where("doc_id < 30 or doc_id >= 70"), old, resharding.ReshardConfig(shards=2))
-    assert same.where("shard <> old_shard").count() == 0
+    docs, key = resharding.with_row_key(in_files(documents, tmp_path, [(k, "x" * 20) for k in range(100)]))
+    old = F.when(F.col("doc_id") < 50, 0).when(F.col("doc_id") < 70, 1).otherwise(2)
+    plan = resharding.reshard(docs, old, resharding.ReshardConfig(shards=3), key=key)
+    docs.select("*", old.alias("old")).write.partitionBy("old").parquet(str(tmp_path / "layout"))
+    before = {p: p.read_bytes() for p in (tmp_path / "layout").rglob("*.parquet")}
+    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"), key)
+    assert 0 in touched and 1 in touched and before == {p: p.read_bytes() for p in before}
+    even = docs.where("doc_id % 10 < 3 AND doc_id < 90")
+    same = resharding.reshard(even, F.col("doc_id") % 10, resharding.ReshardConfig(shards=3), key=key)
+    assert resharding.rewrite(even, same, str(tmp_path / "none"), key) == []
+    with pytest.raises(ValueError):
+        resharding.rewrite(docs, plan.withColumn("row_place", F.lit(1)), str(tmp_path / "bad"), key)
+
+
+def test_digest_of_the_rewritten_shards(documents, tmp_path):
+    rows = ODD + [(k, "x" * (k % 50)) for k in range(300)]
+    docs = in_files(documents, tmp_path, rows)
+    got = resharding.resharded(docs, F.col("doc_id") % 5, resharding.ReshardConfig(shards=6)).collect()
+    digest = lambda t: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == collections.Counter((i, *digest(t)) for i, t in rows)
+    for shard in range(6):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    sums = collections.Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    assert max(sums.values()) - min(sums.values()) <= 100
+    empty = documents()
+    empty.write.parquet(str(tmp_path / "empty"))
+    assert resharding.resharded(empty.sparkSession.read.parquet(str(tmp_path / "empty")), F.lit(0)).count() == 0
 
 
 def tokens(text):

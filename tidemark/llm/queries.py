@@ -25,7 +25,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return resharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)))
+    return resharding.resharded(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ Law: `bytes`; the new capacities differ by one byte at most, and shards follow t
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,26 +79,38 @@ def min_cost_flow(sizes: list[int], capacities: list[int], costs: list[list[int]
 
 
 def _divide(parts: dict[tuple[int, int], list[tuple[int, int]]]):
-    """Rows of a cut block, largest first, each to the shard that lacks most bytes."""
+    """Rows of a cut block, largest first, each to the shard that lacks most bytes. A block is bounded by its size, and
+    rows keep their Arrow types, so ids of any size and nulls stay what they are."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "doc_id", "text_crc32"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        heap = [(-need, shard) for shard, need in parts[int(frame.old_shard[0]), int(frame.block[0])]]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("spread", "ascending")])
+        heap = [(-need, shard) for shard, need in parts[table["old_shard"][0].as_py(), table["block"][0].as_py()]]
         heapq.heapify(heap)
-        to = []
-        for size in frame["size"]:
-            need, shard = heapq.heappop(heap)
-            to.append(shard)
-            heapq.heappush(heap, (need + size, shard))
-        frame["shard"] = to
-        frame["rank"] = frame.groupby("shard").cumcount()
-        return frame[["doc_id", "size", "text_crc32", "old_shard", "block", "shard", "rank"]]
+        to = np.empty(len(table), np.int32)
+        for k, size in enumerate(table["size"].to_pylist()):
+            need, to[k] = heapq.heappop(heap)
+            heapq.heappush(heap, (need + size, int(to[k])))
+        rank = np.empty(len(to), np.int64)
+        for shard in np.unique(to):
+            rank[to == shard] = np.arange((to == shard).sum())
+        return table.drop_columns(["spread"]).append_column("shard", pa.array(to)).append_column("rank", pa.array(rank))
 
     return run
 
 
-def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig(), costs: list[list[int]] | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard), a row for each row of `docs`.
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(`docs` with the file and the place in it of each row, the names of these two columns). `docs` must be a scan of
+    Parquet files. The pair is unique and never null, whatever the ids, and the same whenever the files are read."""
+    names = [free_name(docs, "row_file"), free_name(docs, "row_place")]
+    return docs.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+
+
+COLUMNS = ("doc_id", "size", "text_crc32")
+
+
+def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig(), costs: list[list[int]] | None = None, key: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard) and the columns `key` of `docs`, a row for each
+    row of `docs`.
 
     old_shard: an expression over `docs` for the shard (0 and up, a few hundred at most) in which a row lies; a new shard
     of the same number is its home. costs[i][j]: of moving a byte from i to j; by default 0 at home and 1 else. size:
@@ -110,15 +124,23 @@ def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardC
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    #: Columns of `docs` under names of our own, whatever theirs are.
+    keys = [f"key_{k}" for k in range(len(key))]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
+        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)],
     )
+    own = [*COLUMNS, *keys]
     rows = scratch.save(rows.withColumn("spread", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << 40))))
+
+    def named(out: DataFrame) -> DataFrame:
+        plain = [*COLUMNS, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"]
+        return out.select(*plain, *[F.col(k).alias(c) for c, k in zip(key, keys, strict=True)])
+
     old = {r.old_shard: r.bytes for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()}
     total = sum(old.values())
     if not total:
-        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+        return named(rows.select(*own, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "old_shard"))
     names = sorted(old)
     capacities = [(total * (j + 1)) // config.shards - (total * j) // config.shards for j in range(config.shards)]
     costs = costs or [[0 if i == j else 1 for j in range(config.shards)] for i in names]
@@ -129,27 +151,28 @@ def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardC
     rows = rows.withColumn("block", F.pmod("spread", blocks_of[F.col("old_shard")]).cast("int"))
     whole, cut = _transfers(rows, names, flow)
     starts, used = {}, [0] * config.shards
-    for key, (shard, n) in whole.items():
-        starts[key] = (shard, used[shard])
+    for block, (shard, n) in whole.items():
+        starts[block] = (shard, used[shard])
         used[shard] += n
     placed = spark.createDataFrame([(o, b, s, at) for (o, b), (s, at) in starts.items()], "old_shard int, block int, shard int, base long") if starts else None
     out = None
     if placed is not None:
         order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "spread")
         plain = rows.join(F.broadcast(placed), ["old_shard", "block"])
-        out = plain.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.row_number().over(order) - 1).alias("slot"), "old_shard")
+        out = plain.select(*own, "shard", (F.col("base") + F.row_number().over(order) - 1).alias("slot"), "old_shard")
     if cut:
-        keys = spark.createDataFrame(list(cut), "old_shard int, block int")
-        own = rows.join(F.broadcast(keys), ["old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "block")
-        divided = scratch.save(own.groupBy("old_shard", "block").applyInPandas(_divide(cut), "doc_id long, size long, text_crc32 long, old_shard int, block int, shard int, rank long"))
+        split_blocks = spark.createDataFrame(list(cut), "old_shard int, block int")
+        open_ = rows.join(F.broadcast(split_blocks), ["old_shard", "block"]).select(*own, "old_shard", "block", "spread")
+        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in open_.schema if f.name != "spread")
+        divided = scratch.save(open_.groupBy("old_shard", "block").applyInArrow(_divide(cut), f"{types}, shard int, rank long"))
         bases = []
         for r in divided.groupBy("old_shard", "block", "shard").count().orderBy("old_shard", "block", "shard").collect():
             bases.append((r.old_shard, r.block, r.shard, used[r.shard]))
             used[r.shard] += r["count"]
         parts = spark.createDataFrame(bases, "old_shard int, block int, shard int, base long")
-        split = divided.join(F.broadcast(parts), ["old_shard", "block", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).alias("slot"), "old_shard")
+        split = divided.join(F.broadcast(parts), ["old_shard", "block", "shard"]).select(*own, "shard", (F.col("base") + F.col("rank")).alias("slot"), "old_shard")
         out = split if out is None else out.union(split)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    return named(out)
 
 
 def _transfers(rows: DataFrame, names: list[int], flow: list[list[int]]):
@@ -176,14 +199,52 @@ def _transfers(rows: DataFrame, names: list[int], flow: list[list[int]]):
     return whole, cut
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose rows, as Parquet under path/shard=N (more underscores before the
-    name if the documents have such a column) in slot order, and return their numbers. A
-    shard none of whose rows moves stays as its old file is. doc_id must be unique and not null here."""
+#: Rows of a shard that are written in one piece.
+PIECE = 1 << 16
+
+
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, key: Sequence[str]) -> list[int]:
+    """Write the shards that gain or lose rows, with all columns of `docs` but `key`, as Parquet under path/shard=N, in
+    slot order with the slot beside them, and return their numbers; the two columns take more underscores if the documents
+    have such names. A shard none of whose rows moves stays as its old files are.
+
+    `docs` and `plan` share the columns `key` (see `with_row_key`), which tell rows apart; doc_ids may be null or repeated
+    and are not looked at. Texts may be null or of any length. A key that is null or repeated in the plan is an error.
+    Without a row, or without a move, nothing is written.
+    """
+    keys = [f"plan_key_{k}" for k in range(len(key))]
+    kinds = [F.col(c).alias(k) for c, k in zip(key, keys, strict=True)]
+    if not plan.select(*kinds).groupBy(*keys).agg(F.count("*").alias("rows_of_key")).where(F.expr(" OR ".join([f"{k} IS NULL" for k in keys] + ["rows_of_key > 1"]))).isEmpty():
+        raise ValueError("the key must tell all rows apart")
     moved = plan.where("shard <> old_shard")
-    touched = {r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()}
-    ids, shard, slot = (free_name(docs, c) for c in ("id", "shard", "slot"))
-    mine = plan.where(F.col("shard").isin(sorted(touched))).select(F.col("doc_id").alias(ids), F.col("shard").alias(shard), F.col("slot").alias(slot))
-    joined = docs.join(mine, F.col("doc_id") == F.col(ids)).drop(*({ids} - {"doc_id"}))
-    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
-    return sorted(touched)
+    touched = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})
+    if not touched:
+        return []
+    shard, slot = (free_name(docs, c) for c in ("shard", "slot"))
+    mine = plan.where(F.col("shard").isin(touched)).select(*kinds, F.col("shard").alias(shard), F.col("slot").alias(slot))
+    same = [F.col(c) == F.col(k) for c, k in zip(key, keys, strict=True)]
+    joined = docs.join(mine, same).select(*[c for c in docs.columns if c not in key], shard, slot)
+    dealt = joined.repartition(F.col(shard), F.floor(F.col(slot) / PIECE)).sortWithinPartitions(shard, slot)
+    dealt.write.partitionBy(shard).parquet(path)
+    return touched
+
+
+def resharded(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig()) -> DataFrame:
+    """The digest of `reshard` after the affected shards were rewritten in the shared folder: size, checksum, shard and slot
+    of their rows are read from the new files, those of other shards from the plan. `docs` must be a scan of files.
+
+    Nulls, repeated rows and empty tables as in `reshard`.
+    """
+    scratch = Scratch(docs.sparkSession, "rewrite")
+    keyed, key = with_row_key(docs)
+    plan = scratch.save(reshard(keyed, old_shard, config, key=key))
+    path = f"{scratch.root}/shards"
+    touched = rewrite(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key), plan, path, key)
+    stayed = plan.drop(*key).where(~F.col("shard").isin(touched))
+    if not touched:
+        return stayed
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    files = docs.sparkSession.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    size = (F.octet_length(text) + 8).cast("long")
+    written = files.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return stayed.drop("old_shard").union(written)
