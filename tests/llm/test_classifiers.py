@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from tidemark.llm import language_id, toxicity
 from tidemark.llm.storage import table
@@ -16,10 +17,12 @@ def toxic_model(spark):
 
 def test_held_out_toxicity(spark, toxic_model):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
-    known = table(spark, "/root/testdata/sf0.1", "labels").join(docs.where("lang = 'en'").select("doc_id"), "doc_id")  # the other languages have too few toxic rows here
+    known = table(spark, "/root/testdata/sf0.1", "labels").join(docs.select("doc_id", "lang"), "doc_id")
     rows = toxicity.toxicity(docs, toxic_model).join(known, "doc_id").where("held_out").toPandas()
-    assert rows[(rows.toxic == 0)].predicted.mean() < 0.05
-    assert rows[(rows.toxic == 1)].predicted.mean() > 0.8
+    assert rows[rows.toxic == 0].predicted.mean() < 0.02
+    assert rows[rows.toxic == 1].predicted.mean() > 0.6
+    assert rows[(rows.toxic == 1) & (rows.lang == "en")].predicted.mean() > 0.8
+    assert rows[(rows.toxic == 1) & (rows.lang == "fr")].predicted.mean() > 0.5
     assert all((zlib.crc32(str(i).encode()) % 3 == 1) for i in rows.doc_id)
 
 
@@ -89,10 +92,62 @@ def test_language_of_odd_texts(spark, documents):
     assert [r.lang_pred for r in language_id.identify(documents((1, "a")), empty).collect()] == ["und"]
 
 
-def test_held_out_toxicity_in_all_languages(spark, toxic_model):
-    docs = table(spark, "/root/testdata/sf0.1", "documents")
-    known = table(spark, "/root/testdata/sf0.1", "labels").join(docs.select("doc_id", "lang"), "doc_id")
-    rows = toxicity.toxicity(docs, toxic_model).join(known, "doc_id").where("held_out").toPandas()
-    assert rows[rows.toxic == 0].predicted.mean() < 0.02
-    assert rows[rows.toxic == 1].predicted.mean() > 0.6
-    assert rows[(rows.toxic == 1) & (rows.lang == "fr")].predicted.mean() > 0.5
+def test_window_gains_by_plain_compression(toxic_model):
+    texts = ["you stupid worthless idiot, what a loser and scum of a clown", "the and of that is " * 9, "", "é réeuxment " * 20, "x"]
+    scorer = toxicity.Scorer(toxic_model)
+    data, offsets = toxicity._lowered(texts)
+    parts, rows = toxicity.windows(data, offsets, toxic_model.window)
+    kind = zstandard.DICT_TYPE_RAWCONTENT
+    want, owner = [], []
+    for row, text in enumerate(texts):
+        words = [bytes(toxicity._alphabet()[ord(c)] for c in w) for w in text.split()]
+        for k in range(0, len(words), 8):
+            part = b" " + b" ".join(words[k : k + 8]) + b" "
+            plain, both = (len(toxicity.Scorer._compressor(x).compress(part)) for x in (toxic_model.ordinary, toxic_model.toxic + toxic_model.ordinary))
+            for content, size in ((toxic_model.ordinary, plain), (toxic_model.toxic + toxic_model.ordinary, both)):
+                own = toxicity.Scorer._compressor(content).compress(part)
+                assert len(own) == size and zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind)).decompress(own, max_output_size=1 << 12) == part
+            want.append(plain - both)
+            owner.append(row)
+    assert scorer.gains(parts).tolist() == want and rows.tolist() == owner
+    assert max(w for w, r in zip(want, owner, strict=True) if r == 0) > 0
+
+
+def test_toxic_fit_takes_odd_rows(spark, documents):
+    rows = [(k, f"w{k % 7} you stupid clown w{k % 5} w{k}" if k % 2 else f"w{k % 7} fine words w{k % 5} w{k}") for k in range(60)]
+    odd = [(None, "a"), (1, "other text"), (1, "other text"), (61, None), (62, ""), (63, "long words " * 9000)]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(64)] + [(None, 0, 1), (2, 0, None), (3, 0, 7), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    one, two = (toxicity.fit(documents(*r, extra=True), labels) for r in (rows + odd, odd[::-1] + rows[::-1]))
+    assert one == two
+    assert toxicity.drop_toxic(documents(), one).count() == 0
+
+
+def test_long_rows_teach_languages(spark):
+    rows = [(k, ("uno dos tres " if k % 2 else "eins zwei drei ") * 2000, "aa" if k % 2 else "bb") for k in range(60)]
+    docs = spark.createDataFrame(rows + [(70, None, "aa"), (None, "x", "aa"), (71, "y", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id < 60").collect()
+    assert model.languages == ("aa", "bb") and all(r.lang_pred == r.lang for r in got)
+
+
+def test_predictions_against_plain_naive_bayes(spark):
+    docs = table(spark, SF, "documents").where("length(text) < 600")
+    config = language_id.LanguageConfig()
+    model = language_id.fit(docs, config)
+
+    def columns(text):
+        points = [int(language_id._folded()[ord(c)]) for c in text]
+        for n in config.orders:
+            for k in range(len(points) - n + 1):
+                x = n
+                for p in points[k : k + n]:
+                    x = ((x ^ p) * 0x9E3779B1) & 0xFFFFFFFF
+                    x ^= x >> 15
+                yield ((x * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - config.bits)
+
+    for r in language_id.identify(docs, model, config).join(docs.select("doc_id", "text"), "doc_id").limit(40).collect():
+        sums = model.log_prior.copy()
+        for c in columns(r.text):
+            sums += model.log_prob[:, c]
+        assert r.lang_pred == model.languages[int(sums.argmax())]
+        assert abs(r.score - 1 / np.exp(sums - sums.max()).sum()) < 1e-6

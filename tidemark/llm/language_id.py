@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
-from tidemark.llm.storage import texts
+from tidemark.llm.storage import piece_of, texts
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
     """orders: lengths of the n-grams. bits: of a column. alpha: added to each count. rows_per_language, fit_chars,
-    languages: the fit takes about so many rows of each language (by a hash, at most twice as many in all), only those of
-    at most so many characters, and the most frequent languages; this bounds the fit and the model alone."""
+    languages: the fit takes about so many rows of each language (by a hash, at most twice as many in all), of a longer one
+    a piece of so many characters at a place chosen by a hash, and the most frequent languages; this bounds the fit and the
+    model alone."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
@@ -118,7 +119,8 @@ def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageM
         return LanguageModel((), np.zeros(0), np.zeros((0, 1 << config.bits)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, config.rows_per_language / r["count"]) * (1 << 30))))])
-    rows = known.where((draw < share[F.col("lang")]) & (F.length("text") <= config.fit_chars))
+    piece = piece_of(F.col("text"), F.xxhash64("doc_id", F.lit(8)), config.fit_chars)
+    rows = known.where((draw < share[F.col("lang")]) & F.col("text").isNotNull()).select("doc_id", "lang", piece.alias("text"))
     rows = rows.orderBy(draw, "doc_id", "text").limit(2 * config.rows_per_language * len(counts)).toPandas()
     return train(rows.text.tolist(), rows.lang.tolist(), config)
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def piece_of(text: Column, draw: Column, most: int) -> Column:
+    """At most `most` characters of a text, all of a shorter one, from a place that `draw` chooses: for fits alone."""
+    return F.substring(text, F.lit(1) + F.pmod(draw, F.greatest(F.length(text) - most, F.lit(0)) + 1).cast("int"), F.lit(most))
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for the plans that run inside; those of before come back."""

@@ -1,18 +1,18 @@
 """Toxicity by compression distance (operator 5).
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A text is cut into windows of a few
-words; a window that the toxic dictionary, put before the ordinary one, compresses better than the ordinary one alone
-holds strings that toxic text repeats and ordinary text does not. The bytes gained over the whole text are calibrated to a
-probability on folds whose dictionaries have not seen them.
-
-Toxic text is mostly ordinary text, and a trainer that takes its most frequent strings would learn "the" twice. So the
-toxic dictionary is trained on contrasting segments alone: runs of byte 5-grams which toxic rows hold more often than chance
-allows, so that strings of a small part of them, such as one language, count as well as those of all.
+words, and each window is compressed with the ordinary dictionary and with the toxic one before it; a window that becomes
+shorter holds strings that toxic text repeats and ordinary text does not. The bytes gained over the whole text are
+calibrated to a probability on folds whose dictionaries have not seen them.
+
+Toxic text is mostly ordinary text, and a trainer that takes its most frequent strings would learn "the" twice, as trials
+with whole toxic windows showed. So the toxic dictionary is trained on what sets toxic rows apart: of each one, the runs of
+byte 5-grams which toxic rows hold more often than chance allows, so that strings of a small part of them, such as one
+language, count as well as those of all.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,27 +24,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
-from tidemark.llm.storage import texts
+from tidemark.llm.storage import piece_of, texts
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     """toxic_rows, ordinary_rows, fit_chars: the fit takes at most so many labelled rows of each class, those of least
-    hash, and only rows of at most so many characters; this bounds the fit alone. window: words. gram: bytes of a
-    contrasting string. evidence: least likelihood ratio G for toxic rows
-    holding it more often. folds: of the calibration. threshold: of
-    `predicted`. ordinary_bytes, toxic_bytes: of the dictionaries."""
+    hash, and of a longer row a piece of so many characters, at a place chosen by a hash; fit_windows: and at most so many
+    windows, evenly spaced, for the ordinary dictionary. These bound the fit alone. window: words. gram: bytes of a
+    contrasting string. evidence: least likelihood ratio G for toxic rows holding it more often. folds: of the calibration.
+    threshold: of `predicted`. ordinary_bytes, toxic_bytes: of the dictionaries."""
 
     toxic_rows: int = 800
     ordinary_rows: int = 3200
     fit_chars: int = 4000
+    fit_windows: int = 20_000
     window: int = 8
     gram: int = 5
     evidence: float = 25.0
     folds: int = 2
     threshold: float = 0.7
     ordinary_bytes: int = 2048
-    toxic_bytes: int = 2048
+    toxic_bytes: int = 1536
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def _lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contrast(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> bytes:
-    """The raw content of the toxic dictionary: contrasting segments, the most widespread last."""
+    """The toxic dictionary, trained on the contrasting stretches of each toxic row."""
     data, offsets = _lowered(texts)
     data = np.where(K.BLANK[data], np.uint8(32), data)
     n = config.gram
@@ -114,21 +115,11 @@ def _contrast(texts: list[str], toxic: np.ndarray, config: ToxicityConfig) -> by
     chosen[likely[(in_toxic > rows_with * share) & (evidence >= config.evidence)]] = True
     of_toxic = np.repeat(toxic, np.diff(offsets))
     hit = chosen[held] & (held >= 0) & of_toxic
-    edge = _runs(hit, n, len(data))
-    rows_of: Counter[bytes] = Counter()
-    seen = set()
-    for a, b in edge.tolist():
-        own = (data[a:b].tobytes(), int(np.searchsorted(offsets, a, "right")))
-        if own not in seen:
-            seen.add(own)
-            rows_of[own[0]] += 1
-    out: list[bytes] = []
-    content = b""
-    for segment, count in sorted(rows_of.items(), key=lambda x: (-x[1], x[0])):
-        if count >= 2 and segment not in content and sum(map(len, out)) + len(segment) <= config.toxic_bytes:
-            out.append(segment)
-            content += b"\n" + segment
-    return b"".join(x + b"\0" for x in reversed(out))  # apart, so that no match runs from one into the next
+    samples: dict[int, set[bytes]] = {}
+    for a, b in _runs(hit, n, len(data)).tolist():
+        samples.setdefault(int(np.searchsorted(offsets, a, "right")), set()).add(data[a:b].tobytes())
+    #: Stretches stand apart, so that no match runs from one into the next.
+    return trained([b"\0".join(sorted(x)) + b"\0" for x in samples.values()], config.toxic_bytes)
 
 
 def _runs(hit: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -142,13 +133,17 @@ def _runs(hit: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def _ordinary(texts: list[str], config: ToxicityConfig) -> bytes:
-    """The content of the ordinary dictionary, trained on windows; of too few of them, the windows themselves."""
+    """The ordinary dictionary, trained on windows."""
     samples = windows(*_lowered(texts), config.window)[0]
-    samples = samples[:: 1 + len(samples) // 20_000]
+    return trained(samples[:: 1 + len(samples) // config.fit_windows], config.ordinary_bytes) or b"the and of to "
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most `size` bytes by zstandard's trainer; of fewer samples than it takes, their own bytes."""
     try:
-        return zstandard.train_dictionary(config.ordinary_bytes, samples, k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-config.ordinary_bytes :] or b"the and of to "
+        return b"".join(samples)[-size:]
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray]:
@@ -229,7 +224,11 @@ def train(texts: list[str], labels: list[int], config: ToxicityConfig = Toxicity
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Learn from labelled rows whose crc32(doc_id) mod 3 is not 1, within the bounds of `config`."""
+    """Learn from labelled rows whose crc32(doc_id) mod 3 is not 1, within the bounds of `config`.
+
+    Null texts, ids and labels, and labels other than 0 and 1, teach nothing; an id labelled both ways is toxic. Without
+    rows of both classes the model gives each text 0.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     order = F.xxhash64("doc_id", F.lit(5))
@@ -238,9 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     for kind, most in bounds.items():
         own = known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most)
         ids = own if ids is None else ids.union(own)
-    short = texts(docs).where(F.length("text") <= config.fit_chars)
-    rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").limit(2 * sum(bounds.values())).toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    piece = piece_of(F.col("text"), F.xxhash64("doc_id", F.lit(6)), config.fit_chars)
+    found = texts(docs).where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", piece.alias("text"))
+    #: Rows that share an id are one, that of the least text, so the fit doesn't hang on the order of rows.
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return train(rows.text.tolist(), rows.toxic.tolist(), config)
 
 
@@ -278,6 +278,9 @@ def _judge(model: ToxicityModel, threshold: float, column: int):
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """The rows of `docs`, with all their columns, that the model doesn't predict to be toxic; no shuffle."""
+    """The rows of `docs`, with all their columns, whatever their names, that the model doesn't predict to be toxic; no
+    shuffle. Rows are judged one by one by their whole text: null and empty texts stay, repeated rows stay or go together,
+    ids aren't read. An empty table gives an empty result.
+    """
     texts(docs)  # for its small batches
     return docs.mapInArrow(_judge(model, config.threshold, docs.columns.index("text")), docs.schema)
