@@ -110,6 +110,7 @@ def test_copies_and_edited_copies_are_found(spark, documents):
     assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 10), (1, 10), (2, 10)]
     scores = {r.doc_id: r.score for r in got}
     assert scores[1] == 1.0 and 0.6 < scores[2] < 1.0
+    assert {r.doc_id: (r.word_start, r.word_end) for r in got} == {None: (0, 20), 1: (0, 20), 2: (9, 27)}
     kept = decontaminate.drop_contaminated(documents(*rows[:6], extra=True), tests)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert decontaminate.contaminated(documents(), tests).count() == 0
@@ -146,3 +147,71 @@ def test_an_edited_version_that_many_documents_share_is_found(spark, documents):
     docs = documents(*[(k, f"{noise()} {' '.join(one_left)} {noise()}") for k in range(1000)], *[(5000 + k, f"{noise()} {' '.join(words[:3])} {noise()}") for k in range(50)])
     got = decontaminate.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == list(range(1000))
+
+
+def test_short_items_match_whole(spark, documents):
+    rows = [(1, "He said: TOO short, indeed"), (2, "too long and short"), (3, "a one"), (4, "too"), (5, "short too short too short")]
+    tests = spark.createDataFrame([(1, "too short"), (2, "One!"), (3, "too short"), (4, "a b c d e")], "item_id long, text string")
+    got = decontaminate.contaminated(documents(*rows), tests).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.word_start, r.word_end) for r in got) == [(1, 1, 1.0, 2, 4), (1, 3, 1.0, 2, 4), (3, 2, 1.0, 1, 2), (5, 1, 1.0, 1, 3), (5, 3, 1.0, 1, 3)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(documents(*rows), tests).collect()) == [2, 4]
+
+
+def test_rows_are_judged_by_themselves(spark, documents):
+    rows = [(None, ITEM), (None, "clean"), (None, None), (1, "clean"), (1, f"x {ITEM}"), (1, "clean"), (2, ""), (3, "filler " * 60_000 + ITEM)]
+    frame = documents(*rows, extra=True)
+    kept = decontaminate.drop_contaminated(frame, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean"), (1, "clean"), (1, "clean"), (2, "")]
+    assert decontaminate.drop_contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == 8
+    assert decontaminate.drop_contaminated(documents(), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
+
+
+def full_matrix(a, b, c):
+    """(best score, starts and ends of the alignments that have it)."""
+    h = [[(0, {j}) for j in range(len(b) + 1)] for _ in range(len(a) + 1)]
+    best, spans = 0, set()
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            ways = [(h[i][j][0] + (c.match if x == y else c.mismatch), h[i][j][1]), (h[i][j + 1][0] + c.gap, h[i][j + 1][1]), (h[i + 1][j][0] + c.gap, h[i + 1][j][1]), (0, {j + 1})]
+            top = max(w[0] for w in ways)
+            h[i + 1][j + 1] = top, set().union(*(w[1] for w in ways if w[0] == top)) if top else {j + 1}
+            if top > best:
+                best, spans = top, set()
+            if top == best and top:
+                spans |= {(s, j + 1) for s in h[i + 1][j + 1][1]}
+    return best, spans
+
+
+def test_starts_against_the_full_matrix():
+    rng, c = random.Random(3), decontaminate.DecontaminationConfig()
+    for _ in range(300):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(1, 10))] for _ in range(2))
+        score, end = decontaminate.align(np.array(a, np.uint64), np.array(b, np.uint64), c)
+        best, spans = full_matrix(a, b, c)
+        assert score == best
+        if best:
+            assert (decontaminate.begin_of(np.array(a, np.uint64), np.array(b, np.uint64)[:end], c), end) in spans
+
+
+def test_whole_operator_against_every_pair(spark, documents):
+    rng, c = random.Random(21), decontaminate.DecontaminationConfig()
+    items = [[f"i{rng.randint(0, 60)}" for _ in range(rng.randint(8, 25))] for _ in range(6)]
+    rows = []
+    for k in range(120):
+        words = [f"n{rng.randint(0, 40)}" for _ in range(rng.randint(0, 30))]
+        own = [w if rng.random() > k / 200 else f"i{rng.randint(0, 60)}" for w in rng.choice(items)]
+        own = [w for w in own if rng.random() > 0.05]
+        at = rng.randint(0, len(words))
+        rows.append((k, " ".join(words[:at] + own + words[at:])))
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(documents(*rows), tests).collect()}
+    want = {}
+    for i, text in rows:
+        words = text.split()
+        runs = {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+        for j, item in enumerate(items):
+            share = smith_waterman(item, words, c) / (c.match * len(item))
+            if share >= c.threshold and runs & {tuple(item[k : k + 3]) for k in range(len(item) - 2)}:
+                want[i, j] = share
+    assert got == want and 40 < len(want) < 120

@@ -3,7 +3,8 @@
 Every word n-gram of a test item is a seed, however many documents hold it. Hits of an item's seeds in a document are
 grouped by the diagonal, and the item is aligned with the passage around each group by Smith-Waterman over words, which
 scores edited copies. A group is passed over only where the passage lacks so many of the item's words that no alignment
-could reach the threshold.
+could reach the threshold. A passage that shares no run of `words` words with an item has no seed and isn't found. An item
+too short for seeds is found where its whole sequence of words stands.
 
 Texts never move: the items' n-grams are sent to the executors, in blocks of a bounded size, and no document is shuffled.
 """
@@ -19,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
-from tidemark.llm.storage import free_name, Scratch, texts
+from tidemark.llm.storage import texts
 
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
-    """words: of a seed. min_words: items of fewer words match nothing. match, mismatch, gap: of the alignment. threshold: least alignment score as a share of the item's best possible. block_words: words of test items
-    that are sent to the executors at once (8 bytes each); more items take more passes."""
+    """words: of a seed. min_words: items of fewer words are matched exactly, as a whole. match, mismatch, gap: of the alignment. threshold: least alignment score as a
+    share of the item's best possible. block_words: words of test items that are sent to the executors at once (8 bytes each, and
+    32 for each seed); more items take more passes."""
 
     words: int = 3
     min_words: int = 6
@@ -44,38 +46,41 @@ class Items:
     gram: np.ndarray  # of each place, its number in `grams`
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length of short items, their hashes, ascending, and ids
 
 
 def parse(ids: list[int], texts: list[str | None], config: DecontaminationConfig) -> Items:
-    found = []
+    found: list[np.ndarray] = []
     for first, last, data, offsets in K.slices(pa.array(texts, pa.string())):
         starts, ends, rows = K.words(data, offsets, K.PUNCTUATION)
-        hashed = K.word_hashes(data, starts, ends)
-        found += [hashed[rows == k] for k in range(last - first)]
-    keep = [k for k, w in enumerate(found) if len(w) >= max(config.min_words, config.words)]
+        found += np.split(K.word_hashes(data, starts, ends), np.searchsorted(rows, np.arange(1, last - first)))
+    least = max(config.min_words, config.words)
+    short = {}
+    for n in sorted({len(w) for w in found} & set(range(1, least))):
+        own = [k for k, w in enumerate(found) if len(w) == n]
+        hashes = K.ngrams(np.concatenate([found[k] for k in own]), np.repeat(np.arange(len(own)), n), n)[0]
+        by = np.argsort(hashes, kind="stable")
+        short[n] = hashes[by], np.array(ids, np.int64)[own][by]
+    keep = [k for k, w in enumerate(found) if len(w) >= least]
     words = [found[k] for k in keep]
     if not words:
         none = np.empty(0, np.int64)
-        return Items(none, [], np.empty(0, np.uint64), none, none, none)
+        return Items(none, [], np.empty(0, np.uint64), none, none, none, short)
     owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     hashed, at = K.ngrams(np.concatenate(words), owner, config.words)
     begin = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     grams, gram = np.unique(hashed, return_inverse=True)
-    return Items(np.array(ids, np.int64)[keep], words, grams, gram, owner[at], at - begin[owner[at]])
+    return Items(np.array(ids, np.int64)[keep], words, grams, gram, owner[at], at - begin[owner[at]], short)
 
 
-def _hits(column: pa.Array, grams: np.ndarray, n: int):
-    """(first row, word hashes, rows of words, places of hits, their gram numbers) slice by slice."""
-    for first, last, data, offsets in K.slices(column):
-        starts, ends, rows = K.words(data, offsets, K.PUNCTUATION)
-        hashed = K.word_hashes(data, starts, ends)
-        found, at = K.ngrams(hashed, rows, n)
-        if not len(found) or not len(grams):
-            continue
-        slot = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-        hit = grams[slot] == found
-        if hit.any():
-            yield first, hashed, rows, at[hit], slot[hit]
+def _hits(hashed: np.ndarray, rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of hits, their gram numbers)."""
+    found, at = K.ngrams(hashed, rows, n)
+    if not len(found) or not len(grams):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    slot = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+    hit = grams[slot] == found
+    return at[hit], slot[hit]
 
 
 def align(item: np.ndarray, passage: np.ndarray, config: DecontaminationConfig) -> tuple[int, int]:
@@ -97,84 +102,141 @@ def align(item: np.ndarray, passage: np.ndarray, config: DecontaminationConfig)
     return best, end
 
 
+def begin_of(item: np.ndarray, passage: np.ndarray, config: DecontaminationConfig) -> int:
+    """Where the best local alignment of an item starts that ends at the end of the passage: the recurrence of `align`,
+    each cell with the start of its alignment."""
+    step = -config.gap
+    places = np.arange(len(passage) + 1)
+    row, since = np.zeros(len(passage) + 1, np.int64), places.copy()
+    best, start = 0, len(passage)
+    for word in item:
+        diagonal = row[:-1] + np.where(passage == word, config.match, config.mismatch)
+        up = row[1:] + config.gap
+        to, origin = np.zeros_like(row), places.copy()
+        to[1:] = np.maximum(np.maximum(diagonal, up), 0)
+        origin[1:] = np.where(to[1:] == 0, places[1:], np.where(diagonal >= up, since[:-1], since[1:]))
+        climbed = np.maximum.accumulate(to + places * step)
+        source = np.maximum.accumulate(np.where(to + places * step == climbed, places, 0))
+        row = climbed - places * step
+        since = np.where(row > 0, origin[source], places)
+        if row[-1] > best:
+            best, start = int(row[-1]), int(since[-1])
+    return start
+
+
 PAIR_SCHEMA = "doc_id long, item_id long, score double, word_start long, word_end long"
 
 
-def _passages(items: Items, config: DecontaminationConfig):
+def _finder(items: Items, config: DecontaminationConfig):
+    """column of texts -> (row, item id, score, start, end) of the passages that hold an item, slice by slice; words count
+    from 0 in a text."""
     n = config.words
     order = np.argsort(items.gram, kind="stable")
     at_item, at_place = items.item[order], items.place[order]
     begin = np.searchsorted(items.gram[order], np.arange(len(items.grams) + 1))
-    sizes = np.array([len(w) for w in items.words])
+    sizes = np.array([len(w) for w in items.words], np.int64)
+
+    def find(column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
+        for first, _, data, offsets in K.slices(column):
+            starts, ends, rows = K.words(data, offsets, K.PUNCTUATION)
+            hashed = K.word_hashes(data, starts, ends)
+            for size, (hashes, ids) in items.short.items():
+                found, at = K.ngrams(hashed, rows, size)
+                low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+                for k in np.flatnonzero(high > low).tolist():
+                    own = int(at[k]) - int(np.searchsorted(rows, rows[at[k]]))
+                    for item in ids[low[k] : high[k]].tolist():
+                        yield first + int(rows[at[k]]), item, 1.0, own, own + size
+            at, slot = _hits(hashed, rows, items.grams, n)
+            if not len(at):
+                continue
+            many = begin[slot + 1] - begin[slot]
+            source = K.runs(begin[slot], many)
+            at = np.repeat(at, many)
+            item, diagonal = at_item[source], at - at_place[source]
+            row = rows[at]
+            by = np.lexsort((diagonal, item, row))
+            row, item, diagonal = row[by], item[by], diagonal[by]
+            size = sizes[item]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
+            group = np.flatnonzero(new)
+            for a, b in zip(group.tolist(), [*group[1:].tolist(), len(row)], strict=True):
+                own = items.words[item[a]]
+                pad = len(own) // 4 + 2
+                low, high = int(np.searchsorted(rows, row[a])), int(np.searchsorted(rows, row[a], "right"))
+                s, e = max(low, int(diagonal[a]) - pad), min(high, int(diagonal[b - 1]) + len(own) + pad)
+                if np.isin(own, hashed[s:e]).sum() < config.threshold * len(own):
+                    continue  # each word of the item that the passage has adds `match` at most
+                score, end = align(own, hashed[s:e], config)
+                share = score / (config.match * len(own))
+                if share >= config.threshold:
+                    yield first + int(row[a]), int(items.ids[item[a]]), share, s + begin_of(own, hashed[s : s + end], config) - low, s + end - low
+
+    return find
+
+
+def _passages(items: Items, config: DecontaminationConfig):
+    find = _finder(items, config)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            rows_out, items_out, scores, starts, ends = [], [], [], [], []
-            for first, hashed, rows, at, slot in _hits(batch.column(1), items.grams, n):
-                many = begin[slot + 1] - begin[slot]
-                source = np.repeat(begin[slot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-                at = np.repeat(at, many)
-                item, diagonal = at_item[source], at - at_place[source]
-                row = rows[at]
-                by = np.lexsort((diagonal, item, row))
-                row, item, diagonal = row[by], item[by], diagonal[by]
-                size = sizes[item]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
-                group = np.flatnonzero(new)
-                for a, b in zip(group.tolist(), [*group[1:].tolist(), len(row)], strict=True):
-                    own = items.words[item[a]]
-                    pad = len(own) // 4 + 2
-                    low, high = np.searchsorted(rows, row[a]), np.searchsorted(rows, row[a], "right")
-                    s, e = max(low, diagonal[a] - pad), min(high, diagonal[b - 1] + len(own) + pad)
-                    if np.isin(own, hashed[s:e]).sum() < config.threshold * len(own):
-                        continue  # each word of the item that the passage has adds `match` at most
-                    score, end = align(own, hashed[s:e], config)
-                    share = score / (config.match * len(own))
-                    if share >= config.threshold:
-                        rows_out.append(first + int(row[a]))
-                        items_out.append(int(items.ids[item[a]]))
-                        scores.append(share)
-                        starts.append(int(max(s + end - len(own), s) - low))
-                        ends.append(int(s + end - low))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows_out, pa.int64())), pa.array(items_out, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                [c.split()[0] for c in PAIR_SCHEMA.split(", ")],
-            )
+            found = list(find(batch.column(1)))
+            columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [()] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], [c.split()[0] for c in PAIR_SCHEMA.split(", ")])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
-    """(doc_id, item_id, score, word_start, word_end): the documents that hold a test item, each item once with its best
-    passage. Words are runs of ASCII letters and digits, lower-cased, and of all other non-ASCII characters.
+def _clean(items: Items, config: DecontaminationConfig, column: int):
+    find = _finder(items, config)
 
-    Null and empty texts match nothing, neither do items under min_words words, nor items without an id. Documents
-    without an id are matched and give null doc_ids, one row for each item. Repeated documents or items give one row for
-    each pair of ids. Empty tables give an empty result. Texts may be of any length.
-    """
-    spark = docs.sparkSession
-    docs = texts(docs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[np.fromiter((f[0] for f in find(batch.column(column).cast(pa.string()))), np.int64)] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, config: DecontaminationConfig) -> Iterator[Items]:
+    """The items in blocks of about `block_words` words: the only rows that the driver reads."""
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + size // (4 * config.block_words)
-    out = spark.createDataFrame([], PAIR_SCHEMA)
     for k in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = parse([r.item_id for r in own], [r.text for r in own], config)
-        if not len(items.ids):
-            continue
-        found = docs.mapInArrow(_passages(items, config), PAIR_SCHEMA)
-        out = out.union(found)
+        if len(items.ids) or items.short:
+            yield items
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
+    """(doc_id, item_id, score, word_start, word_end): the documents that hold a test item, each item once with its best
+    passage, of equal ones the first. Words are runs of ASCII letters and digits, lower-cased, and of all other non-ASCII
+    characters; places are those of the words of the document from 0, the end exclusive.
+
+    Null and empty texts match nothing, neither do items without a word or without an id. Items of fewer than min_words
+    words are matched whole, with score 1. Documents without an id are matched and give null doc_ids, one row for each
+    item. Repeated documents or items give one row for each pair of ids. Empty tables give an empty result. Texts may be of
+    any length; other columns aren't read.
+    """
+    docs = texts(docs)
+    out = docs.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    for items in _blocks(benchmark, config):
+        out = out.union(docs.mapInArrow(_passages(items, config), PAIR_SCHEMA))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("word_start")).alias("o"), "word_start", "word_end")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.word_start", "b.word_end")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
-    """`docs`, with all columns, without the documents that hold a test item. Documents without an id are judged as one:
-    they go if any of them holds an item, as nothing else tells them apart."""
-    gone = free_name(docs, "gone")
-    found = Scratch(docs.sparkSession, "contaminated").save(contaminated(docs, benchmark, config).select(F.col("doc_id").alias(gone)).distinct())
-    few = found.count() <= 500_000
-    return docs.join(F.broadcast(found) if few else found, F.col("doc_id").cast("long").eqNullSafe(F.col(gone)), "left_anti")
+    """`docs`, with all columns, whatever their names, without the rows that hold a test item. Each row is judged by its own
+    whole text and no id is read, so rows with null or repeated ids stay or go by themselves; rows with null or empty texts
+    stay. No shuffle: a pass over the rows for each block of items. Empty tables: nothing is dropped.
+    """
+    texts(docs)  # for its small batches
+    for items in _blocks(benchmark, config):
+        docs = docs.mapInArrow(_clean(items, config, docs.columns.index("text")), docs.schema)
+    return docs
