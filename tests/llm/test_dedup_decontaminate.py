@@ -68,6 +68,31 @@ def test_one_of_each_group_stays(documents):
     kept = minhash_dedup.drop_near_duplicates(frame)
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+    assert minhash_dedup.drop_near_duplicates(documents()).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_ids", [0, 500_000])
+def test_rows_of_one_id_are_told_apart(documents, broadcast_ids):
+    rows = [(5, "a b c d"), (5, "p q r s"), (5, "p q r s"), (6, "p q r s"), (3, "a b c d"), (None, "k l m n"), (None, "k l m n"), (None, "f g h"), (7, "f g h"), (8, None), (8, None), (None, ""), (9, "t u v w"), (9, "x y z")]
+    rows += [(20, " ".join(f"w{k}" for k in range(40))), (20, " ".join(f"w{k}" for k in range(41))), (20, " ".join(f"v{k}" for k in range(40)))]
+    config = DedupConfig(broadcast_ids=broadcast_ids)
+    got = minhash_dedup.near_duplicates(documents(*rows), config).collect()
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got)
+    assert found == sorted(
+        [(5, 3, 3, False), (5, 3, 5, True), (5, 3, 5, True), (6, 3, 5, False), (3, 3, 3, True), (0, 3, 0, True), (0, 3, 0, True), (0, 2, 7, False), (7, 2, 7, True)]
+        + [(8, 0, 8, True), (8, 0, 8, True), (0, 0, 0, True), (9, 3, 9, True), (9, 2, 9, True), (20, 39, 20, True), (20, 40, 20, True), (20, 39, 20, True)]
+    )
+    frame = documents(*rows, extra=True)
+    kept = minhash_dedup.drop_near_duplicates(frame, config)
+    assert kept.columns == frame.columns
+    left = sorted((r.doc_id or 0, (r.text or "")[:3]) for r in kept.collect())
+    assert left == sorted([(3, "a b"), (5, "p q"), (0, "k l"), (7, "f g"), (8, ""), (8, ""), (0, ""), (9, "t u"), (9, "x y"), (20, "w0 "), (20, "v0 ")])
+
+
+def test_blocks_of_few_bytes_change_nothing(documents):
+    rows = corpus(77)
+    got = minhash_dedup.near_duplicates(documents(*rows), DedupConfig(block_bytes=2000, leader_rounds=1)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
 
 
 def test_sketch_fills_and_estimates():

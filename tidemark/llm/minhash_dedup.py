@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
 from tidemark.llm.graph import connected_components
-from tidemark.llm.storage import free_name, Scratch, texts
+from tidemark.llm.storage import Scratch, texts, with_row_key
 
-#: Nodes from here on stand for groups of texts of which none has an id.
+#: Nodes from here on stand for sets that no id names alone: none of their rows has one, or another set has the same one.
 UNNAMED = 1 << 62
 
 
@@ -34,7 +34,7 @@ UNNAMED = 1 << 62
 class DedupConfig:
     """words: of a shingle; percent: least Jaccard similarity of a link; bands x rows: coordinates of the sketch. A pair
     at similarity s misses all buckets with probability (1 - s**rows)**bands: 3e-6 at 0.8. leader_rounds: of step 3.
-    block: members in a block of step 4. broadcast_ids: ids sent to all executors at most (8 bytes each), beyond which
+    block, block_bytes: members in a block of step 4 and about their sets' bytes, unless one set is larger. broadcast_ids: ids sent to all executors at most (8 bytes each), beyond which
     the join is shuffled."""
 
     words: int = 2
@@ -43,6 +43,7 @@ class DedupConfig:
     rows: int = 5
     leader_rounds: int = 3
     block: int = 512
+    block_bytes: int = 32 << 20
     broadcast_ids: int = 500_000
 
 
@@ -80,41 +81,49 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 SKETCH_SCHEMA = "doc_id long, n long, f1 long, f2 long, bands array<long>"
 
 
-def _sketches(config: DedupConfig):
+def _sketches(config: DedupConfig, keys: tuple[str, ...] = ()):
+    """The columns `keys` follow doc_id and text and are carried along."""
     t = config.bands * config.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, sets in K.shingle_sets(batch.column(1), config.words):
-                sizes = np.array([len(s) for s in sets], np.int64)
+                sizes, f1, f2 = fingerprints(sets)
                 full = np.flatnonzero(sizes)
-                f1, f2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                counts = np.zeros(len(sets), np.int64)
+                counts = np.where(sizes > 0, config.bands, 0)
                 bands = np.empty(0, np.int64)
                 if len(full):
-                    elements = np.concatenate([sets[k] for k in full])
-                    cuts = np.concatenate(([0], np.cumsum(sizes[full])))[:-1]
-                    f1[full] = np.add.reduceat(K.mix(elements ^ K.seed(7001)), cuts)
-                    f2[full] = np.add.reduceat(K.mix(elements ^ K.seed(7002)), cuts)
-                    counts[full] = config.bands
                     bands = band_hashes(sketch_batch([sets[k] for k in full], t), config.bands, config.rows).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(bands))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], ["doc_id", "n", "f1", "f2", "bands"]
+                    [ids.slice(first, len(sets)), pa.array(sizes), pa.array(f1), pa.array(f2), lists, *(batch.column(2 + k).slice(first, len(sets)) for k in range(len(keys)))],
+                    ["doc_id", "n", "f1", "f2", "bands", *keys],
                 )
 
     return run
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, two sums of hashes) of sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    sums = np.zeros((2, len(sets)), np.uint64)
+    if len(full):
+        elements = np.concatenate([sets[k] for k in full])
+        cuts = np.concatenate(([0], np.cumsum(sizes[full])))[:-1]
+        for k in (0, 1):
+            sums[k, full] = np.add.reduceat(K.mix(elements ^ K.seed(7001 + k)), cuts)
+    return sizes, sums[0].view(np.int64), sums[1].view(np.int64)
+
+
 def _sets(config: DedupConfig):
-    """(uid, set as bytes of ascending 64-bit hashes)."""
+    """(doc_id, what tells a set apart, the set as bytes of ascending 64-bit hashes) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for first, sets in K.shingle_sets(batch.column(1), config.words):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), *map(pa.array, fingerprints(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", *SET, "grams"])
 
     return run
 
@@ -170,46 +179,63 @@ def near_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig()) -> Dat
     Null or empty texts, and texts without words: n_shingles 0, linked with nothing, so component_id = doc_id. Texts of
     fewer words than a shingle have their whole sequence as one. Rows without doc_id are linked as any others, but name
     no component: component_id is the smallest id that any row of the component has, null where none has, and kept is
-    the null-safe doc_id = component_id. Repeated rows, and rows that share a doc_id, are one document. Empty table: an
-    empty result. Texts may be of any length.
+    the null-safe doc_id = component_id. Rows that share a doc_id but not their shingles are documents of their own,
+    repeated rows are alike. Empty table: an empty result. Texts may be of any length.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    docs = texts(docs)
-    sketched = scratch.save(docs.mapInArrow(_sketches(config), SKETCH_SCHEMA))
-    key = ["n", "f1", "f2"]
-    unnamed = F.lit(UNNAMED) + F.col("f1").bitwiseAND(F.lit(UNNAMED - 1))
-    named = F.coalesce(F.min("doc_id"), F.min(unnamed))
-    groups = scratch.save(sketched.where("n > 0").groupBy(*key).agg(named.alias("uid")))
-    #: Copies have the same bands: a bucket counts its distinct sets by the uids in it, and each uid once.
-    own = sketched.where("n > 0").select(F.coalesce("doc_id", unnamed).alias("row_uid"), *key, "bands").join(groups, key).where("row_uid = uid")
-    member = own.select("uid", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least < most").select("bucket")
-    members = scratch.save(member.join(shared, "bucket").select("bucket", "uid").distinct())
+    scratch = Scratch(docs.sparkSession, "minhash")
+    judged = _judged(texts(docs), (), scratch, config)
+    return judged.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: What tells shingle sets apart: their size and two sums of hashes.
+SET = ["n", "f1", "f2"]
+
+
+def _judged(docs: DataFrame, keys: tuple[str, ...], scratch: Scratch, config: DedupConfig) -> DataFrame:
+    """(doc_id, keys, n, node, component_id) of (doc_id, text, keys): node stands for the row's component, null without
+    words; component_id is the smallest id in it, and the row's own without words."""
+    carried = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in keys)
+    sketched = scratch.save(docs.mapInArrow(_sketches(config, keys), SKETCH_SCHEMA + carried))
+    unnamed = F.lit(UNNAMED) + F.xxhash64(*SET).bitwiseAND(F.lit(UNNAMED - 1))
+    groups = scratch.save(sketched.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("least")))
+    #: An id that several sets have as their smallest names none of them.
+    twice = scratch.save(groups.where("least is not null").groupBy("least").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("least").alias("twice")))
+    shared_ids = not twice.isEmpty()
+    named = groups.join(twice, F.col("least") == F.col("twice"), "left") if shared_ids else groups.withColumn("twice", F.lit(None).cast("long"))
+    groups = scratch.save(named.select(*SET, "least", F.when(F.col("least").isNull() | F.col("twice").isNotNull(), unnamed).otherwise(F.col("least")).alias("uid")))
+    #: One row of each set speaks for its copies, which have the same bands.
+    own = sketched.where("n > 0").join(groups, SET).where(F.col("doc_id").eqNullSafe(F.col("least"))).select("uid", "n", "bands")
+    member = own.select("uid", "n", F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("bucket")
+    members = scratch.save(member.join(shared, "bucket").groupBy("bucket", "uid").agg(F.max("n").alias("n")))
     if members.isEmpty():
         component = groups.select(F.col("uid").alias("node"), F.col("uid").alias("component")).limit(0)
     else:
-        component = _link(docs, members, scratch, config)
-    named_groups = groups.join(component, F.col("uid") == F.col("node"), "left").select(*key, F.coalesce("component", "uid").alias("component"))
-    smallest = F.when(F.col("component") < UNNAMED, F.col("component"))
-    return (
-        sketched.select("doc_id", *key)
-        .join(named_groups, key, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(smallest).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def _link(docs: DataFrame, members: DataFrame, scratch: Scratch, config: DedupConfig) -> DataFrame:
-    """(node, component) of the uids in buckets that several sets share."""
-    wanted = scratch.save(members.select("uid").distinct())
-    few = wanted.count() <= config.broadcast_ids and not wanted.where(F.col("uid") >= UNNAMED).limit(1).count()
-    if few:
-        own = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("uid"), "left_semi").select(F.col("doc_id").alias("uid"), "text")
-        sets = own.mapInArrow(_sets(config), "uid long, grams binary")
+        component = _link(docs.select("doc_id", "text"), groups, members, scratch, config)
+    labelled = groups.join(component, F.col("uid") == F.col("node"), "left").select(*SET, "least", F.coalesce("component", "uid").alias("node"))
+    if shared_ids:
+        labelled = scratch.save(labelled)
+        ids = scratch.save(labelled.groupBy("node").agg(F.min("least").alias("component_id")))
+        labelled = labelled.join(ids, "node")
     else:
-        sets = docs.mapInArrow(_named_sets(config), "uid long, grams binary").join(wanted, "uid", "left_semi")
-    sets = scratch.save(sets.where(F.length("grams") > 0))
+        labelled = labelled.withColumn("component_id", F.when(F.col("node") < UNNAMED, F.col("node")))
+    found = sketched.drop("bands").join(labelled.select(*SET, "node", "component_id"), SET, "left")
+    return found.select("doc_id", *keys, "n", "node", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _link(docs: DataFrame, groups: DataFrame, members: DataFrame, scratch: Scratch, config: DedupConfig) -> DataFrame:
+    """(node, component) of the uids in buckets that several sets share."""
+    wanted = scratch.save(members.select("uid").distinct().join(groups, "uid").select("uid", "least", *SET))
+    n_wanted, unnamed = wanted.agg(F.count("*"), F.count_if(F.col("uid") >= UNNAMED)).first()
+    few = n_wanted <= config.broadcast_ids
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    own = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    read = own.mapInArrow(_sets(config), "doc_id long, n long, f1 long, f2 long, grams binary").where("n > 0")
+    sets = None if unnamed else scratch.save(read.select(F.col("doc_id").alias("uid"), "grams"))
+    if sets is None or sets.count() != n_wanted:
+        #: Some id has several rows: of copies, or of texts that other ids stand for. What they hold tells them apart.
+        once = read.groupBy(*SET).agg(F.first("grams").alias("grams"))
+        sets = scratch.save(once.join(F.broadcast(wanted) if few else wanted, SET).select("uid", "grams"))
     links = None
     component = None
     for i in range(config.leader_rounds):
@@ -233,7 +259,7 @@ def _link(docs: DataFrame, members: DataFrame, scratch: Scratch, config: DedupCo
 def _with_component(members: DataFrame, component: DataFrame | None) -> DataFrame:
     if component is None:
         return members.withColumn("comp", F.col("uid"))
-    return members.join(component, F.col("uid") == F.col("node"), "left").select("bucket", "uid", F.coalesce("component", "uid").alias("comp"))
+    return members.join(component, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "n", F.coalesce("component", "uid").alias("comp"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, config: DedupConfig) -> DataFrame:
@@ -245,10 +271,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: DedupConfig) -> DataFr
 def _rest(members: DataFrame, component: DataFrame, sets: DataFrame, config: DedupConfig) -> DataFrame | None:
     """The links across components that no leader round has met. Buckets of two are done: one of them was the leader."""
     at = _with_component(members, component)
-    sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    split = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1 and m > 2")
-    split = split.select("bucket", F.col("m").alias("bucket_size"), F.col("top.comp").alias("top"))
-    open_ = at.join(split, "bucket").select("bucket", "uid", "comp", "bucket_size", (F.col("comp") != F.col("top")).alias("asks"))
+    sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    split = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("grams").alias("grams"), F.count("*").alias("comps")).where("comps > 1 and m > 2")
+    split = split.select("bucket", F.col("m").alias("bucket_size"), (8 * F.col("grams")).alias("bucket_bytes"), F.col("top.comp").alias("top"))
+    open_ = at.join(split, "bucket").select("bucket", "uid", "comp", "bucket_size", "bucket_bytes", (F.col("comp") != F.col("top")).alias("asks"))
     small = open_.where(F.col("bucket_size") <= 8)
     pairs = (
         small.where("asks").select("bucket", F.col("uid").alias("a"), F.col("comp").alias("comp_a"))
@@ -259,7 +285,7 @@ def _rest(members: DataFrame, component: DataFrame, sets: DataFrame, config: Ded
     large = open_.where(F.col("bucket_size") > 8)
     if large.isEmpty():
         return links
-    blocks = F.ceil(F.col("bucket_size") / config.block).cast("int")
+    blocks = F.least("bucket_size", F.greatest(F.ceil(F.col("bucket_size") / config.block), F.ceil(F.col("bucket_bytes") / config.block_bytes))).cast("int")
     dealt = large.withColumn("mine", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("blocks", blocks)
     askers = dealt.where("asks").select("bucket", "uid", "comp", "asks", F.col("mine").alias("asking"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asked"))
     busy = askers.select("bucket", "asking").distinct()
@@ -268,33 +294,23 @@ def _rest(members: DataFrame, component: DataFrame, sets: DataFrame, config: Ded
     return links.union(both.groupBy("bucket", "asking", "asked").applyInArrow(_block_links(config.percent), "a long, b long"))
 
 
-def _named_sets(config: DedupConfig):
-    """As _sets, with the node that stands for texts without an id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, sets in K.shingle_sets(batch.column(1), config.words):
-                uids = []
-                for k, s in enumerate(sets):
-                    own = ids[first + k]
-                    f1 = int(K.mix(s ^ K.seed(7001)).sum(dtype=np.uint64)) if len(s) else 0
-                    uids.append(own if own is not None else UNNAMED + (f1 & (UNNAMED - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "grams"])
-
-    return run
-
-
 def drop_near_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig()) -> DataFrame:
-    """`docs` with one document of each group of near copies: that with the smallest id. All columns stay. Documents
-    without an id stay unless they are linked with one that has an id; of rows that repeat an id one stays."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash-drop")
-    judged = scratch.save(near_duplicates(docs, config))
-    gone = free_name(docs, "gone")
-    dropped = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct()
-    few = judged.where("not kept").count() <= config.broadcast_ids
-    kept = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col(gone), "left_anti")
-    if judged.where("kept").groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """`docs`, with all columns, whatever their names, with one row of each group of near copies: that with the smallest
+    id, of equal ids, or if no row has one, the first one by file and place in it.
+
+    Rows are told apart by their place in the files of `docs` (rows from elsewhere are written first), so rows with null or
+    repeated ids are linked and dropped by themselves: repeated rows leave one, rows that share an id but not their texts
+    all stay. Null and empty texts and texts without words are linked with nothing and stay. Empty table: an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash-drop")
+    keyed, (file, place) = with_row_key(docs)
+    read = texts(keyed, file, place)
+    judged = scratch.save(_judged(read, (file, place), scratch, config).where("n > 0"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(file).alias("file"), F.col(place).alias("place"))
+    first = judged.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    first = scratch.save(first.select("node", F.col("first.file").alias("first_file"), F.col("first.place").alias("first_place")))
+    stays = (F.col(file) == F.col("first_file")) & (F.col(place) == F.col("first_place"))
+    gone = scratch.save(judged.join(first, "node").where(~stays).select(F.col(file).alias("gone_file"), F.col(place).alias("gone_place")))
+    few = gone.count() <= config.broadcast_ids // 4  # a file's name beside each
+    same = (F.col(file) == F.col("gone_file")) & (F.col(place) == F.col("gone_place"))
+    return keyed.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import Scratch, free_name
+from tidemark.llm.storage import Scratch, free_name, with_row_key
 
 
 @dataclass(frozen=True)
@@ -98,13 +98,6 @@ def _divide(parts: dict[tuple[int, int], list[tuple[int, int]]]):
     return run
 
 
-def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(`docs` with the file and the place in it of each row, the names of these two columns). `docs` must be a scan of
-    Parquet files. The pair is unique and never null, whatever the ids, and the same whenever the files are read."""
-    names = [free_name(docs, "row_file"), free_name(docs, "row_place")]
-    return docs.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
-
-
 COLUMNS = ("doc_id", "size", "text_crc32")
 
 
@@ -231,7 +224,8 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, key: Sequence[str]) ->
 
 def resharded(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig()) -> DataFrame:
     """The digest of `reshard` after the affected shards were rewritten in the shared folder: size, checksum, shard and slot
-    of their rows are read from the new files, those of other shards from the plan. `docs` must be a scan of files.
+    of their rows are read from the new files, those of other shards from the plan. Rows that come from no scan of files are written
+    there first.
 
     Nulls, repeated rows and empty tables as in `reshard`.
     """

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text of `docs` alone, typed, in small Arrow batches from here on in this session."""
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id and text of `docs`, typed, and the columns `others` alone, in small Arrow batches from here on in this session:
+    lazy results are computed after their operator has returned, so the settings stay."""
     for key, value in ARROW_BATCHES.items():
         docs.sparkSession.conf.set(key, value)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
 
 
 def piece_of(text: Column, draw: Column, most: int) -> Column:
@@ -83,6 +85,20 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(`docs` with the file and the place in it of each row, the names of these two columns). The pair is unique and never
+    null, whatever the ids, and the same whenever the files are read. Rows that come from no scan of files are written to
+    the shared folder first."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"])
+    except AnalysisException:
+        docs = Scratch(docs.sparkSession, "rows").save(docs)
+        meta = docs.metadataColumn("_metadata")
+    names = [free_name(docs, "row_file"), free_name(docs, "row_place")]
+    return docs.select("*", meta["file_path"].alias(names[0]), meta["row_index"].alias(names[1])), names
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
