@@ -126,7 +126,7 @@ def test_longest_rule_wins(spark):
     assert by[6, "x.org"] == (None, "block", "/es")  # by convention /es redirects to where /es/ does
     assert by[7, ""] == (None, "allow", "") and by[8, ""] == (None, "allow", "")
     assert by[9, "com"] in (("com/en/", "block", "/en/"), (None, "allow", ""))
-    assert url_filter.judge(pages(spark, []), conventions=False).count() == 0
+    assert url_filter.judge(pages(spark, []), conventions=()).count() == 0
 
 
 def test_blocks_spread_over_links_and_allows_win(spark):
@@ -146,3 +146,43 @@ def test_long_chains_come_together(spark):
     rows = [(k, f"http://c.io/{k}", f'<link rel=canonical href="http://c.io/{k + 1}">') for k in range(40)] + [(99, "http://z.io/", None)]
     out = url_filter.judge(pages(spark, rows)).groupBy("component").agg(F.count("*").alias("n")).collect()
     assert sorted(r.n for r in out) == [1, 40]
+
+
+def tagged():
+    """Pages with real tags, and what must become of them."""
+    link = lambda u: f"<link rel='canonical nofollow' href=\"{u}\">"
+    bad = "http://bad.org/es/1"
+    return [
+        (1, "http://a.io/x/p", f"<!-- {link(bad)} -->", "allow"), (2, "http://b.io/x/p", f"<script>var s = \"{link(bad)}\";</script>", "allow"),
+        (3, "http://c.io/x/p", f"<!-- {link(bad)}", "allow"), (4, "http://d.io/x/p", link("../y/./q"), "block"), (5, "http://d.io/y/q", link(bad), "block"),
+        (6, "http://e.io/x", f"<base href='//bad.org/es/deep/'>{link('page')}", "block"), (7, "http://f.io/x", f"<base href='/es/'><base href='/no/'>{link('z?a#b')}", "block"),
+        (8, "http://f.io/es/z", link("//BAD.org/es/7?q"), "block"), (9, "http://g.io/x", link("mailto:a@bad.org"), "allow"), (10, "http://h.io/x", link("javascript://bad.org/es/"), "block"),
+        (11, "http://i.io/x", "<meta http-equiv='Refresh' content='3; URL=http://bad.org/es/5'>", "block"), (12, "http://j.io/x", link("?next=http://bad.org/es/1"), "allow"),
+        (13, "http://k.io/x", "<LINK HREF=http:&#x2F;&#x2F;bad.org/es/9&amp;z REL=canonical>", "block"), (14, "http://l.io", link("es/../../up/."), "allow"), (15, "http://l.io/up/", link(bad), "block"),
+        (16, "http://m.n.io/a.html", None, "allow"), (17, "http://n.io/a", link("http://bad.org/es/"), "block"), (18, "http://www.o.io/q/", link("b.html"), "allow"), (19, "http://o.io/q/b", None, "allow"),
+    ]
+
+
+def test_tags_of_real_pages_and_the_twin(spark):
+    import duckdb
+
+    filler = "<p>word</p>\n" * 20_000
+    rows = [(i, u, h if h is None or i % 4 else filler + h + filler) for i, u, h, _ in tagged()] + [(None, "http://a.io/x/p", ""), (20, None, None), (21, "", "<link"), (1, "http://d.io/x/p", None)]
+    got = url_filter.judge(pages(spark, rows, True))
+    want = {i: v for i, _, _, v in tagged()}
+    want |= {14: "block", 16: "block"}  # 14 climbs to /up/, which is 15; 16 goes by convention to 17
+    assert {r.page_id: r.verdict for r in got.collect() if r.page_id and 2 <= r.page_id < 20} == {i: v for i, v in want.items() if i > 1}
+    con = duckdb.connect()
+    con.register("given", pages(spark, rows).toArrow())
+    con.execute("CREATE TABLE pages AS SELECT * FROM given")
+    columns = ["page_id", "host", "path", "rule", "verdict", "component"]
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({url_filter.ORACLE})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, theirs))
+
+
+def test_conventions_one_by_one(spark):
+    for c, u, v in zip(url_filter.CONVENTIONS, ("http://www.a.io/p", "http://m.a.io/p", "http://a.io/p/", "http://a.io/p.html"), (0, 1, 2, 3), strict=True):
+        rows = [(1, u, None), (2, "http://a.io/p", None)]
+        assert {r.component for r in url_filter.judge(pages(spark, rows), conventions=(c,)).collect()} == {"a.io/p"}
+        others = tuple(x for k, x in enumerate(url_filter.CONVENTIONS) if k != v)
+        assert len({r.component for r in url_filter.judge(pages(spark, rows), conventions=others).collect()}) == 2

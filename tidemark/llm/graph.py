@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b), component being the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edges stand still. Each step is an
-    aggregate with map-side combining and a join on the node, so a hub of any degree is pre-aggregated and its join side
-    can be split; every step is written to the shared folder. Null ends and self loops carry no link and are left out;
+    aggregate with map-side combining and a join on the node. The aggregates are written to the shared folder before they
+    are joined, so both sides of the join come from a plain shuffle and a hub's rows can be split over tasks. Null ends and self loops carry no link and are left out;
     an empty input gives an empty result.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -22,12 +22,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(down, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = scratch.save(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")))
+        large = scratch.save(both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        down = scratch.save(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        small = large.join(down, F.col("a") == F.col("n")).select(F.inline(ends)).where("a <> b").distinct()
         new = scratch.save(small)
-        scratch.drop(now)
+        scratch.drop(now, least, large, down)
         now = new
         at = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if at == mark:
