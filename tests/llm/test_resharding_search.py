@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bm25_search, resharding
+from tidemark.llm.storage import with_row_key
 
 WORDS = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 
@@ -72,36 +73,38 @@ def in_files(documents, tmp_path, rows, extra=True):
 @pytest.mark.parametrize("block_bytes", [100, 1 << 20])
 def test_rewriting_keeps_every_row(documents, spark, tmp_path, block_bytes):
     rows = ODD + [(BIG + 10 + 2 * k, "x" * (k % 40)) for k in range(200)]
-    docs, key = resharding.with_row_key(in_files(documents, tmp_path, rows))
+    docs, key = with_row_key(in_files(documents, tmp_path, rows))
     assert key == ["row_file", "row_place"]
     old = F.coalesce(F.col("doc_id") % 3, F.lit(0))
-    plan = resharding.reshard(docs, old, resharding.ReshardConfig(shards=4, block_bytes=block_bytes), key=key).cache()
-    assert collections.Counter(r.doc_id for r in plan.collect()) == collections.Counter(i for i, _ in rows)
-    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"), key)
+    plan = resharding.plan(docs, old, resharding.ReshardConfig(shards=4, block_bytes=block_bytes), key=key)
+    assert collections.Counter(r.doc_id for r in plan.rows.collect()) == collections.Counter(i for i, _ in rows)
+    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"))
     assert touched == [0, 1, 2, 3]
     files = spark.read.parquet(str(tmp_path / "out"))
     assert set(files.columns) == {*docs.columns, "_shard", "_slot"} - set(key)
     got = [(r._shard, r._slot, r.doc_id, r.text) for r in files.collect()]
     assert collections.Counter(g[2:] for g in got) == collections.Counter(rows)
-    assert sorted(g[:2] for g in got) == sorted((r.shard, r.slot) for r in plan.collect())
+    assert sorted(g[:2] for g in got) == sorted((r.shard, r.slot) for r in plan.rows.collect())
+    digest = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in plan.rows.collect())
+    assert digest == collections.Counter((i, zlib.crc32((t or "").encode()), s, k) for s, k, i, t in got)
     for shard in touched:
         order = [r._slot for r in files.where(F.col("_shard") == shard).collect()]
         assert order == sorted(order)
 
 
 def test_only_affected_shards_are_written(documents, spark, tmp_path):
-    docs, key = resharding.with_row_key(in_files(documents, tmp_path, [(k, "x" * 20) for k in range(100)]))
+    docs, key = with_row_key(in_files(documents, tmp_path, [(k, "x" * 20) for k in range(100)]))
     old = F.when(F.col("doc_id") < 50, 0).when(F.col("doc_id") < 70, 1).otherwise(2)
-    plan = resharding.reshard(docs, old, resharding.ReshardConfig(shards=3), key=key)
+    plan = resharding.plan(docs, old, resharding.ReshardConfig(shards=3), key=key)
     docs.select("*", old.alias("old")).write.partitionBy("old").parquet(str(tmp_path / "layout"))
     before = {p: p.read_bytes() for p in (tmp_path / "layout").rglob("*.parquet")}
-    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"), key)
+    touched = resharding.rewrite(docs, plan, str(tmp_path / "out"))
     assert 0 in touched and 1 in touched and before == {p: p.read_bytes() for p in before}
     even = docs.where("doc_id % 10 < 3 AND doc_id < 90")
-    same = resharding.reshard(even, F.col("doc_id") % 10, resharding.ReshardConfig(shards=3), key=key)
-    assert resharding.rewrite(even, same, str(tmp_path / "none"), key) == []
+    same = resharding.plan(even, F.col("doc_id") % 10, resharding.ReshardConfig(shards=3), key=key)
+    assert resharding.rewrite(even, same, str(tmp_path / "none")) == []
     with pytest.raises(ValueError):
-        resharding.rewrite(docs, plan.withColumn("row_place", F.lit(1)), str(tmp_path / "bad"), key)
+        resharding.plan(docs.withColumn("row_place", F.lit(1)), old, key=key)
 
 
 def test_digest_of_the_rewritten_shards(documents, tmp_path):

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +99,40 @@ def _divide(parts: dict[tuple[int, int], list[tuple[int, int]]]):
 
 
 COLUMNS = ("doc_id", "size", "text_crc32")
+#: Rows of cut blocks are met by a broadcast of so many keys at most, beyond it by a shuffled join.
+BROADCAST_KEYS = 125_000
 
 
-def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig(), costs: list[list[int]] | None = None, key: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard) and the columns `key` of `docs`, a row for each
-    row of `docs`.
+@dataclass(frozen=True)
+class Plan:
+    """rows: the digest that `reshard` describes, with `key`. old_shard: the expression for it. blocks: of each old shard.
+    whole: (old_shard, block, shard, base), the blocks that move or stay as one and the slot of their first row; cut: (the
+    key, shard, slot) of the rows of all other blocks; None where there are none."""
+
+    rows: DataFrame
+    key: tuple[str, ...]
+    old_shard: Column
+    blocks: dict[int, int]
+    whole: DataFrame | None
+    cut: DataFrame | None
+
+
+def _old(old_shard: Column) -> Column:
+    return F.coalesce(old_shard.cast("int"), F.lit(0))
+
+
+def _block(old: Column, spread: Column, blocks: dict[int, int]) -> Column:
+    counts = F.create_map(*[x for i, n in sorted(blocks.items()) for x in (F.lit(i), F.lit(n))])
+    return F.pmod(spread, counts[old]).cast("int")
+
+
+def _spread(key: Sequence[str]) -> Column:
+    """A hash of the row's key, or without one, of its place in this plan."""
+    return F.pmod(F.xxhash64(*key) if key else F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40))
+
+
+def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig(), costs: list[list[int]] | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard), a row for each row of `docs`.
 
     old_shard: an expression over `docs` for the shard (0 and up, a few hundred at most) in which a row lies; a new shard
     of the same number is its home. costs[i][j]: of moving a byte from i to j; by default 0 at home and 1 else. size:
@@ -114,6 +143,12 @@ def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardC
     that are equal in all columns, are rows as any others. Fewer rows than shards leave shards empty. Empty table: an
     empty result.
     """
+    return plan(docs, old_shard, config, costs).rows
+
+
+def plan(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig(), costs: list[list[int]] | None = None, key: Sequence[str] = ()) -> Plan:
+    """`reshard`, with what `rewrite` needs. `key`: columns of `docs` that tell its rows apart (see `with_row_key`); a key
+    that is null or repeated is an error."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -121,38 +156,38 @@ def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardC
     keys = [f"key_{k}" for k in range(len(key))]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)],
+        _old(old_shard).alias("old_shard"), _spread(key).alias("spread"), *[F.col(c).alias(k) for c, k in zip(key, keys, strict=True)],
     )
     own = [*COLUMNS, *keys]
-    rows = scratch.save(rows.withColumn("spread", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << 40))))
+    rows = scratch.save(rows)
+    if keys and not rows.groupBy(*keys).agg(F.count("*").alias("rows_of_key")).where(F.expr(" OR ".join([f"{k} IS NULL" for k in keys] + ["rows_of_key > 1"]))).isEmpty():
+        raise ValueError("the key must tell all rows apart")
 
-    def named(out: DataFrame) -> DataFrame:
+    def planned(out: DataFrame, blocks: dict[int, int], whole: DataFrame | None, cut: DataFrame | None) -> Plan:
         plain = [*COLUMNS, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"]
-        return out.select(*plain, *[F.col(k).alias(c) for c, k in zip(key, keys, strict=True)])
+        return Plan(out.select(*plain, *[F.col(k).alias(c) for c, k in zip(key, keys, strict=True)]), tuple(key), old_shard, blocks, whole, cut)
 
     old = {r.old_shard: r.bytes for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()}
     total = sum(old.values())
     if not total:
-        return named(rows.select(*own, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "old_shard"))
+        return planned(rows.select(*own, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "old_shard"), {}, None, None)
     names = sorted(old)
     capacities = [(total * (j + 1)) // config.shards - (total * j) // config.shards for j in range(config.shards)]
     costs = costs or [[0 if i == j else 1 for j in range(config.shards)] for i in names]
     flow = min_cost_flow([old[i] for i in names], capacities, costs)
     aim = max(config.block_bytes, total // max(1, config.blocks - len(names)))
     counts = {i: 1 + old[i] // aim for i in names}
-    blocks_of = F.create_map(*[x for i in names for x in (F.lit(i), F.lit(counts[i]))])
-    rows = rows.withColumn("block", F.pmod("spread", blocks_of[F.col("old_shard")]).cast("int"))
+    rows = rows.withColumn("block", _block(F.col("old_shard"), F.col("spread"), counts))
     whole, cut = _transfers(rows, names, flow)
-    starts, used = {}, [0] * config.shards
-    for block, (shard, n) in whole.items():
-        starts[block] = (shard, used[shard])
+    starts, used = [], [0] * config.shards
+    for (o, b), (shard, n) in whole.items():
+        starts.append((o, b, shard, used[shard]))
         used[shard] += n
-    placed = spark.createDataFrame([(o, b, s, at) for (o, b), (s, at) in starts.items()], "old_shard int, block int, shard int, base long") if starts else None
-    out = None
+    placed = spark.createDataFrame(starts, "old_shard int, block int, shard int, base long") if starts else None
+    out = split = None
     if placed is not None:
-        order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "spread")
         plain = rows.join(F.broadcast(placed), ["old_shard", "block"])
-        out = plain.select(*own, "shard", (F.col("base") + F.row_number().over(order) - 1).alias("slot"), "old_shard")
+        out = plain.select(*own, "shard", (F.col("base") + F.row_number().over(_in_block("old_shard", "block")) - 1).alias("slot"), "old_shard")
     if cut:
         split_blocks = spark.createDataFrame(list(cut), "old_shard int, block int")
         open_ = rows.join(F.broadcast(split_blocks), ["old_shard", "block"]).select(*own, "old_shard", "block", "spread")
@@ -165,7 +200,11 @@ def reshard(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardC
         parts = spark.createDataFrame(bases, "old_shard int, block int, shard int, base long")
         split = divided.join(F.broadcast(parts), ["old_shard", "block", "shard"]).select(*own, "shard", (F.col("base") + F.col("rank")).alias("slot"), "old_shard")
         out = split if out is None else out.union(split)
-    return named(out)
+    return planned(out, counts, placed, split)
+
+
+def _in_block(*by: str):
+    return Window.partitionBy(*by).orderBy("doc_id", "text_crc32", "spread")
 
 
 def _transfers(rows: DataFrame, names: list[int], flow: list[list[int]]):
@@ -192,53 +231,62 @@ def _transfers(rows: DataFrame, names: list[int], flow: list[list[int]]):
     return whole, cut
 
 
-#: Rows of a shard that are written in one piece.
-PIECE = 1 << 16
+#: Slots of a shard whose blocks are written by one task.
+PIECE = 1 << 13
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, key: Sequence[str]) -> list[int]:
-    """Write the shards that gain or lose rows, with all columns of `docs` but `key`, as Parquet under path/shard=N, in
+def rewrite(docs: DataFrame, plan: Plan, path: str) -> list[int]:
+    """Write the shards that gain or lose rows, with all columns of `docs` but the key, as Parquet under path/shard=N, in
     slot order with the slot beside them, and return their numbers; the two columns take more underscores if the documents
     have such names. A shard none of whose rows moves stays as its old files are.
 
-    `docs` and `plan` share the columns `key` (see `with_row_key`), which tell rows apart; doc_ids may be null or repeated
-    and are not looked at. Texts may be null or of any length. A key that is null or repeated in the plan is an error.
-    Without a row, or without a move, nothing is written.
+    `docs` are the rows that were planned, with the plan's key. A row's block follows from its key, and the plan's table of
+    blocks is small, so texts are shuffled once, to their shard. doc_ids and texts may be null or repeated, texts of any
+    length. Without a row, or without a move, nothing is written.
     """
-    keys = [f"plan_key_{k}" for k in range(len(key))]
-    kinds = [F.col(c).alias(k) for c, k in zip(key, keys, strict=True)]
-    if not plan.select(*kinds).groupBy(*keys).agg(F.count("*").alias("rows_of_key")).where(F.expr(" OR ".join([f"{k} IS NULL" for k in keys] + ["rows_of_key > 1"]))).isEmpty():
-        raise ValueError("the key must tell all rows apart")
-    moved = plan.where("shard <> old_shard")
-    touched = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})
+    moves = [p.select("shard", "old_shard").distinct() for p in (plan.whole, plan.cut) if p is not None]
+    touched = sorted({i for m in moves for r in m.where("shard <> old_shard").collect() for i in r})
     if not touched:
         return []
     shard, slot = (free_name(docs, c) for c in ("shard", "slot"))
-    mine = plan.where(F.col("shard").isin(touched)).select(*kinds, F.col("shard").alias(shard), F.col("slot").alias(slot))
-    same = [F.col(c) == F.col(k) for c, k in zip(key, keys, strict=True)]
-    joined = docs.join(mine, same).select(*[c for c in docs.columns if c not in key], shard, slot)
-    dealt = joined.repartition(F.col(shard), F.floor(F.col(slot) / PIECE)).sortWithinPartitions(shard, slot)
-    dealt.write.partitionBy(shard).parquet(path)
+    columns = [c for c in docs.columns if c not in plan.key]
+    whole = F.struct(*[F.col(c) for c in columns]).alias("row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32"), _old(plan.old_shard).alias("old_shard"), _spread(plan.key).alias("spread"), *[F.col(c).alias(f"key_{k}") for k, c in enumerate(plan.key)])
+    out = []
+    if plan.whole is not None:
+        blocks = plan.whole.where(F.col("shard").isin(touched)).withColumn("piece", F.floor(F.col("base") / PIECE))
+        placed = rows.withColumn("block", _block(F.col("old_shard"), F.col("spread"), plan.blocks)).join(F.broadcast(blocks), ["old_shard", "block"])
+        dealt = placed.repartition("shard", "piece")
+        at = F.row_number().over(_in_block("shard", "piece", "old_shard", "block"))
+        out.append(dealt.select("row", "shard", (F.col("base") + at - 1).alias("slot")))
+    if plan.cut is not None:
+        few = plan.cut.count() <= BROADCAST_KEYS
+        cut = plan.cut.where(F.col("shard").isin(touched)).select(*[f"key_{k}" for k in range(len(plan.key))], "shard", "slot")
+        own = rows.join(F.broadcast(cut) if few else cut, [f"key_{k}" for k in range(len(plan.key))])
+        out.append(own.select("row", "shard", "slot").repartition("shard", F.floor(F.col("slot") / PIECE)))
+    both = out[0] if len(out) == 1 else out[0].union(out[1])
+    named = both.select(*[F.col("row")[c].alias(c) for c in columns], F.col("shard").alias(shard), F.col("slot").alias(slot))
+    named.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     return touched
 
 
 def resharded(docs: DataFrame, old_shard: Column, config: ReshardConfig = ReshardConfig()) -> DataFrame:
     """The digest of `reshard` after the affected shards were rewritten in the shared folder: size, checksum, shard and slot
-    of their rows are read from the new files, those of other shards from the plan. Rows that come from no scan of files are written
-    there first.
+    of their rows are read from the new files, those of other shards from the plan. Rows that come from no scan of files
+    are written there first.
 
     Nulls, repeated rows and empty tables as in `reshard`.
     """
     scratch = Scratch(docs.sparkSession, "rewrite")
     keyed, key = with_row_key(docs)
-    plan = scratch.save(reshard(keyed, old_shard, config, key=key))
+    moves = plan(keyed, old_shard, config, key=key)
     path = f"{scratch.root}/shards"
-    touched = rewrite(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key), plan, path, key)
-    stayed = plan.drop(*key).where(~F.col("shard").isin(touched))
+    touched = rewrite(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), old_shard.alias("old"), *key), replace(moves, old_shard=F.col("old")), path)
+    stayed = moves.rows.drop("old_shard", *key).where(~F.col("shard").isin(touched))
     if not touched:
         return stayed
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     files = docs.sparkSession.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
-    size = (F.octet_length(text) + 8).cast("long")
-    written = files.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-    return stayed.drop("old_shard").union(written)
+    written = files.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return stayed.union(written)
