@@ -40,6 +40,48 @@ def stream_background(spark, sf_dir):
     return P.drain(P.stateful_background(P.events(spark, sf_dir), 2.0)).select("id", F.round("z", 5).alias("z"), "anomalous")
 
 
+#: The middle of the fixture's month: what is before is history, what is after arrives.
+_NOW = 1705276800000000
+_SCORES = f"""WITH RECURSIVE {FRAMES}, n AS (SELECT device, id, us, CAST(gm AS DOUBLE) AS x, source IS NOT DISTINCT FROM 'rtc' OR result IS NOT DISTINCT FROM 'clouds' AS teaches, {{reset}} AS reset, row_number() OVER (PARTITION BY device ORDER BY us, id) AS i FROM frames),
+r AS (SELECT DISTINCT device, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS us, false AS reset, CAST(128 AS DOUBLE) AS m, CAST(256 AS DOUBLE) AS v, 0 AS c, CAST(NULL AS DOUBLE) AS z, false AS odd FROM n
+UNION ALL SELECT device, i, id, us, reset, CASE WHEN reset THEN 128.0 WHEN learn THEN 0.85 * m + 0.15 * x ELSE m END, CASE WHEN reset THEN 256.0 WHEN learn THEN greatest(0.85 * v + 0.15 * power(x - (0.85 * m + 0.15 * x), 2), 36.0) ELSE v END, CASE WHEN reset THEN 0 ELSE c + CAST(learn AS INTEGER) END, z, odd
+FROM (SELECT *, teaches AND NOT odd AS learn FROM (SELECT n.device, n.i, n.id, n.us, n.reset, n.x, n.teaches, m, v, c, abs(n.x - m) / sqrt(v) AS z, abs(n.x - m) / sqrt(v) > 2.0 AND c > 0 AS odd FROM r JOIN n ON n.device = r.device AND n.i = r.i + 1)))
+SELECT id, round(z, 5) AS z, odd AS anomalous FROM r WHERE i > 0 AND NOT reset"""
+
+
+@query("stream_warm_start", _SCORES.format(reset="false") + f" AND us >= {_NOW}")
+def stream_warm_start(spark, sf_dir):
+    """The states that the history leaves are the stream's initial ones, as if it had seen all."""
+    states = P.learned(frames(spark, sf_dir).where(F.col("us") < _NOW), 2.0)
+    arriving = P.events(spark, sf_dir).where(F.col("us") >= _NOW)
+    return P.drain(P.stateful_background(arriving, 2.0, initial=states)).select("id", F.round("z", 5).alias("z"), "anomalous")
+
+
+@query("stream_resets", _SCORES.format(reset="k = 42"))
+def stream_resets(spark, sf_dir):
+    """Control rows in the stream, as after a new build, clear their device's state."""
+    marked = P.events(spark, sf_dir).withColumn("reset", F.coalesce(F.col("k") == 42, F.lit(False)))
+    return P.drain(P.stateful_background(marked, 2.0)).select("id", F.round("z", 5).alias("z"), "anomalous")
+
+
+_SPOOLED = f"""WITH {FRAMES}, s AS (SELECT device, us, id, row_number() OVER (PARTITION BY device ORDER BY us DESC, id DESC) AS r, count(*) OVER (PARTITION BY device) AS n FROM frames WHERE source = 'pir' AND result = 'clouds')"""
+
+
+@query(
+    "spool_flushes",
+    f"""{_SPOOLED}, k AS (SELECT device, us, id, greatest(n - 40, 0) AS dropped, floor((us - min(us) OVER (PARTITION BY device)) / 86400000000) AS slot FROM s WHERE r <= 40),
+p AS (SELECT *, (row_number() OVER (PARTITION BY device, slot ORDER BY us, id) - 1) % 8 = 0 AS opens FROM k), f AS (SELECT device, id, dropped, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY device ORDER BY us, id) - 1 AS flush FROM p)
+SELECT device, max(dropped) AS dropped, max(flush) + 1 AS deliveries, count(*) AS sent, CAST(sum(id * (flush + 1)) AS BIGINT) AS digest FROM f GROUP BY device""",
+)
+def spool_flushes(spark, sf_dir):
+    """Suppressed frames wait in a spool of 40 a device, which drops the oldest and counts them; deliveries take at most
+    eight, or a day's where the device took 20 s."""
+    waiting = P.events(spark, sf_dir).where("source = 'pir' AND result = 'clouds'").select("device", "us", "id")
+    kept = P.bounded_spool(P.drain(waiting), "device", ["us", "id"], 40).where("kept")
+    sent = P.flushes(kept, "device", ["us", "id"], 8, 86400.0)
+    return sent.groupBy("device").agg(F.max("dropped").alias("dropped"), (F.max("flush") + 1).alias("deliveries"), F.count("*").alias("sent"), F.sum(F.col("id") * (F.col("flush") + 1)).alias("digest"))
+
+
 @query("stream_deduplicated", f"WITH {FRAMES} SELECT device, count(*) AS events FROM frames GROUP BY device")
 def stream_deduplicated(spark, sf_dir):
     """Each event arrives twice and counts once."""
