@@ -14,15 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def clustered(rows: DataFrame, vector: str, k: int = 4, seed: int = 0) -> DataFrame:
-    """cluster: 0 for the darkest centre, and up; the centres' order, not the fit's."""
+def clustered(rows: DataFrame, vector: str, k: int = 4, seed: int = 0, starts: int = 20) -> DataFrame:
+    """cluster: 0 for the darkest centre, and up, of the fit of least cost among `starts` ones; the centres' order, not the
+    fit's."""
     featured = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="raw").fit(featured)
+    fits = [KMeans(k=k, seed=seed + i, maxIter=20, featuresCol="features", predictionCol="raw").fit(featured) for i in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     order = np.argsort([c.mean() for c in model.clusterCenters()])
     ranks = F.array(*[F.lit(int(np.flatnonzero(order == i)[0])) for i in range(k)])
     return model.transform(featured).withColumn("cluster", F.element_at(ranks, F.col("raw") + 1)).drop("features", "raw")
 
 
+def tile_spread(clustered: DataFrame, vector: str) -> DataFrame:
+    """(tile, spread): each cell's standard deviation within the clusters, weighted by their sizes."""
+    cells = clustered.select("cluster", F.posexplode(vector).alias("tile", "x")).groupBy("cluster", "tile").agg(F.var_pop("x").alias("v"), F.count("*").alias("n"))
+    return cells.groupBy("tile").agg(F.sqrt(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("spread"))
+
+
 def projected(rows: DataFrame, vector: str, k: int = 8) -> DataFrame:
     """Principal components; their signs are arbitrary."""
     featured = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))

@@ -1,4 +1,4 @@
-"""Queries of model fitting; no SQL twin, tests hold them against small loops."""
+"""Queries of model fitting; tests/test_fitting.py holds those without a SQL twin against small loops."""
 
 from __future__ import annotations
 
@@ -17,6 +17,13 @@ def brightness_clusters(spark, sf_dir):
     return fitting.clustered(table(spark, sf_dir, "embeddings"), "embedding").groupBy("cluster").agg(F.count("*").alias("vectors"))
 
 
+@query("tile_spreads")
+def tile_spreads(spark, sf_dir):
+    """A23's spread of each cell within the clusters."""
+    found = fitting.tile_spread(fitting.clustered(table(spark, sf_dir, "embeddings"), "embedding"), "embedding")
+    return found.select(F.col("tile").cast("long").alias("tile"), F.round("spread", 6).alias("spread"))
+
+
 @query("principal_components")
 def principal_components(spark, sf_dir):
     """A24."""
