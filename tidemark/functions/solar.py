@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.binding import let
@@ -86,3 +86,15 @@ def next_wake(now: Column, cycle_minutes: int, after_sunset: int = 30) -> Column
     rise = lambda s: F.greatest(sun_minutes(day(s), False), F.lit(0))
     end = F.least(sun_minutes(day(due), True), F.lit(1440)) + after_sunset
     return F.when((minute >= rise(due)) & (minute < end), due).when(minute >= end, midnight + 86400 + rise(midnight + 86400) * 60).otherwise(midnight + rise(due) * 60)
+
+
+def schedule(days: DataFrame, day: str, cycle_minutes: int, after_sunset: int = 30) -> DataFrame:
+    """`days` (with an epoch second of each day's midnight in UTC) with wake: all wakes of a device that runs by `next_wake`
+    without a break, from each sunrise a cycle apart until `after_sunset` minutes after sunset. A day's wakes follow from
+    the day alone, so a schedule of any length is one expression a day; a day without sun has one wake, at midnight."""
+    of = lambda s: F.dayofyear(F.timestamp_seconds(s))
+    rise = F.greatest(sun_minutes(of(F.col(day)), False), F.lit(0)) * 60
+    last = F.least(sun_minutes(of(F.col(day)), True), F.lit(1440)) * 60 + after_sunset * 60
+    start, end = (F.col(day) + rise).cast("long"), (F.col(day) + F.least(last, F.lit(86400))).cast("long")
+    wakes = F.when(end > start, F.sequence(start, end - 1, F.lit(cycle_minutes * 60).cast("long"))).otherwise(F.array(start))
+    return days.select("*", F.explode(wakes).alias("wake"))

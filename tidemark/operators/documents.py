@@ -20,11 +20,16 @@ def mismatch(kind: Column, expected: Column, actual: Column, tolerance: Column)
     return F.when(expected.isNotNull() & actual.isNotNull(), by_kind)
 
 
+#: Checks that are sent to every frame; a list of checks is written by hand.
+MOST_CHECKS = 1000
+
+
 def parity(frames: DataFrame, checks: DataFrame, expected: str, actual: str) -> DataFrame:
-    """Every frame's maps against every check (name, kind, tolerance); checks are a constant of the plan, not a join."""
-    held = checks.collect()
-    rows = F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(c.kind).alias("kind"), F.lit(c.tolerance).cast("double").alias("tolerance")) for c in held])
-    out = frames.select("*", F.explode(rows).alias("check"))
+    """Every frame's maps against every check (name, kind, tolerance): a list of at most MOST_CHECKS, counted before it is
+    broadcast."""
+    if checks.limit(MOST_CHECKS + 1).count() > MOST_CHECKS:
+        raise ValueError(f"more than {MOST_CHECKS} checks")
+    out = frames.crossJoin(F.broadcast(checks.select(F.struct("name", "kind", F.col("tolerance").cast("double").alias("tolerance")).alias("check"))))
     e, a = F.try_element_at(expected, F.col("check.name")), F.try_element_at(actual, F.col("check.name"))
     return out.withColumn("mismatch", mismatch(F.col("check.kind"), e, a, F.col("check.tolerance"))).where("mismatch is not null")
 

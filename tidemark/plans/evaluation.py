@@ -124,6 +124,32 @@ def sweep(spark, sf_dir):
     return r.select("low", "high", F.round("recall", 6).alias("recall"), "false_positives", (place == 1).alias("chosen"))
 
 
+#: Limits of the four-way sweep: 6 x 6 x 12 x 12 configurations.
+_GRID = {"low": [20 * k for k in range(1, 7)], "high": [15 * k for k in range(1, 7)], "bright": [12 * k + 100 for k in range(12)], "step": [8 * k for k in range(12)]}
+_FIRES = "gm < low OR value > high OR (gm > bright AND k >= step)"
+
+
+@query(
+    "wide_sweep",
+    f"""WITH {FRAMES}, c AS (SELECT * FROM {" CROSS JOIN ".join(f"(SELECT unnest({v}) AS {n})" for n, v in _GRID.items())}),
+e AS (SELECT gm, k, least(ceil(value / 15), 7) AS band, count(*) FILTER (label = 'bird') AS birds, count(*) FILTER (source = 'rtc') AS rtc FROM frames WHERE label = 'bird' OR source = 'rtc' GROUP BY 1, 2, 3),
+r AS (SELECT low, high, bright, step, CAST(sum(CASE WHEN {_FIRES.replace("value > high", "band > high / 15")} THEN birds ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN {_FIRES.replace("value > high", "band > high / 15")} THEN rtc ELSE 0 END) AS BIGINT) AS false_positives, sum(birds) AS birds FROM e, c GROUP BY ALL)
+SELECT low, high, bright, step, round(hits / greatest(birds, 1), 6) AS recall, false_positives FROM r""",
+)
+def wide_sweep(spark, sf_dir):
+    """A26 at its size: 5184 configurations. Rows are first summed up by what the configurations can tell apart, which is
+    bounded by their limits and not by the rows."""
+    configs = spark.range(1).select(F.lit(0).alias("x"))
+    for name, values in _GRID.items():
+        configs = configs.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    rows = frames(spark, sf_dir).where("label = 'bird' OR source = 'rtc'")
+    band = F.least(F.ceil(F.col("value") / 15), F.lit(7))
+    cells = rows.groupBy("gm", "k", band.alias("band")).agg(F.count_if(F.col("label") == "bird").alias("birds"), F.count_if(F.col("source") == "rtc").alias("rtc"))
+    fires = F.expr("gm < low OR band > high / 15 OR (gm > bright AND k >= step)")
+    sums = cells.crossJoin(F.broadcast(configs.drop("x"))).groupBy(*_GRID).agg(F.sum(F.when(fires, F.col("birds")).otherwise(0)).alias("hits"), F.sum(F.when(fires, F.col("rtc")).otherwise(0)).alias("false_positives"), F.sum("birds").alias("birds"))
+    return sums.select(*[F.col(c).cast("long").alias(c) for c in _GRID], F.round(F.col("hits") / F.greatest("birds", F.lit(1)), 6).alias("recall"), "false_positives")
+
+
 @query("zero_loss_regions", f"WITH {FRAMES}, c AS (SELECT a * 10 + 20 AS low, b AS rest FROM range(1, 15) x(a), range(0, 20) y(b)), r AS (SELECT low, rest, avg(CAST(gm < low AND k >= 80 + rest AS INTEGER)) AS share, count(*) FILTER (label = 'bird' AND gm < low AND k >= 80 + rest) AS birds FROM frames, c GROUP BY 1, 2) SELECT low, rest, round(share, 6) AS share FROM r WHERE birds = 0 ORDER BY share DESC, low, rest LIMIT 10")
 def zero_loss_regions(spark, sf_dir):
     """280 regions; rows are first grouped by what the regions test."""

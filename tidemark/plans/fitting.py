@@ -8,7 +8,7 @@ from tidemark.operators import fitting, grid, suppression
 from tidemark.plans.grids import _grids
 from tidemark.plans.suppression import WITHIN, centroids
 from tidemark.registry import query
-from tidemark.sources.frames import frames, table
+from tidemark.sources.frames import FRAMES, frames, table
 
 
 @query("brightness_clusters")
@@ -83,8 +83,14 @@ def regime_bank(spark, sf_dir):
     return fitting.regime_bank(rows, "label", ["id"], "d", near=0.02)
 
 
-@query("scene_breaks")
+@query(
+    "scene_breaks",
+    f"""WITH RECURSIVE {FRAMES}, n AS (SELECT device, id, CAST(gm AS DOUBLE) AS x, row_number() OVER (PARTITION BY device ORDER BY us, id) AS i FROM frames WHERE result = 'clouds'),
+r AS (SELECT device, i, id, x AS m, 7 AS quick, CAST(0 AS DOUBLE) AS residual, true AS broke FROM n WHERE i = 1
+UNION ALL SELECT n.device, n.i, n.id, CASE WHEN abs(x - m) > 30 THEN x WHEN quick > 0 THEN m + 0.5 * (x - m) ELSE m + 0.15 * (x - m) END, CASE WHEN abs(x - m) > 30 THEN 7 ELSE greatest(quick - 1, 0) END, abs(x - m), abs(x - m) > 30 FROM r JOIN n ON n.device = r.device AND n.i = r.i + 1)
+SELECT id, round(residual, 6) AS residual, broke FROM r""",
+)
 def scene_breaks(spark, sf_dir):
     """W11."""
     rows = frames(spark, sf_dir).where("result = 'clouds'").select("id", "device", "us", "gm")
-    return fitting.scene_breaks(rows, "device", ["us", "id"], "gm")
+    return fitting.scene_breaks(rows, "device", ["us", "id"], "gm").select("id", F.round("residual", 6).alias("residual"), "broke")

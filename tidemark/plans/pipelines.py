@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cascades as C
 from tidemark.operators import grid as G
+from tidemark.operators import legacy
 from tidemark.operators import pipelines as P
 from tidemark.plans.grids import _CELLS, _MODEL, H, W, _blur, _grids, _joined
 from tidemark.registry import query
@@ -133,3 +134,13 @@ def blob_scores(spark, sf_dir):
     field = F.zip_with("tile", "model", lambda x, m: F.abs(x - m).cast("double"))
     rows = _joined(spark, sf_dir).select("id", field.alias("field"))
     return rows.select("id", F.round(P.blob_score(F.col("field"), SHAPE, (75.0, 85.0, 92.0), (2, 6)), 5).alias("score"))
+
+
+@query("legacy_ablation")
+def legacy_ablation(spark, sf_dir):
+    """The older cascade over each label's sequence of grids, with each stage left out in turn, as counts; a span
+    of 512 frames is a key. tests/test_pipelines.py holds it against a loop."""
+    rows = _grids(spark, sf_dir).withColumn("hour", F.col("id") % 24).withColumn("span", F.concat_ws("/", "label", F.floor(F.col("id") / 512)))
+    config = legacy.LegacyConfig(z=1.8, night=118.0, indirect=121.0, spot_tiles=3, spot_dark=60.0, spot_noise=60.0, fresh_dark=30.0, drift_tiles=2, quiet=0.02)
+    found = legacy.legacy_cascade(rows, "span", ["id"], config, ("", *legacy.STAGES))
+    return found.groupBy("without", "trigger", "label").agg(F.count("*").alias("frames"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import documents
 from tidemark.operators import suppression as S
 from tidemark.plans import grids  # noqa: F401  registers the batch fold that the stateful stream must equal
 from tidemark.registry import query, sql_of
-from tidemark.sources import binary
-from tidemark.sources.frames import FRAMES, frames, table
+from tidemark.sources import binary, files
+from tidemark.sources.frames import FRAMES, document, frames, table
 from tidemark.sources.storage import scratch_path
 from tidemark.streaming import pipeline as P
 
@@ -188,6 +189,38 @@ def spool_files(spark, sf_dir):
     return parsed.groupBy("device").agg(F.count("*").alias("records"), F.sum("id").alias("ids"))
 
 
+@query("labelled_file_scan", "SELECT source AS label, count(*) AS files, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM (SELECT source, text FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL) GROUP BY source")
+def labelled_file_scan(spark, sf_dir):
+    """Texts in a folder for each label, found again by a recursive scan that takes the label from the path."""
+    path = scratch_path(spark, "folders")
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("value"), F.col("source").alias("label"))
+    docs.write.partitionBy("label").text(path)
+    found = files.labelled_files(spark, path, ".txt").withColumn("label", F.substring_index("label", "=", -1))
+    rows = docs.groupBy("label").agg(F.count("*").alias("files"))  # a folder's files hold many rows each
+    return found.groupBy("label").agg(F.sum("size").alias("bytes")).join(rows, "label").select("label", "files", "bytes")
+
+
+@query("checks_from_a_file", f"WITH {FRAMES} SELECT name, count(*) AS compared, count(*) FILTER (off) AS mismatches FROM (SELECT 'gm' AS name, k % 9 = 0 AS off FROM frames WHERE k IS NOT NULL UNION ALL SELECT 'value', k % 4 > 2 FROM frames WHERE k IS NOT NULL) GROUP BY name")
+def checks_from_a_file(spark, sf_dir):
+    """The checks are read from a JSON file; a tolerance of its own there, a type's own otherwise."""
+    path = scratch_path(spark, "checks")
+    spark.createDataFrame([('[{"name": "gm", "type": "int"},\n {"name": "value", "type": "float", "tol": 2},\n {"type": "int"}]',)], "value string").coalesce(1).write.text(path)
+    f = frames(spark, sf_dir).where("k IS NOT NULL")
+    own = F.create_map(F.lit("gm"), F.col("gm").cast("string"), F.lit("value"), F.floor("value").cast("string"))
+    theirs = F.create_map(F.lit("gm"), (F.col("gm") + (F.col("k") % 9 == 0).cast("int")).cast("string"), F.lit("value"), (F.floor("value") + F.col("k") % 4).cast("string"))
+    judged = documents.parity(f.select("id", own.alias("own"), theirs.alias("theirs")), files.check_list(spark, path), "own", "theirs")
+    return judged.groupBy(F.col("check.name").alias("name")).agg(F.count("*").alias("compared"), F.count_if("mismatch").alias("mismatches"))
+
+
+@query("repeated_keys", f"WITH {FRAMES} SELECT id, coalesce(result, 'none') AS result, gm FROM frames")
+def repeated_keys(spark, sf_dir):
+    """A builder that appends a key again; the last one is read."""
+    first, last = F.lit('{"result":"early","gm":'), F.coalesce("result", F.lit("none"))
+    text = F.concat(first, F.col("gm").cast("string"), F.lit(',"result":"'), last, F.lit('"}'))
+    parsed = frames(spark, sf_dir).select("id", document(text).alias("d"))
+    return parsed.select("id", F.variant_get("d", "$.result", "string").alias("result"), F.variant_get("d", "$.gm", "bigint").alias("gm"))
+
+
 @query("generated_header", f"SELECT cell // 12 AS line, '    ' || string_agg(lpad(CAST(score AS VARCHAR), 3, ' '), ', ' ORDER BY cell) || ',' AS text FROM (SELECT unnest(range(192)) AS cell, unnest([{', '.join(map(str, S.SCORES))}]) AS score) GROUP BY 1")
 def generated_header(spark, sf_dir):
     """The fitted table as source text, twelve values a line, one row for each line."""

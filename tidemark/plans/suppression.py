@@ -103,6 +103,17 @@ def next_wakes(spark, sf_dir):
     return frames(spark, sf_dir).select("id", solar.next_wake(F.floor(F.col("us") / 1000000), 120).cast("long").alias("wake"))
 
 
+@query(
+    "wake_schedule",
+    f"""WITH d AS (SELECT unnest(range(1, 366)) AS d), s AS (SELECT d, 1704067200 + (d - 1) * 86400 AS day, greatest({_sun("d", False)}, 0) * 60 AS rise, least({_sun("d", True)}, 1440) * 60 + 1800 AS last FROM d),
+w AS (SELECT d, unnest(range(CAST(day + rise AS BIGINT), CAST(day + least(last, 86400) AS BIGINT), 7200)) AS wake FROM s) SELECT d AS day, count(*) AS wakes, min(wake) AS first, max(wake) AS last FROM w GROUP BY d""",
+)
+def wake_schedule(spark, sf_dir):
+    """The timer's wakes of a year, two hours apart from sunrise until half an hour after sunset."""
+    days = spark.range(1, 366).select(F.col("id").alias("day"), (F.lit(1704067200) + (F.col("id") - 1) * 86400).alias("midnight"))
+    return solar.schedule(days, "midnight", 120).groupBy("day").agg(F.count("*").alias("wakes"), F.min("wake").alias("first"), F.max("wake").alias("last"))
+
+
 @query("score_cells", f"WITH {_motion(WITHIN)}, {_TABLE} SELECT t.cell, score, count(c.id) AS events FROM t LEFT JOIN c ON c.cell = t.cell GROUP BY t.cell, score")
 def score_cells(spark, sf_dir):
     """The dense table, with the events in each cell."""

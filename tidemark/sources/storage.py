@@ -14,6 +14,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):  # executors could not read this machine's folders
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    root = f"{named.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # lazy results may read it until the session ends
+    return root
