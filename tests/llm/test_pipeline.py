@@ -74,3 +74,29 @@ def test_twins(spark, name):
     columns = sorted(ours.columns)
     theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in ours.select(*columns).collect()))) == sorted(map(repr, theirs))
+
+
+def test_stages_take_odd_rows(spark, documents):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, None), (1, None), (2, ""), (None, "clean words of a row without an id"), (None, "other words of such a row, no copy"), (None, None), (3, f"before it {item} and after"), (3, "of the same id and clean, quite short")]
+    rows += [(4, "the token=abcdefgh12 is here and words go on"), (4, "the token=abcdefgh12 is here and words go on"), (5, "long words of many kinds " * 40_000), (6, "  \n ")]
+    docs = documents(*rows, extra=True)
+    text = lambda r: (r.doc_id or 0, (r.text or "")[:20])
+    everything = sorted((i or 0, (t or "")[:20]) for i, t in rows)
+    want = {"toxicity": everything, "minhash_near_dedup": sorted(set(everything) | {(1, ""), (0, "")}), "benchmark_decontamination": [x for x in everything if x != (3, "before it " + item[:10])]}
+    want["minhash_near_dedup"] = sorted([*want["minhash_near_dedup"], (1, "")])  # both rows of id 1 have no words
+    want["secret_scans"] = sorted((i, "the [secret] is here" if i == 4 else t) for i, t in everything)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert sorted(map(text, out.collect())) == want[name], name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("start = 0").count() == len(rows)
+
+
+def test_stages_take_an_empty_table(spark, documents):
+    docs = documents(extra=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+        docs = out if name != "packing" else docs

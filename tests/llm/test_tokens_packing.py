@@ -81,3 +81,16 @@ def test_foreign_blocks(spark):
     got = sorted((r.ordinal, r.start, r.n_tokens) for r in token_counts.separator_scan(blocks, end_id=9, width=4).collect())
     assert got == [(0, 0, 1), (1, 2, 0), (2, 3, 3)]
     assert token_counts.separator_scan(blocks.limit(0), 9, 4).count() == 0
+
+
+def test_other_vocabularies_are_left_to_the_library(tmp_path):
+    import json
+
+    made = json.loads(open(tokens.vocabulary(), encoding="utf-8").read())
+    made["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "lower.json")
+    (tmp_path / "lower.json").write_text(json.dumps(made))
+    texts = ["Hello World", "", "ÀB don't", "x"]
+    own = Tokenizer.from_file(path)
+    assert not tokens.Encoder(path).by_pieces and tokens.Encoder(tokens.vocabulary()).by_pieces
+    assert [list(x) for _, xs in tokens.encoded(pa.array(texts), path) for x in xs] == [own.encode(t, add_special_tokens=False).ids for t in texts]

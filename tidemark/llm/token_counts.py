@@ -38,6 +38,8 @@ def _flatten(path: str, block_tokens: int, end_id: int):
 
         def out(stream: np.ndarray) -> pa.RecordBatch:
             nonlocal ids
+            if len(stream) and int(stream.max()) > 0xFFFF:
+                raise ValueError("the vocabulary has ids beyond 16 bits")
             ended = int((stream == end_id).sum())
             mine, ids = ids[:ended], ids[ended:]
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([stream.astype("<u2").tobytes()], pa.binary()), pa.array([mine], pa.list_(pa.int64()))], ["file", "block", "payload", "doc_ids"])
@@ -119,5 +121,11 @@ def separator_scan(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, width: int
 
 
 def document_token_counts(docs: DataFrame, tokenizer: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Token counts of documents through flat token files and their separator scan."""
-    return separator_scan(flat_blocks(docs, tokenizer, block_tokens))
+    """(file, ordinal, doc_id, start, n_tokens), a row for each row of `docs`, through flat token files, which are written to
+    the shared folder, and the separator scan of what is read there.
+
+    Null and empty texts have no tokens; rows with null or repeated doc_id are documents of their own; other columns aren't
+    read; texts may be of any length. An empty table gives an empty result. A vocabulary with ids beyond 16 bits is an error.
+    """
+    stored = Scratch(docs.sparkSession, "flat").save(flat_blocks(docs, tokenizer, block_tokens))
+    return separator_scan(stored)

@@ -7,6 +7,7 @@ pieces, so texts are cut into pieces in numpy by the pre-tokeniser's rule, disti
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from itertools import chain
 
@@ -73,13 +74,24 @@ def pieces(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return padded, starts, np.minimum(stops, marks[rows]) if len(starts) else stops[:0], rows
 
 
+def _cuts_as_we_do(path: str) -> bool:
+    """Whether the vocabulary is byte-level BPE over texts as they are, cut by the rule of `pieces`."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    cut = made.get("pre_tokenizer") or {}
+    plain = made.get("normalizer") is None and made.get("truncation") is None and made.get("padding") is None
+    return plain and made["model"].get("type") == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not made["model"].get("ignore_merges")
+
+
 class Encoder:
-    """Ids of texts by the vocabulary in `path`, a file of `tokenizers`."""
+    """Ids of texts by the vocabulary in `path`, a file of `tokenizers`. One that isn't byte-level BPE with the rule of
+    `pieces` is left to `tokenizers` whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = _cuts_as_we_do(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self._clear()
 
@@ -101,6 +113,11 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of rows in them) of UTF-8 rows."""
         n = len(offsets) - 1
+        if not self.by_pieces:
+            raw = data.tobytes()
+            found = self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(f.ids for f in found), np.int32, sum(len(f.ids) for f in found))
+            return ids, np.concatenate(([0], np.cumsum([len(f.ids) for f in found]))).astype(np.int64)
         heads = (data & 0xC0) != 0x80
         lengths = np.diff(np.concatenate(([0], np.cumsum(heads)))[offsets])
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
