@@ -119,3 +119,14 @@ def test_phase_shift_finds_a_roll():
     a = np.random.default_rng(0).normal(size=(32, 32))
     dy, dx, _ = fitting.phase_shift(np.roll(a, (3, -2), (0, 1)), a)
     assert round(dy) == 3 and round(dx) == -2
+
+
+@pytest.mark.parametrize("values", [[], [3.0], list(range(1, 500)), [None, -1.5, 0.0, float("inf")], [1e9 * k for k in range(70)]])
+def test_running_sums_over_ranges(spark, values):
+    from tidemark.operators import evaluation
+
+    rows = [(None if v is None else float(v), k % 7, 1) for k, v in enumerate(values)]
+    got = evaluation.running_sums(spark.createDataFrame(rows, "v double, a long, b long"), "v", ["a", "b"]).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {r[0]: (sum(x[1] for x in order[:k]), k, sum(x[1] for x in order), len(order)) for k, r in enumerate(order)}
+    assert {r.v: (r.before_a, r.before_b, r.all_a, r.all_b) for r in got} == want
