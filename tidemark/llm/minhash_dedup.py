@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkernel as K
-from tidemark.llm.graph import connected_components
+from tidemark.llm.graph import connected_components, joined_components
 from tidemark.llm.storage import Scratch, texts, with_row_key
 
 #: Nodes from here on stand for sets that no id names alone: none of their rows has one, or another set has the same one.
@@ -199,10 +199,14 @@ def _judged(docs: DataFrame, keys: tuple[str, ...], scratch: Scratch, config: De
     unnamed = F.lit(UNNAMED) + F.xxhash64(*SET).bitwiseAND(F.lit(UNNAMED - 1))
     groups = scratch.save(sketched.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("least")))
     #: An id that several sets have as their smallest names none of them.
-    twice = scratch.save(groups.where("least is not null").groupBy("least").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("least").alias("twice")))
+    twice = groups.where("least is not null").groupBy("least").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("least").alias("twice"))
     shared_ids = not twice.isEmpty()
-    named = groups.join(twice, F.col("least") == F.col("twice"), "left") if shared_ids else groups.withColumn("twice", F.lit(None).cast("long"))
-    groups = scratch.save(named.select(*SET, "least", F.when(F.col("least").isNull() | F.col("twice").isNotNull(), unnamed).otherwise(F.col("least")).alias("uid")))
+    named = F.coalesce("least", unnamed)
+    if shared_ids:
+        groups = groups.join(twice, F.col("least") == F.col("twice"), "left")
+        named = F.when(F.col("twice").isNotNull(), unnamed).otherwise(named)
+    groups = groups.select(*SET, "least", named.alias("uid"))
+    groups = scratch.save(groups) if shared_ids else groups
     #: One row of each set speaks for its copies, which have the same bands.
     own = sketched.where("n > 0").join(groups, SET).where(F.col("doc_id").eqNullSafe(F.col("least"))).select("uid", "n", "bands")
     member = own.select("uid", "n", F.explode("bands").alias("bucket"))
@@ -236,7 +240,6 @@ def _link(docs: DataFrame, groups: DataFrame, members: DataFrame, scratch: Scrat
         #: Some id has several rows: of copies, or of texts that other ids stand for. What they hold tells them apart.
         once = read.groupBy(*SET).agg(F.first("grams").alias("grams"))
         sets = scratch.save(once.join(F.broadcast(wanted) if few else wanted, SET).select("uid", "grams"))
-    links = None
     component = None
     for i in range(config.leader_rounds):
         at = _with_component(members, component)
@@ -246,13 +249,12 @@ def _link(docs: DataFrame, groups: DataFrame, members: DataFrame, scratch: Scrat
         new = scratch.save(_confirmed(pairs, sets, config))
         if i and new.isEmpty():
             break
-        links = new if links is None else links.union(new)
-        component = scratch.save(connected_components(links, scratch))
+        component = scratch.save(connected_components(new, scratch)) if component is None else joined_components(component, new, scratch)
     rest = _rest(members, component, sets, config)
     if rest is not None:
         extra = scratch.save(rest.distinct())
         if not extra.isEmpty():
-            component = scratch.save(connected_components(links.union(extra), scratch))
+            component = joined_components(component, extra, scratch)
     return component
 
 
