@@ -190,7 +190,7 @@ class Scorer:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton's method; the fit's share of toxic rows stands for the prior."""
+    """Ridge-penalised logistic regression by Newton's method; the sample's share of toxic rows stands for the prior."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -203,8 +203,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], labels: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Without rows of both classes: a model that gives each text 0."""
+def train(texts: list[str], labels: list[int], config: ToxicityConfig = ToxicityConfig(), share: float | None = None) -> ToxicityModel:
+    """share: of toxic rows among those that scores are for, if the sample's own is another. Without rows of both classes: a
+    model that gives each text 0."""
     y = np.array(labels, bool)
     if not y.any() or y.all():
         return ToxicityModel(b"the and of to ", b"", (-30.0, 0.0, 0.0, 0.0, 0.0), config.window)
@@ -220,7 +221,10 @@ def train(texts: list[str], labels: list[int], config: ToxicityConfig = Toxicity
         own = np.flatnonzero(fold == f)
         if len(own):
             x[own] = Scorer(model).features(*_lowered([texts[k] for k in own]))
-    return ToxicityModel(*dictionaries(np.ones(len(texts), bool)), tuple(_calibrate(x, y)), config.window)
+    weights = _calibrate(x, y)
+    if share is not None and 0 < share < 1:
+        weights[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return ToxicityModel(*dictionaries(np.ones(len(texts), bool)), tuple(weights.tolist()), config.window)
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
@@ -241,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     found = texts(docs).where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", piece.alias("text"))
     #: Rows that share an id are one, that of the least text, so the fit doesn't hang on the order of rows.
     rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    return train(rows.text.tolist(), rows.toxic.tolist(), config)
+    toxic, every = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+    return train(rows.text.tolist(), rows.toxic.tolist(), config, toxic / every if every else None)
 
 
 def _score(model: ToxicityModel):
