@@ -134,7 +134,7 @@ _FIRES = "gm < low OR value > high OR (gm > bright AND k >= step)"
     f"""WITH {FRAMES}, c AS (SELECT * FROM {" CROSS JOIN ".join(f"(SELECT unnest({v}) AS {n})" for n, v in _GRID.items())}),
 e AS (SELECT gm, k, least(ceil(value / 15), 7) AS band, count(*) FILTER (label = 'bird') AS birds, count(*) FILTER (source = 'rtc') AS rtc FROM frames WHERE label = 'bird' OR source = 'rtc' GROUP BY 1, 2, 3),
 r AS (SELECT low, high, bright, step, CAST(sum(CASE WHEN {_FIRES.replace("value > high", "band > high / 15")} THEN birds ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN {_FIRES.replace("value > high", "band > high / 15")} THEN rtc ELSE 0 END) AS BIGINT) AS false_positives, sum(birds) AS birds FROM e, c GROUP BY ALL)
-SELECT low, high, bright, step, round(hits / greatest(birds, 1), 6) AS recall, false_positives FROM r""",
+SELECT CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, CAST(bright AS BIGINT) AS bright, CAST(step AS BIGINT) AS step, round(hits / greatest(birds, 1), 6) AS recall, false_positives FROM r""",
 )
 def wide_sweep(spark, sf_dir):
     """A26 at its size: 5184 configurations. Rows are first summed up by what the configurations can tell apart, which is

@@ -72,7 +72,7 @@ _SPOOLED = f"""WITH {FRAMES}, s AS (SELECT device, us, id, row_number() OVER (PA
     "spool_flushes",
     f"""{_SPOOLED}, k AS (SELECT device, us, id, greatest(n - 40, 0) AS dropped, floor((us - min(us) OVER (PARTITION BY device)) / 86400000000) AS slot FROM s WHERE r <= 40),
 p AS (SELECT *, (row_number() OVER (PARTITION BY device, slot ORDER BY us, id) - 1) % 8 = 0 AS opens FROM k), f AS (SELECT device, id, dropped, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY device ORDER BY us, id) - 1 AS flush FROM p)
-SELECT device, max(dropped) AS dropped, max(flush) + 1 AS deliveries, count(*) AS sent, CAST(sum(id * (flush + 1)) AS BIGINT) AS digest FROM f GROUP BY device""",
+SELECT device, max(dropped) AS dropped, CAST(max(flush) + 1 AS BIGINT) AS deliveries, count(*) AS sent, CAST(sum(id * (flush + 1)) AS BIGINT) AS digest FROM f GROUP BY device""",
 )
 def spool_flushes(spark, sf_dir):
     """Suppressed frames wait in a spool of 40 a device, which drops the oldest and counts them; deliveries take at most
