@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bm25_search, decontaminate, language_id, minhash_dedup, packing, resharding, secret_scan, token_counts, toxicity, url_filter
+from tidemark.llm import (
+    bm25_search, decontaminate, language_id, minhash_dedup, packing, periodic_runs, pieces, resharding, secret_scan, token_counts, toxicity, url_filter, whitening,
+)
 from tidemark.llm.storage import table
 
 
@@ -74,11 +76,27 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_search.search(docs, queries)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of words, of four periods and six words at least, after the tails that its contract repeats; null
+    texts have no words, rows without an id keep their text."""
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.tailed(table(spark, sf_dir, "documents"))))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the four leading components of the distinct ones, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests; null texts are empty."""
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_url_filter, op2_token_counts, op3_resharding, op4_packing, op5_toxicity, op6_decontamination, op7_language_id,
-        op8_secret_scan, op9_minhash_dedup, op10_bm25_search,
+        op8_secret_scan, op9_minhash_dedup, op10_bm25_search, op11_periodic_runs, op12_embedding_whitening, op13_sentencepiece,
     )
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE, "op8_secret_scan": secret_scan.ORACLE}
