@@ -9,9 +9,10 @@ sys.path.insert(0, str(ROOT))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from tidemark.session import local_session
+    """A plain session, as a driver makes one: no result may hang on a setting that only session.configure makes."""
+    from pyspark.sql import SparkSession
 
-    session = local_session(8, 8, "tidemark-tests")
+    session = SparkSession.builder.master("local[8]").appName("tidemark-tests").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session

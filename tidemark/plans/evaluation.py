@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as E
+from tidemark.operators import selection
 from tidemark.registry import query
 from tidemark.sources.frames import FRAMES, frames, table
 
@@ -95,15 +96,16 @@ def auc(spark, sf_dir):
 
 @query("percentiles", f"WITH {FRAMES} SELECT source, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (50, 90, 95, 99)) + " FROM frames GROUP BY source")
 def percentiles(spark, sf_dir):
-    """With linear interpolation."""
-    return frames(spark, sf_dir).groupBy("source").agg(*[F.round(F.percentile("value", p / 100), 6).alias(f"p{p}") for p in (50, 90, 95, 99)])
+    """With linear interpolation, by refined histograms."""
+    cuts = selection.quantiles(frames(spark, sf_dir), ["source"], "value", [0.5, 0.9, 0.95, 0.99])
+    return cuts.select("source", *[F.round(F.col("quantiles")[i], 6).alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))])
 
 
 @query("recall_at_false_rate", f"WITH {FRAMES}, t AS (SELECT unnest([0.1, 0.01]) AS rate, unnest([quantile_cont(value, 0.9), quantile_cont(value, 0.99)]) AS threshold FROM frames WHERE source = 'rtc') SELECT CAST(rate AS DOUBLE) AS rate, round(threshold, 6) AS threshold, round(avg(CAST(value > threshold AS INTEGER)), 6) AS recall FROM t, frames WHERE label = 'bird' GROUP BY 1, 2")
 def recall_at_false_rate(spark, sf_dir):
     """Two thresholds, so the cross join doubles the labelled rows."""
     f = frames(spark, sf_dir)
-    cuts = f.where("source = 'rtc'").agg(F.percentile("value", F.array(F.lit(0.9), F.lit(0.99))).alias("cuts"))
+    cuts = selection.quantiles(f.where("source = 'rtc'"), [], "value", [0.9, 0.99]).select(F.col("quantiles").alias("cuts"))
     thresholds = cuts.select(F.explode(F.arrays_zip(F.array(F.lit(0.1), F.lit(0.01)).alias("rate"), F.col("cuts").alias("threshold"))).alias("x")).select("x.rate", "x.threshold")
     hits = f.where("label = 'bird'").select("value").crossJoin(F.broadcast(thresholds))
     return hits.groupBy("rate", F.round("threshold", 6).alias("threshold")).agg(F.round(F.avg((F.col("value") > F.col("threshold")).cast("int")), 6).alias("recall"))
@@ -198,8 +200,8 @@ def group_median_error(spark, sf_dir):
     """Held-out error of the group's median, of the overall one where the group has under three members."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     known = docs.where("doc_id % 5 <> 0")
-    medians = known.groupBy("source").agg(F.median("n_chars").alias("m"), F.count("*").alias("n"))
-    overall = known.agg(F.median("n_chars").alias("g"))
+    medians = selection.quantiles(known, ["source"], "n_chars", [0.5]).select("source", F.col("quantiles")[0].alias("m"), "n")
+    overall = selection.quantiles(known, [], "n_chars", [0.5]).select(F.col("quantiles")[0].alias("g"))
     held = docs.where("doc_id % 5 = 0").join(medians, "source", "left").crossJoin(F.broadcast(overall))
     return held.groupBy("lang").agg(F.round(F.avg(F.abs(F.col("n_chars") - F.coalesce(F.when(F.col("n") >= 3, F.col("m")), "g"))), 4).alias("error"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import background as B
 from tidemark.operators import cascades as C
 from tidemark.operators import grid as G
+from tidemark.operators import recurrence as R
+from tidemark.operators import selection
 from tidemark.registry import query
 from tidemark.sources.frames import FRAMES, frames, table
 
@@ -43,10 +45,9 @@ def mean_grids(spark, sf_dir):
 
 @query("median_grids", f"WITH {_CELLS}, m AS (SELECT label, i, median(x) AS m FROM g GROUP BY label, i) SELECT label, i, m AS median, round(median(abs(x - m)) * 1.4826, 6) AS mad FROM g JOIN m USING (label, i) GROUP BY label, i, m")
 def median_grids(spark, sf_dir):
-    """Medians and deviations from them."""
+    """Exact medians and deviations from them, however many grids a label has."""
     cells = _grids(spark, sf_dir).select("label", F.posexplode("tile").alias("i", "x"))
-    medians = cells.groupBy("label", "i").agg(F.median("x").alias("median"))
-    return cells.join(medians, ["label", "i"]).groupBy("label", "i", "median").agg(F.round(F.median(F.abs(F.col("x") - F.col("median"))) * 1.4826, 6).alias("mad"))
+    return selection.median_and_deviation(cells, ["label", "i"], "x").select("label", "i", "median", F.round("mad", 6).alias("mad"))
 
 
 @query("block_statistics", f"WITH {_CELLS} SELECT id, CAST(i // 16 AS INTEGER) AS ty, CAST(i % 8 // 2 AS INTEGER) AS tx, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, CAST(floor(avg(x)) AS BIGINT) AS truncated FROM g GROUP BY 1, 2, 3")
@@ -257,18 +258,29 @@ def _fold_sql(step: str) -> str:
 SELECT device, round(arg_max(m, i), 6) AS mean, round(arg_max(v, i), 5) AS variance FROM r GROUP BY device"""
 
 
-def _fold_query(step):
+def _emas(spark, sf_dir, west=False):
+    clouds = frames(spark, sf_dir).where("result = 'clouds'").select("device", "us", "id", F.col("gm").cast("double").alias("x"))
+    return R.ema(clouds, "device", ["us", "id"], "x", west)
+
+
+def _last_emas(west):
     def run(spark, sf_dir):
-        f = frames(spark, sf_dir).where("result = 'clouds'")
-        values = F.transform(F.array_sort(F.collect_list(F.struct("us", "id", F.col("gm").cast("double").alias("x")))), lambda e: e["x"])
-        return f.groupBy("device").agg(B.folded(values, step).alias("s")).select("device", F.round("s.mean", 6).alias("mean"), F.round("s.variance", 5).alias("variance"))
+        last = F.max_by(F.struct("mean", "variance"), F.struct("us", "id"))
+        return _emas(spark, sf_dir, west).groupBy("device").agg(last.alias("s")).select("device", F.round("s.mean", 6).alias("mean"), F.round("s.variance", 5).alias("variance"))
 
     return run
 
 
-#: Two estimators of the variance.
-ema_after = query("ema_after_update", _fold_sql("0.85 * m + 0.15 * x, greatest(0.85 * v + 0.15 * power(x - (0.85 * m + 0.15 * x), 2), 36.0)"))(_fold_query(B.ema_step))
-ema_before = query("ema_before_update", _fold_sql("m + 0.15 * (x - m), 0.85 * (v + 0.15 * (x - m) * (x - m))"))(_fold_query(B.west_step))
+_AFTER = "0.85 * m + 0.15 * x, greatest(0.85 * v + 0.15 * power(x - (0.85 * m + 0.15 * x), 2), 36.0)"
+#: Two estimators of the variance, by scans that split a device's history.
+ema_after = query("ema_after_update", _fold_sql(_AFTER))(_last_emas(False))
+ema_before = query("ema_before_update", _fold_sql("m + 0.15 * (x - m), 0.85 * (v + 0.15 * (x - m) * (x - m))"))(_last_emas(True))
+
+
+@query("ema_of_each_frame", _fold_sql(_AFTER).replace("SELECT device, CAST(gm", "SELECT device, id, CAST(gm").replace("SELECT DISTINCT device, CAST(0 AS BIGINT) AS i,", "SELECT DISTINCT device, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id,").replace("SELECT n.device, n.i,", "SELECT n.device, n.i, n.id,").split("\nSELECT device")[0] + "\nSELECT id, round(m, 6) AS mean, round(v, 5) AS variance FROM r WHERE i > 0")
+def ema_of_each_frame(spark, sf_dir):
+    """The state after each frame."""
+    return _emas(spark, sf_dir).select("id", F.round("mean", 6).alias("mean"), F.round("variance", 5).alias("variance"))
 
 
 @query(
@@ -311,7 +323,7 @@ def burst_cascades(spark, sf_dir):
 
 @query("background_cascade", f"WITH {FRAMES}, c AS (SELECT id, k, gm / 256.0 AS ratio, k % 9 AS blob, greatest(0, 3 - (row_number() OVER (PARTITION BY device ORDER BY us, id) - 1)) AS warmup FROM frames) SELECT id, CASE WHEN warmup > 0 THEN 'WARMUP' WHEN blob BETWEEN 1 AND 5 THEN 'DARK_BLOB' WHEN ratio <= 0.25 THEN 'QUIET' ELSE 'AMBIGUOUS' END AS trigger, CASE WHEN warmup <= 0 AND NOT coalesce(blob BETWEEN 1 AND 5, false) AND ratio <= 0.25 THEN 'clouds' ELSE 'process' END AS label FROM c")
 def background_cascade(spark, sf_dir):
-    """D04."""
+    """A test of D04's rule alone, over made-up figures; `background_pipeline` runs it from kernels."""
     w = Window.partitionBy("device").orderBy("us", "id")
     rows = frames(spark, sf_dir).select("id", (F.col("gm") / 256.0).alias("ratio"), (F.col("k") % 9).alias("blob"), F.greatest(F.lit(0), 4 - F.row_number().over(w)).alias("warmup"))
     out = C.first_match([(F.col("warmup") > 0, "process", "WARMUP"), (F.col("blob").between(1, 5), "process", "DARK_BLOB"), (F.col("ratio") <= 0.25, "clouds", "QUIET")], ("process", "AMBIGUOUS"))
@@ -320,7 +332,7 @@ def background_cascade(spark, sf_dir):
 
 @query("high_pass_cascade", f"WITH {FRAMES} SELECT id, CASE WHEN gm < 70 THEN 'NIGHT' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'DUPLICATE' WHEN k >= 75 OR (k % 10 >= 8 AND k >= 30) THEN 'DARK_BLOB_HP' ELSE 'QUIET_HP' END AS stage, CASE WHEN k >= 75 THEN 'DARK_BLOB_HP' ELSE 'QUIET_HP' END AS blur_stage FROM frames")
 def high_pass_cascade(spark, sf_dir):
-    """D05, D06, with stand-ins for the scores."""
+    """A test of D05's and D06's rules alone, over made-up figures; `high_pass_pipeline` and `blur_pipeline` run them."""
     k, gm = F.col("k"), F.col("gm")
     hp = C.first_match([(gm < 70, "process", "NIGHT"), ((k % 3 == 0) & (k % 2 == 0), "clouds", "DUPLICATE"), ((k >= 75) | ((k % 10 >= 8) & (k >= 30)), "process", "DARK_BLOB_HP")], ("clouds", "QUIET_HP"))
     blur = C.first_match([(k >= 75, "process", "DARK_BLOB_HP")], ("clouds", "QUIET_HP"))
@@ -329,7 +341,7 @@ def high_pass_cascade(spark, sf_dir):
 
 @query("pixel_cascade", f"WITH {FRAMES} SELECT CASE WHEN gm < 30 THEN 'NIGHT' WHEN id % 50 < 3 THEN 'WARMUP' WHEN k > 95 THEN 'BUMP' WHEN value / 100 > 0.6 THEN 'SCENE_EVENT' WHEN k > 90 THEN 'SCENE_EVENT' WHEN k % 6 = 0 THEN 'BIRD_CANDIDATE' ELSE 'BACKGROUND' END AS decision, count(*) AS frames FROM frames GROUP BY 1")
 def pixel_cascade(spark, sf_dir):
-    """D07."""
+    """A test of D07's rule alone, over made-up figures; `pixel_pipeline` runs it from kernels."""
     k = F.col("k")
     stages = [(F.col("gm") < 30, "skip", "NIGHT"), (F.col("id") % 50 < 3, "skip", "WARMUP"), (k > 95, "skip", "BUMP"), (F.col("value") / 100 > 0.6, "keep", "SCENE_EVENT"), (k > 90, "keep", "SCENE_EVENT"), (k % 6 == 0, "keep", "BIRD_CANDIDATE")]
     return frames(spark, sf_dir).groupBy(C.first_match(stages, ("skip", "BACKGROUND"))["trigger"].alias("decision")).agg(F.count("*").alias("frames"))
@@ -337,7 +349,7 @@ def pixel_cascade(spark, sf_dir):
 
 @query("stage_ablation", f"WITH {FRAMES} SELECT a AS without, CASE WHEN gm < 70 AND a <> 'NIGHT' THEN 'NIGHT' WHEN k % 9 BETWEEN 1 AND 3 AND a <> 'DARK_OBJ' THEN 'DARK_OBJ' WHEN gm < 150 AND a <> 'QUIET' THEN 'QUIET' ELSE 'AMBIGUOUS' END AS stage, count(*) AS frames FROM frames, (SELECT unnest(['NIGHT', 'DARK_OBJ', 'QUIET']) AS a) GROUP BY 1, 2")
 def stage_ablation(spark, sf_dir):
-    """The cascade with one stage left out at a time; rows are copied three times and summed up in place."""
+    """A test of D10's rule alone, `legacy_ablation` runs the older cascade: the cascade with one stage left out at a time; rows are copied three times and summed up in place."""
     a = F.col("without")
     rows = frames(spark, sf_dir).select("gm", "k", F.explode(F.array(*map(F.lit, ("NIGHT", "DARK_OBJ", "QUIET")))).alias("without"))
     stages = [((F.col("gm") < 70) & (a != "NIGHT"), "process", "NIGHT"), ((F.col("k") % 9).between(1, 3) & (a != "DARK_OBJ"), "process", "DARK_OBJ"), ((F.col("gm") < 150) & (a != "QUIET"), "clouds", "QUIET")]

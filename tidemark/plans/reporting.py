@@ -13,13 +13,6 @@ from tidemark.sources.storage import scratch_path
 _3H = "us // 10800000000 * 10800"
 
 
-@query("frames_in_order", f"WITH {FRAMES} SELECT id, us, row_number() OVER (ORDER BY us, id) AS place FROM frames WHERE result IS NOT NULL ORDER BY us, id LIMIT 500")
-def frames_in_order(spark, sf_dir):
-    """The oldest 500 frames in replay order, as its twin says; `frames_replayed` covers S01 and L01."""
-    top = frames(spark, sf_dir).where("result is not null").orderBy("us", "id").limit(500)
-    return top.select("id", "us", F.row_number().over(Window.orderBy("us", "id")).alias("place"))
-
-
 @query("frames_replayed", f"WITH {FRAMES} SELECT id, us, row_number() OVER (ORDER BY us, id) AS place FROM frames WHERE result IS NOT NULL")
 def frames_replayed(spark, sf_dir):
     """All frames in replay order; places count on from one range of times to the next."""

@@ -9,9 +9,11 @@ from tidemark.operators import suppression as S
 from tidemark.plans import grids  # noqa: F401  registers the batch fold that the stateful stream must equal
 from tidemark.registry import query, sql_of
 from tidemark.sources import binary, files
+from tidemark.sources.docstore import DocumentStore
 from tidemark.sources.frames import FRAMES, document, frames, table
 from tidemark.sources.storage import scratch_path
 from tidemark.streaming import pipeline as P
+from tidemark.streaming import spool
 
 _3H = "us // 10800000000 * 10800"
 
@@ -83,6 +85,22 @@ def spool_flushes(spark, sf_dir):
     return sent.groupBy("device").agg(F.max("dropped").alias("dropped"), (F.max("flush") + 1).alias("deliveries"), F.count("*").alias("sent"), F.sum(F.col("id") * (F.col("flush") + 1)).alias("digest"))
 
 
+def spool_rows(events):
+    """The stream's frames as a spool's rows: suppressed frames are kept, timer frames are chances to deliver, and what the
+    server makes of frames answers the oldest one on its way."""
+    kind = F.when(F.col("source").eqNullSafe("pir") & F.col("result").eqNullSafe("clouds"), spool.RECORD).when(F.col("source").eqNullSafe("rtc"), spool.WAKE)
+    kind = kind.when(F.col("k") % 13 == 0, spool.FAILED).otherwise(spool.ACCEPTED)
+    return events.select("device", "us", "id", (F.col("gm") * 100).alias("bytes"), kind.alias("kind"), "captured_at")
+
+
+@query("spool_acknowledged")
+def spool_acknowledged(spark, sf_dir):
+    """Suppressed frames wait in their device's spool until a delivery of at most eight is accepted; times are scaled to
+    the fixture, where events of a device lie hours apart."""
+    sent = spool.acknowledged(spool_rows(P.events(spark, sf_dir)), config=spool.SpoolConfig(bytes=60_000, records=8, seconds=86_400.0))
+    return P.drain(sent)
+
+
 @query("stream_deduplicated", f"WITH {FRAMES} SELECT device, count(*) AS events FROM frames GROUP BY device")
 def stream_deduplicated(spark, sf_dir):
     """Each event arrives twice and counts once."""
@@ -148,6 +166,27 @@ def overwritten_labels(spark, sf_dir):
     return f.join(new, "id", "left").groupBy(F.coalesce("new", "label").alias("label")).agg(F.count("*").alias("n"))
 
 
+_RELABELLED = "CASE WHEN id % 50 = 0 AND id < 3000 THEN 'bird' ELSE label END"
+
+
+@query(
+    "labels_written_back",
+    f"""WITH {FRAMES}, l AS (SELECT id, us, {_RELABELLED} AS label, gm >= 200 AND {_RELABELLED} IS NOT NULL AS fetched FROM frames)
+SELECT label, count(*) AS frames, count(*) FILTER (fetched) AS downloaded, count(*) FILTER (label IS NOT NULL AND NOT fetched) AS to_fetch, CAST(sum(CASE WHEN fetched THEN id ELSE 0 END) AS BIGINT) AS digest FROM l GROUP BY label""",
+)
+def labels_written_back(spark, sf_dir):
+    """Labels are set in a document store, whose files without such frames stay as they are, and what a
+    downloader has fetched of the labelled frames is marked; counts of the table that this leaves, and what it would fetch."""
+    store = DocumentStore(spark, scratch_path(spark, "labels"), "id")
+    f = frames(spark, sf_dir)
+    store.append(f.select("id", "us", "gm", "label", F.lit(None).cast("string").alias("downloaded_at")), 16)
+    store.update(f.where("id % 50 = 0 AND id < 3000").select("id", F.lit("bird").alias("label")), {"label": F.col("change.label")})
+    fetched = store.read().where("label IS NOT NULL AND downloaded_at IS NULL AND gm >= 200").select("id", F.timestamp_micros("us").cast("string").alias("at"))
+    store.update(fetched, {"downloaded_at": F.col("change.at")})
+    done = F.col("downloaded_at").isNotNull()
+    return store.read().groupBy("label").agg(F.count("*").alias("frames"), F.count_if(done).alias("downloaded"), F.count_if(F.col("label").isNotNull() & ~done).alias("to_fetch"), F.sum(F.when(done, F.col("id")).otherwise(0)).alias("digest"))
+
+
 @query("image_headers", "SELECT doc_id, 'v' || doc_id AS version, 'cam' AS project, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0")
 def image_headers(spark, sf_dir):
     """Fixed offsets; images without the magic word have no header."""
@@ -160,20 +199,6 @@ def image_headers(spark, sf_dir):
     return rows.select("doc_id", "h.version", "h.project", "h.sha256")
 
 
-@query("spool_records", "SELECT device, count(*) AS records, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT user_id AS device, event_id AS id FROM events WHERE event_id < 2000) GROUP BY device")
-def spool_records(spark, sf_dir):
-    """A spool file for each device over the first 2000 events alone, as its twin says; `spool_files` covers S19."""
-    import pandas as pd
-
-    def spool(key, frame):
-        raw = b"".join(binary.framed('{"id": %d}' % i, b"x" * (i % 7)) for i in frame["event_id"]) + b"\x10\0\0\0\0\0\0\0{"
-        return pd.DataFrame({"path": [str(key[0])], "content": [raw]})
-
-    files = table(spark, sf_dir, "events").where("event_id < 2000").groupBy("user_id").applyInPandas(spool, "path string, content binary")
-    parsed = binary.records(files).select(F.col("path").cast("long").alias("device"), F.get_json_object("meta", "$.id").cast("long").alias("id"))
-    return parsed.groupBy("device").agg(F.count("*").alias("records"), F.sum("id").alias("ids"))
-
-
 @query("spool_files", "SELECT user_id AS device, count(*) AS records, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY user_id")
 def spool_files(spark, sf_dir):
     """All events as framed records, in files of a device and a run of 10,000 ids, each file's last record cut off,
@@ -189,15 +214,16 @@ def spool_files(spark, sf_dir):
     return parsed.groupBy("device").agg(F.count("*").alias("records"), F.sum("id").alias("ids"))
 
 
-@query("labelled_file_scan", "SELECT source AS label, count(*) AS files, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM (SELECT source, text FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL) GROUP BY source")
+@query("labelled_file_scan", "SELECT source AS label, count(DISTINCT doc_id // 100) AS files, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes, CAST(min(doc_id // 100) AS VARCHAR) AS first FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source")
 def labelled_file_scan(spark, sf_dir):
-    """Texts in a folder for each label, found again by a recursive scan that takes the label from the path."""
+    """Texts in a folder for each label and, in it, one for each hundred ids, found again by a recursive scan that takes
+    the label and the name from the paths, counts the files' names and adds up their sizes."""
     path = scratch_path(spark, "folders")
-    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("value"), F.col("source").alias("label"))
-    docs.write.partitionBy("label").text(path)
-    found = files.labelled_files(spark, path, ".txt").withColumn("label", F.substring_index("label", "=", -1))
-    rows = docs.groupBy("label").agg(F.count("*").alias("files"))  # a folder's files hold many rows each
-    return found.groupBy("label").agg(F.sum("size").alias("bytes")).join(rows, "label").select("label", "files", "bytes")
+    named = table(spark, sf_dir, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("value"), F.col("source").alias("label"), F.expr("doc_id div 100").alias("name"))
+    named.write.partitionBy("label", "name").text(path)
+    found = files.labelled_files(spark, path, ".txt").withColumn("folders", F.split("path", "/"))
+    at = lambda k: F.substring_index(F.element_at("folders", k), "=", -1)
+    return found.select(at(-3).alias("label"), at(-2).alias("name"), "size").groupBy("label").agg(F.count_distinct("name").alias("files"), F.sum("size").alias("bytes"), F.min(F.col("name").cast("long")).cast("string").alias("first"))
 
 
 @query("checks_from_a_file", f"WITH {FRAMES} SELECT name, count(*) AS compared, count(*) FILTER (off) AS mismatches FROM (SELECT 'gm' AS name, k % 9 = 0 AS off FROM frames WHERE k IS NOT NULL UNION ALL SELECT 'value', k % 4 > 2 FROM frames WHERE k IS NOT NULL) GROUP BY name")

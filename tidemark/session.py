@@ -6,12 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
-#: UTC makes naive and zoned times agree; LAST_WIN and allowDuplicateKeys give JSON's usual last-key-wins.
-SEMANTICS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.variant.allowDuplicateKeys": "true",
-}
+#: UTC makes naive and zoned times agree. No query needs more.
+SEMANTICS = {"spark.sql.session.timeZone": "UTC"}
 
 
 def configure(spark: SparkSession) -> SparkSession:

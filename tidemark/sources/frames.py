@@ -11,8 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document(text: Column) -> Column:
-    """Tolerant JSON ingest: what doesn't parse is an empty document."""
-    return F.coalesce(F.try_parse_json(text), F.parse_json(F.lit("{}")))
+    """Tolerant JSON ingest, whatever the session's settings: of a repeated key of the document the last value counts, as a
+    builder that appends keys again means it, and what doesn't parse is an empty document. A variant parser refuses
+    repeated keys by default; only such rows are read again as pairs, of which those that no later pair of that key follows
+    make the document. A key that is repeated deeper than in the document itself makes it an empty one."""
+    pairs = F.map_entries(F.from_json(text, "map<string,variant>"))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.coalesce(F.try_parse_json(text), F.to_variant_object(F.map_from_entries(last)), F.parse_json(F.lit("{}")))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.background import EmaConfig
+from tidemark.sources.frames import document
 from tidemark.sources.storage import scratch_path
 
 #: The store that arbitrary state needs.
@@ -22,7 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the events file, as (id, device, captured_at, us, source, result, gm, k)."""
     raw = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 4).parquet(sf_dir)
     at = F.col("ts").cast("timestamp")
-    k = F.variant_get(F.coalesce(F.try_parse_json("props"), F.parse_json(F.lit("{}"))), "$.k", "bigint")
+    k = F.variant_get(document(F.col("props")), "$.k", "bigint")
     rows = raw.select("event_id", "user_id", at.alias("at"), "event_type", "value", k.alias("k"))
     return rows.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("device"), F.col("at").alias("captured_at"), F.unix_micros("at").alias("us"),
