@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, minhash_dedup
@@ -240,3 +241,50 @@ def test_whole_operator_against_every_pair(spark, documents):
             if share >= c.threshold and runs & {tuple(item[k : k + 3]) for k in range(len(item) - 2)}:
                 want[i, j] = share
     assert got == want and 40 < len(want) < 120
+
+
+@pytest.mark.parametrize("rare, spread", [(1, 1 << 20), (2, 1), (16, 1 << 20), (2, 40)])
+def test_templates_against_every_pair(spark, documents, monkeypatch, rare, spread):
+    """Items that share openings, closings and most words, some of them equal, against alignments of all pairs."""
+    monkeypatch.setattr(decontaminate, "SPREAD", spread)
+    rng, c = random.Random(rare), decontaminate.DecontaminationConfig(rare=rare)
+    opening, closing = "read the following passage and answer".split(), "give a short answer below".split()
+    items = [opening + [f"i{rng.randint(0, 40)}" for _ in range(rng.randint(3, 20))] + closing for _ in range(8)] + [opening + closing, opening + closing[:2] + opening]
+    items += [items[0], items[8]]
+    rows = []
+    for k in range(90):
+        words = [w if rng.random() < 0.85 else f"e{rng.randint(0, 9)}" for w in rng.choice(items)] if rng.random() < 0.7 else opening * rng.randint(1, 9)
+        rows.append((k, " ".join([f"d{rng.randint(0, 30)}" for _ in range(rng.randint(0, 12))] + words + closing * rng.randint(0, 2))))
+    config = decontaminate.parse(list(range(len(items))), [" ".join(i) for i in items], c)
+    found = {}
+    for row, item, score, start, end in decontaminate._finder(config, c)(pa.array([t for _, t in rows])):
+        found[row, item] = max(found.get((row, item), 0), score)
+        assert 0 <= start < end <= len(rows[row][1].split())
+    numbers = {}
+    number = lambda words: [numbers.setdefault(w, len(numbers)) for w in words]
+    want = {}
+    for k, text in rows:
+        words = text.split()
+        for i, item in enumerate(items):
+            grams = {tuple(item[j : j + 3]) for j in range(len(item) - 2)}
+            if any(tuple(words[j : j + 3]) in grams for j in range(len(words) - 2)):
+                share = smith_waterman(number(item), number(words), c) / (c.match * len(item))
+                if share >= c.threshold:
+                    want[k, i] = share
+    assert found == want
+
+
+def test_templates_cost_no_memory_by_items():
+    """Thousands of items with one opening, against a text that repeats it."""
+    import tracemalloc
+
+    opening = "please read the following question and choose the best of the answers"
+    c = decontaminate.DecontaminationConfig()
+    items = decontaminate.parse(list(range(3000)), [f"{opening} " + " ".join(f"w{k}x{j}" for j in range(12)) for k in range(3000)], c)
+    text = " ".join([opening] * 2500 + [f"w7x{j}" for j in range(12)] + [opening])
+    find = decontaminate._finder(items, c)
+    tracemalloc.start()
+    found = list(find(pa.array([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {f[1] for f in found} == {7} and max(f[2] for f in found) == 1.0 and peak < 100 << 20

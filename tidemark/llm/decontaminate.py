@@ -1,10 +1,13 @@
-"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 6).
+"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 6).
 
-Every word n-gram of a test item is a seed, however many documents hold it. Hits of an item's seeds in a document are
-grouped by the diagonal, and the item is aligned with the passage around each group by Smith-Waterman over words, which
-scores edited copies. A group is passed over only where the passage lacks so many of the item's words that no alignment
-could reach the threshold. A passage that shares no run of `words` words with an item has no seed and isn't found. An item
-too short for seeds is found where its whole sequence of words stands.
+The word n-grams that few test items share are seeds, however many documents hold them. A common one, such as the opening
+of a template, says nothing of which item a text holds, so it counts for those items alone of which a rare word stands near
+it too; no alignment can do without one, unless an item has next to no rare words, and then all its n-grams are seeds. Hits
+of an item's seeds in a document are grouped by the diagonal, and the item is aligned with the passage around each group by
+Smith-Waterman over words, which scores edited copies. A group is passed over only where the passage lacks so many of
+the item's words that no alignment could reach the threshold. A passage that shares no run of `words` words with an item has
+no seed and isn't found. An item too short for seeds is found where its whole sequence of words stands. Items of equal
+words are aligned once.
 
 Texts never move: the items' n-grams are sent to the executors, in blocks of a bounded size, and no document is shuffled.
 """
@@ -26,7 +29,7 @@ from tidemark.llm.storage import texts
 @dataclass(frozen=True)
 class DecontaminationConfig:
     """words: of a seed. min_words: items of fewer words are matched exactly, as a whole. match, mismatch, gap: of the alignment. threshold: least alignment score as a
-    share of the item's best possible. block_words: words of test items that are sent to the executors at once (8 bytes each, and
+    share of the item's best possible. rare: items that hold a rare seed or word at most. block_words: words of test items that are sent to the executors at once (8 bytes each, and
     32 for each seed); more items take more passes."""
 
     words: int = 3
@@ -35,12 +38,17 @@ class DecontaminationConfig:
     mismatch: int = -1
     gap: int = -1
     threshold: float = 0.55
+    rare: int = 16
     block_words: int = 1_000_000
 
 
+#: Hits that are spread over items at once; more are taken by ranges of items.
+SPREAD = 1 << 20
+
+
 @dataclass
 class Items:
-    ids: np.ndarray
+    ids: list[list[int]]  # of each item of other words, the ids that have them
     words: list[np.ndarray]
     grams: np.ndarray  # distinct, ascending
     gram: np.ndarray  # of each place, its number in `grams`
@@ -61,16 +69,48 @@ def parse(ids: list[int], texts: list[str | None], config: DecontaminationConfig
         hashes = K.ngrams(np.concatenate([found[k] for k in own]), np.repeat(np.arange(len(own)), n), n)[0]
         by = np.argsort(hashes, kind="stable")
         short[n] = hashes[by], np.array(ids, np.int64)[own][by]
-    keep = [k for k, w in enumerate(found) if len(w) >= least]
-    words = [found[k] for k in keep]
+    distinct: dict[bytes, list[int]] = {}
+    for k, w in enumerate(found):
+        if len(w) >= least:
+            distinct.setdefault(w.tobytes(), []).append(k)
+    own, words = [[ids[k] for k in same] for same in distinct.values()], [found[same[0]] for same in distinct.values()]
     if not words:
         none = np.empty(0, np.int64)
-        return Items(none, [], np.empty(0, np.uint64), none, none, none, short)
+        return Items([], [], np.empty(0, np.uint64), none, none, none, short)
     owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     hashed, at = K.ngrams(np.concatenate(words), owner, config.words)
     begin = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     grams, gram = np.unique(hashed, return_inverse=True)
-    return Items(np.array(ids, np.int64)[keep], words, grams, gram, owner[at], at - begin[owner[at]], short)
+    return Items(own, words, grams, gram, owner[at], at - begin[owner[at]], short)
+
+
+class Holders:
+    """Which items hold a number (of an n-gram or a word), and where: spread(at, slot) gives (at, item, place) for each place
+    of each item that holds slot's number, in bounded runs by ranges of items."""
+
+    def __init__(self, number: np.ndarray, item: np.ndarray, place: np.ndarray, items: int):
+        order = np.lexsort((place, item, number))
+        self.items, self.item, self.place = items, item[order], place[order]
+        self.keys = number[order] * items + self.item
+
+    def spread(self, at: np.ndarray, slot: np.ndarray, low: int = 0, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        high = self.items if high is None else high
+        begin = np.searchsorted(self.keys, slot * self.items + low)
+        many = np.searchsorted(self.keys, slot * self.items + high) - begin
+        held = np.flatnonzero(many)
+        at, slot, begin, many = at[held], slot[held], begin[held], many[held]
+        if int(many.sum()) > SPREAD and high - low > 1:
+            middle = (low + high) // 2
+            yield from self.spread(at, slot, low, middle)
+            yield from self.spread(at, slot, middle, high)
+        elif len(at):
+            source = K.runs(begin, many)
+            yield np.repeat(at, many), self.item[source], self.place[source]
+
+
+def _items_each(number: np.ndarray, item: np.ndarray, numbers: int, items: int) -> np.ndarray:
+    """How many items hold each number."""
+    return np.bincount(np.unique(number * items + item) // items, minlength=numbers)
 
 
 def _hits(hashed: np.ndarray, rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +170,46 @@ PAIR_SCHEMA = "doc_id long, item_id long, score double, word_start long, word_en
 def _finder(items: Items, config: DecontaminationConfig):
     """column of texts -> (row, item id, score, start, end) of the passages that hold an item, slice by slice; words count
     from 0 in a text."""
-    n = config.words
-    order = np.argsort(items.gram, kind="stable")
-    at_item, at_place = items.item[order], items.place[order]
-    begin = np.searchsorted(items.gram[order], np.arange(len(items.grams) + 1))
+    n, many = config.words, len(items.words)
     sizes = np.array([len(w) for w in items.words], np.int64)
+    common = _items_each(items.gram, items.item, len(items.grams), many) > config.rare
+    shared = common[items.gram]
+    flat, owner = np.concatenate([np.empty(0, np.uint64), *items.words]), np.repeat(np.arange(many), sizes)
+    vocabulary, word = np.unique(flat, return_inverse=True)
+    usual = _items_each(word, owner, len(vocabulary), many) > config.rare
+    # items whose usual words alone could make a match, so that all their n-grams are seeds
+    plain = np.bincount(owner, usual[word], many) >= config.threshold * sizes
+    seeds = Holders(*(x[~shared | plain[items.item]] for x in (items.gram, items.item, items.place)), many)
+    templates = Holders(*(x[shared & ~plain[items.item]] for x in (items.gram, items.item, items.place)), many)
+    templated = np.zeros(many, bool)
+    templated[templates.item] = True
+    telling = ~usual[word] & templated[owner]
+    words = Holders(*(x[telling] for x in (word, owner, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner])), many)
+
+    def spread(at: np.ndarray, slot: np.ndarray, hashed: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the slice, item, place in the item) of seeds; no item's hits are parted."""
+        yield from seeds.spread(at, slot)
+        at, slot = at[common[slot]], slot[common[slot]]
+        if not len(at) or not len(templates.item):
+            return
+        in_row = np.zeros(int(rows[-1]) + 1, bool)
+        in_row[rows[at]] = True
+        near = np.flatnonzero(in_row[rows])
+        known = np.minimum(np.searchsorted(vocabulary, hashed[near]), len(vocabulary) - 1)
+        told = vocabulary[known] == hashed[near]
+        pairs = [np.empty(0, np.int64)]
+        for where, item, place in words.spread(near[told], known[told]):
+            start = where - place
+            low, high = np.maximum(start - sizes[item], np.searchsorted(rows, rows[where])), np.minimum(start + 2 * sizes[item], np.searchsorted(rows, rows[where], "right"))
+            beside = np.searchsorted(at, high) > np.searchsorted(at, low)  # a template's n-gram within the item's reach
+            pairs.append(np.unique(rows[where[beside]] * many + item[beside]))
+        pairs = np.unique(np.concatenate(pairs))
+        # the templates' n-grams count for these pairs of row and item alone
+        for row in np.unique(pairs // many).tolist():
+            own = pairs[np.searchsorted(pairs, row * many) : np.searchsorted(pairs, (row + 1) * many)] % many
+            a, b = np.searchsorted(rows[at], row), np.searchsorted(rows[at], row, "right")
+            for item in own.tolist():
+                yield from templates.spread(at[a:b], slot[a:b], item, item + 1)
 
     def find(column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         for first, _, data, offsets in K.slices(column):
@@ -150,28 +225,31 @@ def _finder(items: Items, config: DecontaminationConfig):
             at, slot = _hits(hashed, rows, items.grams, n)
             if not len(at):
                 continue
-            many = begin[slot + 1] - begin[slot]
-            source = K.runs(begin[slot], many)
-            at = np.repeat(at, many)
-            item, diagonal = at_item[source], at - at_place[source]
-            row = rows[at]
-            by = np.lexsort((diagonal, item, row))
-            row, item, diagonal = row[by], item[by], diagonal[by]
-            size = sizes[item]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
-            group = np.flatnonzero(new)
-            for a, b in zip(group.tolist(), [*group[1:].tolist(), len(row)], strict=True):
-                own = items.words[item[a]]
-                pad = len(own) // 4 + 2
-                low, high = int(np.searchsorted(rows, row[a])), int(np.searchsorted(rows, row[a], "right"))
-                s, e = max(low, int(diagonal[a]) - pad), min(high, int(diagonal[b - 1]) + len(own) + pad)
-                if np.isin(own, hashed[s:e]).sum() < config.threshold * len(own):
-                    continue  # each word of the item that the passage has adds `match` at most
-                score, end = align(own, hashed[s:e], config)
-                share = score / (config.match * len(own))
-                if share >= config.threshold:
-                    yield first + int(row[a]), int(items.ids[item[a]]), share, s + begin_of(own, hashed[s : s + end], config) - low, s + end - low
+            for at_, item, place in spread(at, slot, hashed, rows):
+                diagonal, row = at_ - place, rows[at_]
+                by = np.lexsort((diagonal, item, row))
+                row, item, diagonal = row[by], item[by], diagonal[by]
+                size = sizes[item]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 4 + 2)
+                group = np.flatnonzero(new)
+                for a, b in zip(group.tolist(), [*group[1:].tolist(), len(row)], strict=True):
+                    own = items.words[item[a]]
+                    low, high = int(np.searchsorted(rows, row[a])), int(np.searchsorted(rows, row[a], "right"))
+                    # no alignment that reaches the threshold is as long as two items: it lies within one of a seed's diagonal,
+                    # and long passages are met in windows
+                    s, e = max(low, int(diagonal[a]) - len(own)), min(high, int(diagonal[b - 1]) + 2 * len(own))
+                    for s_ in range(s, max(s + 1, e - 2 * len(own)), 2 * len(own)):
+                        e_ = min(e, s_ + 4 * len(own))
+                        passage = hashed[s_:e_]
+                        if np.isin(own, passage).sum() < config.threshold * len(own):
+                            continue  # each word of the item that the passage has adds `match` at most
+                        score, end = align(own, passage, config)
+                        share = score / (config.match * len(own))
+                        if share >= config.threshold:
+                            begin = s_ + begin_of(own, passage[:end], config) - low
+                            for i in items.ids[item[a]]:
+                                yield first + int(row[a]), i, share, begin, s_ + end - low
 
     return find
 
