@@ -126,6 +126,15 @@ def test_other_models_are_left_to_the_library(tmp_path):
     assert not own.by_table and ids_of(own, texts) == SentencePieceProcessor(model_file=path).encode(texts)
 
 
+def test_any_ids_are_decoded_as_the_library_does(library):
+    rng, own = random.Random(6), pieces.encoder(pieces.model_file())
+    pool = [0, 1, 2, 259, 259, 28705, 28705, *range(3, 259, 9), *range(260, 32000, 1500)]
+    rows = [[rng.choice(pool) for _ in range(rng.randint(0, 7))] for _ in range(3000)] + [library.encode("".join(rng.choice(PARTS) for _ in range(9))) for _ in range(500)]
+    cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    got = pieces.decoded(own, np.array([i for r in rows for i in r], np.int32), cuts)
+    assert [t.decode() for t in got] == [library.decode(r) for r in rows]
+
+
 def test_piece_digests(documents, library):
     rows = [(1, "Hello  wörld\n"), (2, None), (3, ""), (3, ""), (None, " x"), (4, "word " * 5000), (5, "é" * 3000), (6, "▁ a▁b")]
     got = pieces.digests(documents(*rows, extra=True)).collect()
@@ -135,6 +144,8 @@ def test_piece_digests(documents, library):
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(documents(*rows))).collect()}
     assert back[1] == "Hello  wörld\n" and back[2] == "" and back[4] == "word " * 5000
     assert pieces.digests(documents()).count() == 0
+    odd = documents().sparkSession.createDataFrame([(1, [22557, None]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert [(r.doc_id, r.text) for r in pieces.decode(odd).orderBy("doc_id").collect()] == [(1, "Hello"), (2, ""), (3, "")]
 
 
 # Whitening

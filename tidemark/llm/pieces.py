@@ -20,6 +20,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +154,10 @@ class Encoder:
             self.table = PrefixTable([(p, k, score) for p, (k, score) in pieces.items()])
             self.bytes = bytes_
         self.memo: dict[int, bytes] = {}
+        # the bytes of each piece, a blank for its sign; pieces of other kinds have none and are left to the library
+        raw = [p.piece.replace(SIGN, " ").encode() if p.type == NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b"" for p in model.pieces]
+        self.sizes, self.kinds = np.array([len(r) for r in raw], np.int64), np.array([p.type for p in model.pieces])
+        self.places, self.raw = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(raw), np.uint8)
 
     def units(self, units: list[str]) -> Iterator[bytes]:
         """Ids of units, as 32-bit numbers; a character that is no piece gives one for each of its bytes."""
@@ -242,19 +247,58 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     return texts(docs).mapInArrow(_encode(model_file(model)), "doc_id long, ids array<int>")
 
 
+def decoded(own: Encoder, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The UTF-8 texts of rows of ids: the pieces' bytes without the sign that begins the first. Rows with other ids than
+    of pieces and bytes, or whose bytes are no UTF-8, are the library's."""
+    plain = own.by_table and len(ids) and 0 <= ids.min() and ids.max() < len(own.sizes)
+    kinds = own.kinds[ids] if plain else None
+    raw = own.raw[K.runs(own.places[ids], own.sizes[ids])].tobytes() if plain else b""
+    ends = np.concatenate(([0], np.cumsum(own.sizes[ids]))) if plain else None
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if plain:
+            kind = kinds[a:b]
+            text = raw[ends[a] : ends[b]]
+            text = text[1:] if a < b and kind[0] == NORMAL and text[:1] == b" " else text
+            if ((kind == NORMAL) | (kind == BYTE)).all() and (not (kind == BYTE).any() or _is_text(text)):
+                out.append(text)
+                continue
+        out.append(own.library.decode(ids[a:b].tolist()).encode())
+    return out
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+#: Ids that are decoded at once, or those of one longer row.
+IDS = 1 << 18
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = encoder(path).library.decode
         for batch in batches:
             ids = batch.column(1)
-            for k in range(len(batch)):  # a row at a time, so that no more than one text is held as Python numbers
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), ids.slice(k, 1), pa.array([decoded(ids[k].as_py() or [])], pa.string())], ["doc_id", "ids", "text"])
+            if ids.flatten().null_count:
+                ids = pa.array([[x for x in row or [] if x is not None] for row in ids.to_pylist()], ids.type)
+            cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            flat, i = ids.flatten().to_numpy(zero_copy_only=False), 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + IDS, "right")) - 1)
+                texts_ = decoded(encoder(path), flat[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids.slice(i, j - i), pa.array(texts_, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
+                i = j
 
     return run
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids and the text that the library's decode gives of the ids; null ids are none, whose text is empty."""
+    """doc_id, ids and the text that the library's decode gives of the ids, by a table of the pieces' bytes where that is all
+    there is to it; null ids are none, whose text is empty, and null entries no ids."""
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(_decode(model_file(model)), "doc_id long, ids array<int>, text string")
 
