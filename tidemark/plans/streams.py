@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import documents
+from tidemark.operators import blobs, documents
 from tidemark.operators import suppression as S
+from tidemark.operators.regimes import RegimeConfig
 from tidemark.plans import grids  # noqa: F401  registers the batch fold that the stateful stream must equal
 from tidemark.registry import query, sql_of
 from tidemark.sources import binary, files
@@ -13,7 +14,7 @@ from tidemark.sources.docstore import DocumentStore
 from tidemark.sources.frames import FRAMES, document, frames, table
 from tidemark.sources.storage import scratch_path
 from tidemark.streaming import pipeline as P
-from tidemark.streaming import spool
+from tidemark.streaming import regimes, spool
 
 _3H = "us // 10800000000 * 10800"
 
@@ -101,6 +102,35 @@ def spool_acknowledged(spark, sf_dir):
     return P.drain(sent)
 
 
+GRIDS = "vec_id long, embedding array<float>, label int"
+#: Limits in the fixture's units: grids of 8 by 8 without a scene, of which noise is most.
+REGIMES = RegimeConfig(warmup=8, near=0.03, colour_z=1.8, dark_z=1.8, texture_radius=1, around_radius=2, least_area=2, novelty=0.2, big=0.2, bump=1.5, confidence=4.0)
+
+
+def camera_frames(grids):
+    """Grids as frames of a camera a label, with three planes of different gain; a corner's level tells timer frames."""
+    tile = F.transform("embedding", lambda x: F.floor(128 + 200 * x.cast("double")).cast("double"))
+    rows = grids.select(F.col("label").cast("long").alias("device"), F.col("vec_id").alias("us"), F.col("vec_id").alias("id"), tile.alias("r"))
+    return rows.select("device", "us", "id", (F.col("r")[0] % 4 != 0).alias("teaches"), "r", F.transform("r", lambda x: 40 + 0.7 * x).alias("g"), F.transform("r", lambda x: 230 - 0.8 * x).alias("b"))
+
+
+@query("stream_regimes")
+def stream_regimes(spark, sf_dir):
+    """The pixel pipeline from state alone: regimes with learned grids score each frame before it teaches
+    them, and shifts against the last timer frame, once confirmed, start a camera anew."""
+    grids = spark.readStream.schema(GRIDS).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    return P.drain(regimes.regimes(camera_frames(grids), 8, 8, REGIMES))
+
+
+@query("image_blobs")
+def image_blobs(spark, sf_dir):
+    """G05 at image size: each whole text as a picture of 120 columns, whose vowels are joined with corners."""
+    vowel = F.transform(F.split(F.lower("text"), ""), lambda c: c.isin("a", "e", "i", "o", "u"))
+    pictures = table(spark, sf_dir, "documents").select("doc_id", vowel.alias("mask"), F.lit(120).alias("width"))
+    found = blobs.blob_sizes(pictures, "doc_id", "mask", "width")
+    return found.select("doc_id", "cells", F.size("sizes").alias("blobs"), F.coalesce(F.get("sizes", F.lit(0)), F.lit(0)).alias("largest"))
+
+
 @query("stream_deduplicated", f"WITH {FRAMES} SELECT device, count(*) AS events FROM frames GROUP BY device")
 def stream_deduplicated(spark, sf_dir):
     """Each event arrives twice and counts once."""
