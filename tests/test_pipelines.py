@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import solar
 from tidemark.operators import legacy
 from tidemark.operators import pipelines as P
+from tidemark.plans import pipelines as plans
 from tidemark.sources import files
 
 C = legacy.LegacyConfig(need=2, drift_tiles=2, indirect=95.0, spot_tiles=2, spot_dark=12.0, spot_noise=30.0, z=1.5, dark=15.0, fresh_dark=8.0, quiet=0.3)
@@ -108,3 +111,39 @@ def test_labels_and_stamps_of_files(spark, tmp_path):
 def test_check_lists(spark, tmp_path, text, want):
     (tmp_path / "checks.json").write_text(text)
     assert [tuple(r) for r in files.check_list(spark, str(tmp_path / "checks.json")).collect()] == want
+
+
+def test_swept_configurations_equal_runs_one_by_one(spark):
+    """Every stage is reached, and a sample of each sweep's configurations equals the cascade's own runs."""
+    sf, rng = "/root/testdata/sf0.001", random.Random(7)
+    rows, reached = plans.swept_frames(spark, sf).cache(), set()
+    sweeps = (("cascade_sweep", plans.SWEPT, 64), ("cascade_sweep", plans.SWEPT, 16), ("cascade_variants", plans.VARIANTS, 64))
+    for name, grid, cells in sweeps:
+        got = {(r.asDict().get("cells", 64), r.config): r for r in registry.queries()[name](spark, sf).collect()}
+        configs = legacy.configurations(plans._SWEPT_FROM, grid)
+        assert len(got) == len(configs) * (2 if name == "cascade_sweep" else 1)
+        truth = {(r.sequence, r.id): r.process for r in rows.where(F.col("cells") == cells).collect()}
+        for k in rng.sample(range(len(configs)), 5):
+            own = legacy.legacy_cascade(rows.where(F.col("cells") == cells), "sequence", ["id"], configs[k]).collect()
+            reached |= {r.trigger for r in own}
+            count = lambda process, label: sum(truth[r.sequence, r.id] == process and r.label == label for r in own)  # noqa: B023, E731
+            r = got[cells, k]
+            assert (r.tp, r.fn, r.fp, r.tn) == (count(True, "process"), count(True, "clouds"), count(False, "process"), count(False, "clouds"))
+            if name == "cascade_variants":
+                assert [r[s.lower()] for s in legacy.STAGES] == [sum(o.trigger == s for o in own) for s in legacy.STAGES]
+    assert reached >= {"NIGHT", "WARMUP", "DARK_OBJ", "QUIET", "INDIRECT_LIGHT"}
+
+
+def test_quiet_over_dark_and_steady_cells():
+    """The two variants, by hand: an odd bright cell, an odd dark one, and an unsteady one."""
+    c = dict(start_mean=100.0, z=2.0, need=0, night=0.0, dark_tiles=9, quiet=0.3)
+    tile, noise = np.array([200.0, 20.0, 100.0, 100.0]), np.array([100.0, 100.0, 10_000.0, 100.0])
+    stages = {}
+    for name, more in {"all": {}, "dark": {"dark_only": True}, "steady": {"steady": "abs", "steady_limit": 20.0}, "both": {"steady": "rel", "steady_limit": 0.2, "dark_only": True}}.items():
+        for many in (False, True):
+            config = legacy.LegacyConfig(**c, **more)
+            own = legacy._Backgrounds(4, [config]) if many else legacy._Background(4, config)
+            own.variance = noise[None].copy() if many else noise.copy()
+            stages.setdefault(name, set()).add((*legacy.STAGES, "AMBIGUOUS")[own.step(tile)[0]] if many else own.stage(tile, ""))
+    # 2 of 4 cells are odd, 1 of 4 dark and odd; 2 and 1 of the 3 steady ones
+    assert stages == {"all": {"AMBIGUOUS"}, "dark": {"QUIET"}, "steady": {"AMBIGUOUS"}, "both": {"AMBIGUOUS"}}

@@ -144,3 +144,40 @@ def legacy_ablation(spark, sf_dir):
     config = legacy.LegacyConfig(z=1.8, night=118.0, indirect=121.0, spot_tiles=3, spot_dark=60.0, spot_noise=60.0, fresh_dark=30.0, drift_tiles=2, quiet=0.02)
     found = legacy.legacy_cascade(rows, "span", ["id"], config, ("", *legacy.STAGES))
     return found.groupBy("without", "trigger", "label").agg(F.count("*").alias("frames"))
+
+
+#: As many configurations as the published sweep has, in the fixture's units: with two resolutions 5184.
+SWEPT = {
+    "indirect": [0.0, 122.0, 124.0, 126.0], "z": [1.2, 1.5, 1.8], "quiet": [0.02, 0.05, 0.10], "dark": [20.0, 25.0, 30.0, 35.0], "fresh_dark": [10.0, 15.0, 20.0],
+    "spot_tiles": [0, 5], "spot_still": [5.0, 8.0, 10.0],
+}
+_SWEPT_FROM = legacy.LegacyConfig(night=120.0, spot_dark=60.0, spot_noise=60.0, drift_tiles=2)
+#: The variants of what is called quiet: all odd cells or dark ones, over all cells or steady ones.
+VARIANTS = {"dark_only": [False, True], "steady": ["", "abs", "rel"], "steady_limit": [20.0, 28.0, 0.2, 0.3], "quiet": [0.02, 0.05, 0.10]}
+
+
+def swept_frames(spark, sf_dir):
+    """Grids of a label as a sequence, at full and at a quarter of the cells; frames with a very dark cell are to be kept."""
+    rows = _grids(spark, sf_dir).select("id", "label", (F.col("id") % 24).alias("hour"), "tile", (F.array_min("tile") < 60).alias("process"))
+    four = lambda i: (F.get("tile", i) + F.get("tile", i + 1) + F.get("tile", i + 8) + F.get("tile", i + 9)) / 4
+    coarse = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: four((F.floor(k / 4) * 16 + k % 4 * 2).cast("int")))
+    both = rows.withColumn("cells", F.lit(64)).union(rows.withColumn("tile", coarse).withColumn("cells", F.lit(16)))
+    return both.withColumn("sequence", F.concat_ws("/", "cells", "label"))
+
+
+@query("cascade_sweep")
+def cascade_sweep(spark, sf_dir):
+    """5184 configurations of the whole older cascade, each with its own backgrounds: what they keep and lose.
+    tests/test_pipelines.py holds them against runs one by one."""
+    configs, frames_ = legacy.configurations(_SWEPT_FROM, SWEPT), swept_frames(spark, sf_dir)
+    parts = [legacy.cascade_sweep(frames_.where(F.col("cells") == n), "sequence", ["id"], configs).withColumn("cells", F.lit(n)) for n in (64, 16)]
+    recall = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0)), 6)
+    return parts[0].union(parts[1]).select("cells", "config", "tp", "fn", "fp", "tn", recall("tp", "fn").alias("process_recall"), recall("tn", "fp").alias("clouds_recall"))
+
+
+@query("cascade_variants")
+def cascade_variants(spark, sf_dir):
+    """The cascade's two variants of QUIET, by dark cells and by steady ones, with the stages that they reach."""
+    configs = legacy.configurations(_SWEPT_FROM, VARIANTS)
+    found = legacy.cascade_sweep(swept_frames(spark, sf_dir).where("cells = 64"), "sequence", ["id"], configs)
+    return found.select("config", "tp", "fn", "fp", "tn", *[F.col("stages")[k].alias(name.lower()) for k, name in enumerate((*legacy.STAGES, "AMBIGUOUS"))])
