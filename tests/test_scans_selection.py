@@ -90,3 +90,15 @@ def test_the_last_of_repeated_keys_counts(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", document(F.col("t")).cast("string").alias("d")).orderBy("i").collect()
     assert [r.d for r in rows] == ['{"gm":3,"r":"late"}', '{"r":null}', '{"r":{"x":[1,"q"]},"s":"1"}', "{}", "[1]", "{}", "{}", "{}", "{}", "{}"]
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_long_lists_of_checks_are_joined(spark, monkeypatch):
+    from tidemark.operators import documents
+
+    frame = spark.createDataFrame([(1, {"a": "1", "b": "x", "c": "3"}, {"a": "2", "b": "x"}), (2, {"a": "1"}, None), (3, None, {"a": "1"})], "id int, e map<string,string>, a map<string,string>")
+    checks = spark.createDataFrame([("a", "int", None), ("b", "exact", None), ("c", "exact", None), ("d", "int", 2.0), ("a", "float", 1.5)], "name string, kind string, tolerance double")
+    found = lambda: sorted((r.id, r.check.name, r.check.kind, r.mismatch) for r in documents.parity(frame, checks, "e", "a").collect())
+    want = found()
+    assert want == [(1, "a", "float", False), (1, "a", "int", True), (1, "b", "exact", False)]
+    monkeypatch.setattr(documents, "MOST_CHECKS", 2)
+    assert found() == want

@@ -67,3 +67,23 @@ def test_deliveries_are_bounded_in_rows_and_time(spark):
     got = pipeline.flushes(spark.createDataFrame([(1, t * 1_000_000, k) for k, t in enumerate(at)], "device long, us long, id long"), "device", ["us", "id"], 4, 20.0).orderBy("id").collect()
     assert [r.flush for r in got] == [0, 0, 0, 0, 1, 2, 2, 2, 2, 3, 4, 4]
     assert pipeline.flushes(spark.createDataFrame([], "device long, us long, id long"), "device", ["us", "id"]).where(F.lit(True)).count() == 0
+
+
+def test_states_are_kept_by_version(spark, tmp_path):
+    from tidemark.streaming import snapshots
+
+    source, run, at = str(tmp_path / "in"), str(tmp_path / "run"), str(tmp_path / "states")
+    events = [r[:-1] + (False,) for r in rows(0, 200)]
+    for k, part in enumerate((events[:80], events[80:140])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        pipeline.drain(pipeline.stateful_background(spark.readStream.schema(SCHEMA).parquet(source), 2.0), path=run)
+        assert snapshots.keep(spark, run, "background", at) == k + 1
+    assert snapshots.versions(spark, at) == [1, 2] and snapshots.batches(spark, run)[1] == 1
+    own = {tuple(r) for r in snapshots.kept(spark, at).collect()}
+    assert own == {tuple(r) for r in pipeline.learned(spark.createDataFrame(events[:140], SCHEMA), 2.0).collect()}
+    assert {tuple(r) for r in snapshots.states(spark, run, "background", 0).collect()} == {tuple(r) for r in snapshots.kept(spark, at, 1).collect()} != own
+    rest = str(tmp_path / "rest")
+    spark.createDataFrame(events[140:], SCHEMA).coalesce(1).write.parquet(rest)
+    got = pipeline.drain(pipeline.stateful_background(spark.readStream.schema(SCHEMA).parquet(rest), 2.0, initial=snapshots.kept(spark, at)))
+    want = loop(events, 2.0)
+    assert {r.id: (round(r.z, 9), r.anomalous) for r in got.collect()} == {k: v for k, v in want.items() if k >= 140}

@@ -14,7 +14,7 @@ from tidemark.sources.docstore import DocumentStore
 from tidemark.sources.frames import FRAMES, document, frames, table
 from tidemark.sources.storage import scratch_path
 from tidemark.streaming import pipeline as P
-from tidemark.streaming import regimes, spool
+from tidemark.streaming import regimes, snapshots, spool
 
 _3H = "us // 10800000000 * 10800"
 
@@ -61,6 +61,17 @@ def stream_warm_start(spark, sf_dir):
     return P.drain(P.stateful_background(arriving, 2.0, initial=states)).select("id", F.round("z", 5).alias("z"), "anomalous")
 
 
+@query("stream_seeded_by_state", _SCORES.format(reset="false") + f" AND us >= {_NOW}")
+def stream_seeded_by_state(spark, sf_dir):
+    """The state that a first run leaves is read from its state store, kept as a version, and seeds a second
+    run, which goes on as if nothing had been interrupted."""
+    run, at = scratch_path(spark, "run"), scratch_path(spark, "states")
+    P.drain(P.stateful_background(P.events(spark, sf_dir).where(F.col("us") < _NOW), 2.0), path=run)
+    snapshots.keep(spark, run, "background", at)
+    arriving = P.events(spark, sf_dir).where(F.col("us") >= _NOW)
+    return P.drain(P.stateful_background(arriving, 2.0, initial=snapshots.kept(spark, at))).select("id", F.round("z", 5).alias("z"), "anomalous")
+
+
 @query("stream_resets", _SCORES.format(reset="k = 42"))
 def stream_resets(spark, sf_dir):
     """Control rows in the stream, as after a new build, clear their device's state."""
