@@ -168,7 +168,7 @@ def swept_frames(spark, sf_dir):
 @query("cascade_sweep")
 def cascade_sweep(spark, sf_dir):
     """5184 configurations of the whole older cascade, each with its own backgrounds: what they keep and lose.
-    tests/test_pipelines.py holds them against runs one by one."""
+    tests/test_pipelines.py holds a sample of them against runs one by one."""
     configs, frames_ = legacy.configurations(_SWEPT_FROM, SWEPT), swept_frames(spark, sf_dir)
     parts = [legacy.cascade_sweep(frames_.where(F.col("cells") == n), "sequence", ["id"], configs).withColumn("cells", F.lit(n)) for n in (64, 16)]
     recall = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0)), 6)
