@@ -58,11 +58,12 @@ def test_folds_never_see_their_group_and_trees_learn(spark):
     rng = np.random.default_rng(6)
     rows = [(k, int(k // 20), float(a), float(b), float(a > 0.5)) for k, (a, b) in enumerate(rng.random((200, 2)))]
     frame = spark.createDataFrame(rows, "id long, day long, a double, b double, y double")
-    got = fitting.out_of_fold(frame, ["a", "b"], "y", "day", 3).toPandas()
+    c = fitting.BoostConfig(rounds=20, rate=0.3, least_rows=5)
+    got = fitting.out_of_fold(frame, ["a", "b"], "y", "day", 3, c).toPandas()
     assert len(got) == 200 and got.groupby("day").fold.nunique().max() == 1
     assert ((got.score > 0.5) == (got.y > 0.5)).mean() > 0.95
     random = frame.selectExpr("id", "day", "b AS a", "b", "CAST(hash(id) % 2 = 0 AS DOUBLE) AS y")
-    noise = fitting.out_of_fold(random, ["a", "b"], "y", "day", 3).toPandas()
+    noise = fitting.out_of_fold(random, ["a", "b"], "y", "day", 3, c).toPandas()
     assert ((noise.score > 0.5) == (noise.y > 0.5)).mean() < 0.75
 
 

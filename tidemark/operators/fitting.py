@@ -1,4 +1,4 @@
-"""Model fitting by pyspark.ml, and the two kernels that need numpy."""
+"""Model fitting by pyspark.ml and by boosting over histograms, and the two kernels that need numpy."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
+from tidemark.operators.boosting import BoostConfig
+
 
 def clustered(rows: DataFrame, vector: str, k: int = 4, seed: int = 0, starts: int = 20) -> DataFrame:
     """cluster: 0 for the darkest centre, and up, of the fit of least cost among `starts` ones; the centres' order, not the
@@ -37,20 +39,18 @@ def projected(rows: DataFrame, vector: str, k: int = 8) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="pc").fit(featured).transform(featured).withColumn("components", vector_to_array("pc")).drop("features", "pc")
 
 
-def boosted(train: DataFrame, features: list[str], label: str):
-    assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    model = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=3, maxIter=10, stepSize=0.1, seed=0).fit(assembled.transform(train))
-    return lambda rows: model.transform(assembled.transform(rows)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def boosted(train: DataFrame, features: list[str], label: str, c: BoostConfig = BoostConfig()):
+    """A function that adds score: the probability that a row is positive, by trees fitted to all of `train`."""
+    models = boosting.fit(train, features, label, c=c)
+    return lambda rows: rows.withColumn("score", boosting.score(models, [F.col(f) for f in features]))
 
 
-def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, folds: int = 5) -> DataFrame:
-    """Each row scored by a model that has seen no row of its group's fold."""
+def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, folds: int = 5, c: BoostConfig = BoostConfig()) -> DataFrame:
+    """Each row scored by a model that has seen no row of its group's fold; the models grow side by side. A null group is a
+    group."""
     dealt = rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)))
-    out = None
-    for k in range(folds):
-        scored = boosted(dealt.where(F.col("fold") != k), features, label)(dealt.where(F.col("fold") == k))
-        out = scored if out is None else out.union(scored)
-    return out
+    models = boosting.fit(dealt, features, label, "fold", folds, c)
+    return dealt.withColumn("score", boosting.score(models, [F.col(f) for f in features], F.col("fold")))
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:

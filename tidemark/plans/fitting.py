@@ -30,6 +30,10 @@ def principal_components(spark, sf_dir):
     return fitting.projected(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", F.transform("components", lambda x: F.round(F.abs(x), 6)).alias("magnitudes"))
 
 
+#: The published rounds and rate.
+BOOST = fitting.BoostConfig()
+
+
 def _events(spark, sf_dir):
     rows = suppression.decide(frames(spark, sf_dir), within=WITHIN).where("cell is not null")
     hit = F.coalesce(F.col("label") == "bird", F.lit(False)).cast("double")
@@ -39,7 +43,7 @@ def _events(spark, sf_dir):
 @query("out_of_fold_scores")
 def out_of_fold_scores(spark, sf_dir):
     """Boosted trees, folds by day."""
-    return fitting.out_of_fold(_events(spark, sf_dir), ["elevation", "gap", "burst"], "hit", "day").select("id", "fold", "score", "hit")
+    return fitting.out_of_fold(_events(spark, sf_dir), ["elevation", "gap", "burst"], "hit", "day", c=BOOST).select("id", "fold", "score", "hit")
 
 
 @query("distilled_table")
@@ -47,7 +51,7 @@ def distilled_table(spark, sf_dir):
     """The model's score at the middle of each cell, quantised to 0 to 255 by dense rank."""
     from tidemark.operators.evaluation import quantised
 
-    scored = fitting.boosted(_events(spark, sf_dir), ["elevation", "gap", "burst"], "hit")(centroids(spark).withColumn("burst", F.col("burst").cast("double")))
+    scored = fitting.boosted(_events(spark, sf_dir), ["elevation", "gap", "burst"], "hit", BOOST)(centroids(spark).withColumn("burst", F.col("burst").cast("double")))
     rank, q = quantised(F.round("score", 9))
     return scored.withColumn("__rank", rank).select("cell", q.alias("score"))
 
@@ -58,7 +62,7 @@ def table_gate(spark, sf_dir):
     from tidemark.operators.evaluation import suppression_curve
 
     events = _events(spark, sf_dir)
-    score = fitting.boosted(events, ["elevation", "gap", "burst"], "hit")
+    score = fitting.boosted(events, ["elevation", "gap", "burst"], "hit", BOOST)
     model = suppression_curve(score(events).select(F.round("score", 9).alias("s"), "hit"), "s", "hit")
     cells = score(centroids(spark).withColumn("burst", F.col("burst").cast("double"))).select("cell", F.round("score", 9).alias("s"))
     own = events.withColumn("cell", suppression.cell(F.col("elevation"), F.col("gap"), F.col("burst").cast("int"))).join(F.broadcast(cells), "cell")
