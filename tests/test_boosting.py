@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import registry
 from tidemark.operators import boosting, fitting
+from tidemark.operators import suppression as S
 from tidemark.operators.boosting import BoostConfig
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +138,28 @@ def test_out_of_fold_scores_of_the_whole_table(spark, monkeypatch):
     own = fold == 0
     slow = SlowTrees(x[~own], y[~own], plans.BOOST, cuts)
     assert np.allclose(found[own], [slow.score(r) for r in x[own]], atol=1e-12)
+
+
+def test_distilled_table_and_gate(spark, monkeypatch):
+    from tidemark.plans import fitting as plans
+    from tidemark.plans.suppression import centroids
+
+    monkeypatch.setattr(plans, "BOOST", BoostConfig(rounds=8, bins=10_000))
+    events = plans._events(spark, SF).toPandas()
+    slow = SlowTrees(events[["elevation", "gap", "burst"]].to_numpy(float), events["hit"].to_numpy(), plans.BOOST)
+    score = lambda rows: [round(slow.score(r), 9) for r in rows[["elevation", "gap", "burst"]].to_numpy(float)]
+    cells = centroids(spark).toPandas()
+    cells["s"] = score(cells)
+    ranks = {s: k for k, s in enumerate(sorted(set(cells["s"])))}
+    want = {int(r.cell): round(ranks[r.s] * 255 / max(len(ranks) - 1, 1)) for r in cells.itertuples()}
+    assert len(ranks) > 3 and {r.cell: r.score for r in registry.queries()["distilled_table"](spark, SF).collect()} == want
+
+    def zero_loss(scores):
+        least = min((s for s, hit in zip(scores, events["hit"], strict=True) if hit > 0.5), default=None)
+        return sum(s < least for s in scores) / len(scores) if least is not None else 1.0
+
+    by_cell = dict(zip(cells["cell"], cells["s"], strict=True))
+    own = plans._events(spark, SF).select("id", S.cell(F.col("elevation"), F.col("gap"), F.col("burst").cast("int")).alias("cell")).toPandas().set_index("id")["cell"]
+    tabled, whole = zero_loss([by_cell[own[i]] for i in events["id"]]), zero_loss(score(events))
+    (row,) = registry.queries()["table_gate"](spark, SF).collect()
+    assert (row.table_zero_loss, row.model_zero_loss, row.ships) == (pytest.approx(tabled), pytest.approx(whole), tabled >= 0.85 * whole)

@@ -76,13 +76,3 @@ def test_synthetic_frames_shift_all_cells_alike(spark):
     for r in one:
         shifts = [x - (128 + 200 * e) for x, e in zip(r.tile, source[r.vec_id], strict=True) if 0 < x < 255]
         assert np.ptp(shifts) < 1e-4 and -20 <= shifts[0] <= 20
-
-
-def test_the_gate_compares_zero_loss(spark):
-    from tidemark import registry
-
-    (row,) = registry.queries()["table_gate"](spark, "/root/testdata/sf0.001").collect()
-    assert 0 <= row.table_zero_loss <= 1 and 0 <= row.model_zero_loss <= 1
-    assert row.ships == (row.table_zero_loss >= 0.85 * row.model_zero_loss)
-    table = registry.queries()["distilled_table"](spark, "/root/testdata/sf0.001").collect()
-    assert sorted(r.cell for r in table) == list(range(192)) and {0, 255} <= {r.score for r in table} <= set(range(256))
