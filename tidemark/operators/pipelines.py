@@ -65,15 +65,23 @@ def blur_pipeline(rows: DataFrame, s: Shape, radius: int = 1, threshold: float =
     return out.select("*", F.when(loud, "DARK_BLOB_HP").otherwise("QUIET_HP").alias("stage"), F.when(loud, "process").otherwise("clouds").alias("result"))
 
 
-def background_pipeline(rows: DataFrame, s: Shape, z: float = 3.0, blob: tuple[int, int] = (1, 5), quiet: float = 0.25, need: int = 3, dark: float = 12.0) -> DataFrame:
+def background_pipeline(rows: DataFrame, s: Shape, z: float = 3.0, blob: tuple[int, int] = (1, 5), quiet: float = 0.25, need: int = 3, dark: float = 12.0, texture: tuple[float, float] | None = None) -> DataFrame:
     """ratio, dark_tiles, dark_blob, warmup, trigger, label of rows with tile, model, variance and frame. Dark anomalies are
-    joined to blobs by edges; a compact one is looked for before a quiet scene is."""
+    joined to blobs by edges; a compact one is looked for before a quiet scene is. With `texture`, a least roughness and a
+    darkness, rows have a grid `rough` too, and texture_blob is the largest blob, by corners, of cells over the one that are
+    darker than the model by more than the other; a compact one counts as a dark one does."""
     mask = G.dark_anomalies(F.col("tile"), F.col("model"), F.col("variance"), z)
     out = rows.withColumn("mask", mask).withColumn("ratio", G.share(F.col("mask")))
     deep = F.zip_with(F.zip_with("tile", "model", lambda x, m: x < m - dark), F.col("mask"), lambda a, b: a & b)
     out = out.withColumn("deep", deep).withColumn("dark_tiles", G.count_where(F.col("deep"), lambda m: m).cast("long"))
     out = out.withColumn("dark_blob", let(G.components(F.col("deep"), s.h, s.w, False), G.largest_blob).cast("long")).withColumn("warmup", F.greatest(F.lit(0), need + 1 - F.col("frame")).cast("long"))
-    made = C.first_match([(F.col("warmup") > 0, "process", "WARMUP"), (F.col("dark_blob").between(*blob), "process", "DARK_BLOB"), (F.col("ratio") <= quiet, "clouds", "QUIET")], ("process", "AMBIGUOUS"))
+    compact = F.col("dark_blob").between(*blob)
+    if texture:
+        loose = F.zip_with("tile", "model", lambda x, m: x < m - texture[1])
+        out = out.withColumn("woven", F.zip_with(F.transform("rough", lambda r: r > texture[0]), loose, lambda a, b: a & b))
+        out = out.withColumn("texture_blob", let(G.components(F.col("woven"), s.h, s.w, True), G.largest_blob).cast("long")).drop("woven")
+        compact = compact | F.col("texture_blob").between(*blob)
+    made = C.first_match([(F.col("warmup") > 0, "process", "WARMUP"), (compact, "process", "DARK_BLOB"), (F.col("ratio") <= quiet, "clouds", "QUIET")], ("process", "AMBIGUOUS"))
     return out.withColumn("decision", made).select("*", F.col("decision.trigger").alias("trigger"), F.col("decision.label").alias("label")).drop("decision", "mask", "deep")
 
 

@@ -62,10 +62,10 @@ def blur_pipeline(spark, sf_dir):
     return out.select("id", F.round("hp_score", 5).alias("hp_score"), F.round(weighed, 3).alias("adjusted"), "stage", "result")
 
 
-def _reach(mask: str, near: str) -> str:
-    """Blob numbers of the cells in `mask` (id, i), for twins."""
-    return f"""e AS (SELECT a.id, a.i, b.i AS to_i FROM {mask} a JOIN {mask} b ON a.id = b.id AND {near}), r AS (SELECT id, i, i AS to_i FROM {mask} UNION SELECT r.id, r.i, e.to_i FROM r JOIN e ON r.id = e.id AND r.to_i = e.i),
-l AS (SELECT id, i, min(to_i) AS blob FROM r GROUP BY id, i), z AS (SELECT id, blob, count(*) AS n FROM l GROUP BY id, blob)"""
+def _reach(mask: str, near: str, n: str = "") -> str:
+    """Blob numbers of the cells in `mask` (id, i), for twins; `n` tells the tables of one mask from another's."""
+    return f"""e{n} AS (SELECT a.id, a.i, b.i AS to_i FROM {mask} a JOIN {mask} b ON a.id = b.id AND {near}), r{n} AS (SELECT id, i, i AS to_i FROM {mask} UNION SELECT r.id, r.i, e.to_i FROM r{n} r JOIN e{n} e ON r.id = e.id AND r.to_i = e.i),
+l{n} AS (SELECT id, i, min(to_i) AS blob FROM r{n} GROUP BY id, i), z{n} AS (SELECT id, blob, count(*) AS n FROM l{n} GROUP BY id, blob)"""
 
 
 _EDGES = "abs(a.i // 8 - b.i // 8) + abs(a.i % 8 - b.i % 8) <= 1"
@@ -94,6 +94,26 @@ def _blur_of(name: str, column: str, k: int) -> str:
     return f"SELECT c.id, c.i, avg(n.{column}) AS b FROM {name} c CROSS JOIN (SELECT y - {k} AS dy, x - {k} AS dx FROM range({side}) a(y), range({side}) b(x)) o JOIN {name} n ON n.id = c.id AND n.i = {at('c.i // 8 + dy')} * 8 + {at('c.i % 8 + dx')} GROUP BY c.id, c.i"
 
 
+_TEXTURED = """SELECT id, round(ratio, 6) AS ratio, CAST(dark_blob AS BIGINT) AS dark_blob, CAST(texture_blob AS BIGINT) AS texture_blob,
+CASE WHEN frame < 4 THEN 'WARMUP' WHEN dark_blob BETWEEN 3 AND 5 OR texture_blob BETWEEN 3 AND 5 THEN 'DARK_BLOB' WHEN ratio <= 0.06 THEN 'QUIET' ELSE 'AMBIGUOUS' END AS trigger"""
+
+
+@query(
+    "textured_background",
+    f"""WITH RECURSIVE {_FRAME}, d AS (SELECT id, i FROM j WHERE abs(x - m) / 20.0 > 1.8 AND x < m AND x < m - 38), {_reach("d", _EDGES)},
+soft AS ({_blur_of("j", "x", 1)}), woven AS (SELECT j.id, j.i FROM j JOIN soft ON soft.id = j.id AND soft.i = j.i WHERE abs(x - b) > 25 AND x < m - 20), {_reach("woven", _CORNERS, "2")},
+w AS (SELECT id, avg(CAST(abs(x - m) / 20.0 > 1.8 AND x < m AS INTEGER)) AS ratio FROM j GROUP BY id),
+t AS (SELECT id, coalesce(max(z.n), 0) AS dark_blob FROM w LEFT JOIN z USING (id) GROUP BY id), t2 AS (SELECT id, coalesce(max(z2.n), 0) AS texture_blob FROM w LEFT JOIN z2 USING (id) GROUP BY id)
+{_TEXTURED} FROM w JOIN t USING (id) JOIN t2 USING (id) JOIN u USING (id)""",
+)
+def textured_background(spark, sf_dir):
+    """D04 with its second signal: blobs of rough, somewhat dark cells beside the dark ones."""
+    rough = F.zip_with("tile", G.box_blur(F.col("tile"), H, W, 1, "reflect"), lambda x, b: F.abs(x - b))
+    rows = _sequence(spark, sf_dir).withColumn("variance", F.array_repeat(F.lit(400.0), H * W)).withColumn("rough", rough).drop("label")
+    out = P.background_pipeline(rows, SHAPE, z=1.8, blob=(3, 5), quiet=0.06, dark=38.0, texture=(25.0, 20.0))
+    return out.select("id", F.round("ratio", 6).alias("ratio"), "dark_blob", "texture_blob", "trigger")
+
+
 _PIXEL = P.PixelConfig(cd_z=1.5, ad_z=1.5, occlusion=0.2, structure=10.0, night=118.0, novelty=0.012, big=0.2, least_area=2, bump=2.0)
 
 
