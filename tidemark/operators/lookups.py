@@ -33,12 +33,3 @@ def nearest(rows: DataFrame, models: DataFrame, vector: str, model_vector: str,
     table = F.array(*[F.struct(F.lit(m.k).cast(kinds).alias("k"), F.array(*[F.lit(float(x)) for x in m.v]).alias("v")) for m in held])
     scored = F.transform(table, lambda m: F.struct(distance(F.col(vector), m["v"]).alias("d"), m["k"].alias("k")))
     return rows.withColumn("nearest", F.array_min(scored))
-
-
-def nearest_past(rows: DataFrame, vector: str, block: str, order: str, key: str, k: int) -> DataFrame:
-    """The k most similar earlier rows of each row's block, by (distance, key). Blocks bound the pairs."""
-    a = rows.select(F.col(block), F.col(order).alias("__o"), F.col(key).alias("id"), F.col(vector).alias("__v"))
-    b = rows.select(F.col(block), F.col(order).alias("__p"), F.col(key).alias("match"), F.col(vector).alias("__w"))
-    pairs = a.join(b, block).where("__p < __o").withColumn("distance", distance(F.col("__v"), F.col("__w")))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "match"))
-    return pairs.select("id", "match", "distance", place.alias("place")).where(F.col("place") <= k)

@@ -10,7 +10,7 @@ from tidemark.operators import background as B
 from tidemark.operators import cascades as C
 from tidemark.operators import grid as G
 from tidemark.operators import recurrence as R
-from tidemark.operators import selection
+from tidemark.operators import retrieval, selection
 from tidemark.registry import query
 from tidemark.sources.frames import FRAMES, frames, table
 
@@ -50,6 +50,36 @@ def median_grids(spark, sf_dir):
     return selection.median_and_deviation(cells, ["label", "i"], "x").select("label", "i", "median", F.round("mad", 6).alias("mad"))
 
 
+#: The brightness of a grid's quarters, by rows and columns of four.
+_QUARTERS = ", ".join(f"sum(x) FILTER (i // 32 = {r} AND i % 8 // 4 = {c}) AS q{r}{c}" for r in (0, 1) for c in (0, 1))
+_APART = " + ".join(f"power(a.q{r}{c} - b.q{r}{c}, 2)" for r in (0, 1) for c in (0, 1))
+
+
+@query(
+    "retrieved_background",
+    f"""WITH {_CELLS}, f AS (SELECT id, label, {_QUARTERS} FROM g GROUP BY id, label), p AS (SELECT a.id, b.id AS match, {_APART} AS d FROM f a JOIN f b ON a.label = b.label AND b.id <= a.id - 10),
+  k AS (SELECT id, match FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, match) AS place FROM p) WHERE place <= 5), m AS (SELECT k.id, g.i, median(x) AS m, count(*) AS n FROM k JOIN g ON g.id = k.match GROUP BY k.id, g.i),
+  s AS (SELECT m.id, m.i, m, n, 1.4826 * median(abs(x - m)) AS mad FROM k JOIN g ON g.id = k.match JOIN m ON m.id = k.id AND m.i = g.i GROUP BY m.id, m.i, m, n), om AS (SELECT i, median(x) AS m FROM g GROUP BY i), o AS (SELECT i, m, 1.4826 * median(abs(x - m)) AS mad FROM g JOIN om USING (i) GROUP BY i, m),
+  j AS (SELECT g.id, coalesce(n, 0) AS n, abs(x - CASE WHEN n >= 3 THEN s.m ELSE o.m END) AS gap, CASE WHEN n >= 3 THEN s.mad ELSE o.mad END AS mad FROM g JOIN o USING (i) LEFT JOIN s ON s.id = g.id AND s.i = g.i) SELECT id, n AS members, round(avg(gap), 6) AS error, count(*) FILTER (gap > 3 * greatest(mad, 3)) AS odd FROM j GROUP BY id, n""",
+)
+def retrieved_background(spark, sf_dir):
+    """Each grid against the medians and deviations of the 5 earlier grids of its label, at least 10 before, whose
+    quarters are most alike; against those of all grids where there are under three."""
+    grids = _grids(spark, sf_dir)
+    quarter = lambda r, c: G.total(F.filter("tile", lambda x, i: (F.floor(i / 32) == r) & (F.floor(i % 8 / 4) == c)))
+    described = grids.select("id", "label", F.array(*[quarter(r, c) for r in (0, 1) for c in (0, 1)]).alias("quarters"))
+    found = retrieval.nearest_past(described, "quarters", ["label"], "id", "id", 5, lag=10)
+    model = retrieval.retrieved(found, grids, "id", "tile", H * W)
+    overall = selection.median_and_deviation(grids.select(F.posexplode("tile").alias("i", "x")), ["i"], "x")
+    sorted_ = F.array_sort(F.collect_list(F.struct("i", "median", "mad")))
+    one = overall.agg(sorted_.alias("all")).select(F.col("all.median").alias("all_median"), F.col("all.mad").alias("all_mad"))
+    met = grids.join(model, "id", "left").crossJoin(F.broadcast(one)).withColumn("enough", F.coalesce("members", F.lit(0)) >= 3)
+    told = met.select("id", F.coalesce("members", F.lit(0)).alias("members"), "tile", F.when(F.col("enough"), F.col("median")).otherwise(F.col("all_median")).alias("m"), F.when(F.col("enough"), F.col("mad")).otherwise(F.col("all_mad")).alias("mad"))
+    gaps = told.select("id", "members", "mad", F.zip_with("tile", "m", lambda x, m: F.abs(x - m)).alias("gap"))
+    odd = G.count_where(F.zip_with("gap", "mad", lambda g, d: g > 3 * F.greatest(d, F.lit(3.0))), lambda b: b)
+    return gaps.select("id", "members", F.round(G.mean(F.col("gap")), 6).alias("error"), odd.cast("long").alias("odd"))
+
+
 @query("block_statistics", f"WITH {_CELLS} SELECT id, CAST(i // 16 AS INTEGER) AS ty, CAST(i % 8 // 2 AS INTEGER) AS tx, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, CAST(floor(avg(x)) AS BIGINT) AS truncated FROM g GROUP BY 1, 2, 3")
 def block_statistics(spark, sf_dir):
     """Blocks of 2 by 2 pixels."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import documents, lookups
+from tidemark.operators import documents, lookups, retrieval
 from tidemark.registry import query
 from tidemark.sources.frames import FRAMES, frames, table
 
@@ -24,7 +24,7 @@ def as_of_timer_frame(spark, sf_dir):
 @query("similar_past_vectors", f"WITH p AS (SELECT a.vec_id AS id, b.vec_id AS match, {_DIST.format(a='a.embedding', b='b.embedding')} AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS place FROM p) SELECT * FROM r WHERE place <= 5")
 def similar_past_vectors(spark, sf_dir):
     """The 5 most similar earlier vectors of the same label."""
-    found = lookups.nearest_past(table(spark, sf_dir, "embeddings"), "embedding", "label", "vec_id", "vec_id", 5)
+    found = retrieval.nearest_past(table(spark, sf_dir, "embeddings"), "embedding", ["label"], "vec_id", "vec_id", 5)
     return found.select("id", "match", F.round("distance", 6).alias("distance"), "place")
 
 
