@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import blobs, documents
+from tidemark.operators import grid as G
 from tidemark.operators import suppression as S
 from tidemark.operators.regimes import RegimeConfig
 from tidemark.plans import grids  # noqa: F401  registers the batch fold that the stateful stream must equal
@@ -14,7 +15,7 @@ from tidemark.sources.docstore import DocumentStore
 from tidemark.sources.frames import FRAMES, document, frames, table
 from tidemark.sources.storage import scratch_path
 from tidemark.streaming import pipeline as P
-from tidemark.streaming import regimes, snapshots, spool
+from tidemark.streaming import regimes, snapshots, spool, tilemodel
 
 _3H = "us // 10800000000 * 10800"
 
@@ -133,6 +134,20 @@ def stream_regimes(spark, sf_dir):
     return P.drain(regimes.regimes(camera_frames(grids), 8, 8, REGIMES))
 
 
+#: As above; two thirds of the frames are timer ones, and three buckets of brightness part them.
+TILES = tilemodel.TileConfig(edges=(125.0, 131.0), need=4, z=1.8, quiet=0.12, dark=70.0, blob=2, chroma_sq=6000.0, rough=60.0, loose=60.0, variance_floor=400.0)
+
+
+@query("stream_learned_background")
+def stream_learned_background(spark, sf_dir):
+    """The background classifier from state alone: a model for each device and bucket of brightness judges a
+    frame before it learns from it, and learns from what it judged quiet."""
+    grids = spark.readStream.schema(GRIDS).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    seen = camera_frames(grids).select("device", "us", "id", F.col("teaches").alias("timer"), F.col("r").alias("y"), F.col("g").alias("u"), F.col("b").alias("v"))
+    rough = F.zip_with("y", G.box_blur(F.col("y"), 8, 8, 1, "reflect"), lambda x, b: F.abs(x - b))
+    return P.drain(tilemodel.judged(seen.withColumn("rough", rough), 8, 8, TILES))
+
+
 @query("image_blobs")
 def image_blobs(spark, sf_dir):
     """G05 at image size: each whole text as a picture of 120 columns, whose vowels are joined with corners."""
