@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import cascades as C
@@ -10,6 +12,7 @@ from tidemark.operators import legacy
 from tidemark.operators import pipelines as P
 from tidemark.plans.grids import _CELLS, _MODEL, H, W, _blur, _grids, _joined
 from tidemark.registry import query
+from tidemark.sources.frames import FRAMES, frames
 
 SHAPE = P.Shape(H, W)
 #: Grids of one label are a device's frames by id. The fixture has one plane; two more are made of it.
@@ -33,6 +36,31 @@ def burst_pipeline(spark, sf_dir):
     return _sequence(spark, sf_dir).select("id", "gm", "n_changed", "n_dark", "n_chroma", "burst")
 
 
+#: The fixture's frames lie minutes to hours apart.
+_TIMED = replace(_BURSTS, window=7200.0, fast_seconds=900.0)
+_SHIFT = "gm_diff > 6"
+_REPEAT = "n_changed <= 1 AND n_chroma = 0"
+
+
+@query(
+    "timed_bursts",
+    f"""WITH {FRAMES}, {_CELLS}, o AS (SELECT s.id, t.us, lag(s.id) OVER w AS prev, lag(t.us) OVER w AS prev_us FROM (SELECT DISTINCT id, label FROM g) s JOIN frames t ON t.id = s.id WINDOW w AS (PARTITION BY s.label ORDER BY t.us, s.id)),
+q AS (SELECT g.id, g.x, p.x AS px, (o.us - o.prev_us) / 1e6 AS dt FROM g JOIN o ON o.id = g.id LEFT JOIN g p ON p.id = o.prev AND p.i = g.i),
+f AS (SELECT id, any_value(dt) AS dt, floor(avg(x)) AS gm, floor(avg(px)) AS prev_gm, abs(floor(avg(x)) - floor(avg(px))) AS gm_diff, count(*) FILTER (abs(x - px) > 60) AS n_changed, count(*) FILTER (x - px < -25) AS n_dark, count(*) FILTER (power((x - px) / 2, 2) + power((x - px) / 4, 2) > 10000) AS n_chroma FROM q GROUP BY id),
+d AS (SELECT id, dt, CASE WHEN prev_gm IS NULL THEN 'FIRST' WHEN dt > 7200 THEN 'ISOLATED' WHEN {_SHIFT} AND dt < 900 AND gm >= 120 THEN 'FAST_SHIFT' WHEN {_SHIFT} THEN 'BRIGHTNESS_SHIFT' WHEN {_REPEAT} THEN 'DUPLICATE' WHEN gm > 130 AND n_dark < 14 THEN 'BRIGHT_STABLE' WHEN gm < 120 THEN 'NIGHT' WHEN n_dark >= 20 THEN 'DIFFUSE' ELSE 'SAFE' END AS timed,
+  CASE WHEN prev_gm IS NULL THEN 'FIRST' WHEN dt > 7200 THEN 'ISOLATED' WHEN {_REPEAT} THEN 'DUPLICATE' ELSE 'SAFE' END AS minimal FROM f)
+SELECT id, round(dt, 6) AS dt, timed, minimal, CASE WHEN timed IN ('DUPLICATE', 'BRIGHT_STABLE') THEN 'clouds' WHEN timed = 'NIGHT' THEN 'process' ELSE 'classify' END AS route FROM d""",
+)
+def timed_bursts(spark, sf_dir):
+    """D01, D03, D11 from their kernels: each grid against the one before of its label, at the time of the event of its id."""
+    times = frames(spark, sf_dir).select("id", "us")
+    grids = _grids(spark, sf_dir).withColumn("u", F.transform("tile", lambda x: x / 2)).withColumn("v", F.transform("tile", lambda x: x / 4))
+    rows = P.with_previous(grids.join(times, "id"), "label", ["us", "id"], ["tile", "u", "v", "us"])
+    found = P.burst_figures(rows, _TIMED).withColumn("dt", (F.col("us") - F.col("prev_us")) / 1e6)
+    full = C.burst_filter(_TIMED)
+    return found.select("id", F.round("dt", 6).alias("dt"), full["trigger"].alias("timed"), C.burst_filter(_TIMED, minimal=True)["trigger"].alias("minimal"), C.routed(full).alias("route"))
+
+
 _HP = f"""{_FRAME}, {_blur("nearest")}, mm AS (SELECT id, i, m AS x FROM j), mb AS ({_blur("nearest")[6:-1].replace("FROM g c", "FROM mm c").replace("JOIN g n", "JOIN mm n")}),
 hp AS (SELECT j.id, j.i, j.x, j.m, (j.m - mb.b) - (j.x - b.b) AS d, j.m - mb.b + b.b AS adjusted FROM j JOIN b USING (id, i) JOIN mb USING (id, i))"""
 
