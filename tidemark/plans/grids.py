@@ -57,9 +57,9 @@ _APART = " + ".join(f"power(a.q{r}{c} - b.q{r}{c}, 2)" for r in (0, 1) for c in
 
 @query(
     "retrieved_background",
-    f"""WITH {_CELLS}, f AS (SELECT id, label, {_QUARTERS} FROM g GROUP BY id, label), p AS (SELECT a.id, b.id AS match, {_APART} AS d FROM f a JOIN f b ON a.label = b.label AND b.id <= a.id - 10),
-  k AS (SELECT id, match FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, match) AS place FROM p) WHERE place <= 5), m AS (SELECT k.id, g.i, median(x) AS m, count(*) AS n FROM k JOIN g ON g.id = k.match GROUP BY k.id, g.i),
-  s AS (SELECT m.id, m.i, m, n, 1.4826 * median(abs(x - m)) AS mad FROM k JOIN g ON g.id = k.match JOIN m ON m.id = k.id AND m.i = g.i GROUP BY m.id, m.i, m, n), om AS (SELECT i, median(x) AS m FROM g GROUP BY i), o AS (SELECT i, m, 1.4826 * median(abs(x - m)) AS mad FROM g JOIN om USING (i) GROUP BY i, m),
+    f"""WITH {_CELLS.replace("g AS (", "g AS MATERIALIZED (", 1)}, f AS (SELECT id, label, {_QUARTERS} FROM g GROUP BY id, label), p AS (SELECT a.id, b.id AS match, {_APART} AS d FROM f a JOIN f b ON a.label = b.label AND b.id <= a.id - 10),
+  k AS MATERIALIZED (SELECT id, match FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, match) AS place FROM p) WHERE place <= 5), m AS MATERIALIZED (SELECT k.id, g.i, median(x) AS m, count(*) AS n FROM k JOIN g ON g.id = k.match GROUP BY k.id, g.i),
+  s AS MATERIALIZED (SELECT m.id, m.i, m, n, 1.4826 * median(abs(x - m)) AS mad FROM (SELECT k.id AS asks, g.i, g.x FROM k JOIN g ON g.id = k.match) o5 JOIN m ON m.id = o5.asks AND m.i = o5.i GROUP BY m.id, m.i, m, n), om AS (SELECT i, median(x) AS m FROM g GROUP BY i), o AS (SELECT i, m, 1.4826 * median(abs(x - m)) AS mad FROM g JOIN om USING (i) GROUP BY i, m),
   j AS (SELECT g.id, coalesce(n, 0) AS n, abs(x - CASE WHEN n >= 3 THEN s.m ELSE o.m END) AS gap, CASE WHEN n >= 3 THEN s.mad ELSE o.mad END AS mad FROM g JOIN o USING (i) LEFT JOIN s ON s.id = g.id AND s.i = g.i) SELECT id, n AS members, round(avg(gap), 6) AS error, count(*) FILTER (gap > 3 * greatest(mad, 3)) AS odd FROM j GROUP BY id, n""",
 )
 def retrieved_background(spark, sf_dir):
