@@ -147,3 +147,16 @@ def test_quiet_over_dark_and_steady_cells():
             stages.setdefault(name, set()).add((*legacy.STAGES, "AMBIGUOUS")[own.step(tile)[0]] if many else own.stage(tile, ""))
     # 2 of 4 cells are odd, 1 of 4 dark and odd; 2 and 1 of the 3 steady ones
     assert stages == {"all": {"AMBIGUOUS"}, "dark": {"QUIET"}, "steady": {"AMBIGUOUS"}, "both": {"AMBIGUOUS"}}
+
+
+def test_distortion_is_counted_with_the_whole_scale(spark):
+    """A cell is judged by the scale as it is, not by the rounded one that is shown; some of these rows tell them apart."""
+    import duckdb
+
+    from tidemark import registry
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = dict(con.execute(f"SELECT id, distorted FROM ({registry.oracles()['brightness_distortion']})").fetchall())
+    assert {r.id: r.distorted for r in registry.queries()["brightness_distortion"](spark, sf).collect()} == want

@@ -188,9 +188,10 @@ def brightness_distortion(spark, sf_dir):
     """The scale that fits the model best, and what is left, with a floor of 3 under deviations."""
     s2 = float(max(3.0, 5.0) ** 2)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = _joined(spark, sf_dir).withColumn("alpha", dot("tile", "model") / dot("model", "model"))
-    cd = F.zip_with("tile", "model", lambda x, m: F.sqrt((x - F.col("alpha") * m) * (x - F.col("alpha") * m) / s2))
-    return rows.select("id", F.round("alpha", 5).alias("alpha"), G.count_where(cd, lambda d: d > 7.0123).cast("long").alias("distorted"))
+    # the exact scale has a name of its own: within a lambda, that of the rounded column would mean the rounded one
+    rows = _joined(spark, sf_dir).withColumn("scale", dot("tile", "model") / dot("model", "model"))
+    cd = F.zip_with("tile", "model", lambda x, m: F.sqrt((x - F.col("scale") * m) * (x - F.col("scale") * m) / s2))
+    return rows.select("id", F.round("scale", 5).alias("alpha"), G.count_where(cd, lambda d: d > 7.0123).cast("long").alias("distorted"))
 
 
 @query("occlusion", f"WITH {_MODEL}, {_blur('reflect')}, h AS (SELECT id, i, abs(j.x - b.b) AS hf, abs(m - b.b) + 1 AS mu FROM j JOIN b USING (id, i)) SELECT id, round(avg(CASE WHEN mu > 2 THEN greatest(0, least(1, 1 - hf / (0.8 * mu + 1e-3))) ELSE 0 END), 6) AS occlusion FROM h GROUP BY id")
