@@ -130,3 +130,14 @@ def test_running_sums_over_ranges(spark, values):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     want = {r[0]: (sum(x[1] for x in order[:k]), k, sum(x[1] for x in order), len(order)) for k, r in enumerate(order)}
     assert {r.v: (r.before_a, r.before_b, r.all_a, r.all_b) for r in got} == want
+
+
+def test_nearest_by_rounded_distances(spark):
+    """Of models whose distances agree in the places that are compared, the smaller key is nearest."""
+    models = spark.createDataFrame([(1, [1.0 + 4e-7, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.0])], "k int, v array<double>")
+    rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.5, 0.0])], "id int, x array<double>")
+    found = {r.id: (r.nearest.k, r.nearest.d) for r in lookups.nearest(rows, models, "x", "v", "k", digits=6).collect()}
+    assert found == {1: (1, 1.0), 2: (3, 0.0)}
+    assert {r.id: r.nearest.k for r in lookups.nearest(rows, models, "x", "v", "k").collect()} == {1: 1, 2: 3}
+    mirrored = spark.createDataFrame([(1, [1.0 - 4e-7, 0.0]), (2, [1.0, 0.0])], "k int, v array<double>")
+    assert lookups.nearest(rows.where("id = 1"), mirrored, "x", "v", "k", digits=6).first().nearest.k == 1

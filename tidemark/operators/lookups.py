@@ -23,13 +23,15 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(rows: DataFrame, models: DataFrame, vector: str, model_vector: str, model_key: str) -> DataFrame:
+def nearest(rows: DataFrame, models: DataFrame, vector: str, model_vector: str, model_key: str, digits: int | None = None) -> DataFrame:
     """Each row with the nearest of a bounded set of models (at most 1000 rows; more raise an error), the smaller key on
-    ties: the models become one constant array, so no row is shuffled or copied."""
+    ties: the models become one constant array, so no row is shuffled or copied. digits: distances are rounded to so many
+    places before they are compared."""
     held = models.select(F.col(model_key).alias("k"), F.col(model_vector).alias("v")).orderBy("k").limit(1001).collect()
     if len(held) > 1000:
         raise ValueError("more than 1000 models")
     kinds = models.schema[model_key].dataType.simpleString()
     table = F.array(*[F.struct(F.lit(m.k).cast(kinds).alias("k"), F.array(*[F.lit(float(x)) for x in m.v]).alias("v")) for m in held])
-    scored = F.transform(table, lambda m: F.struct(distance(F.col(vector), m["v"]).alias("d"), m["k"].alias("k")))
+    apart = lambda v: distance(F.col(vector), v) if digits is None else F.round(distance(F.col(vector), v), digits)
+    scored = F.transform(table, lambda m: F.struct(apart(m["v"]).alias("d"), m["k"].alias("k")))
     return rows.withColumn("nearest", F.array_min(scored))
