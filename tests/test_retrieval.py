@@ -80,3 +80,17 @@ def test_medians_and_deviations_of_what_is_found(spark):
         held = np.array([tiles[m] for a, m in pairs if a == i])
         median = np.median(held, axis=0)
         assert got[i].members == len(held) and np.allclose(got[i]["median"], median) and np.allclose(got[i].mad, 1.4826 * np.median(np.abs(held - median), axis=0))
+
+
+@pytest.mark.parametrize("size, pivots", [(16, 8), (1024, 4)])
+def test_rounded_distances_are_compared(spark, size, pivots):
+    """With digits, of matches that agree in them the smaller ids are nearer, as in SQL that ranks by rounded distances."""
+    rng = np.random.default_rng(3)
+    rows = [(k % 2, k, int(i), [float(x) for x in rng.uniform(0, 3, 2)], "x") for k, i in enumerate(rng.permutation(400))]
+    rows += [(k % 2, 400 + k, 1000 + k, rows[k][3], "x") for k in range(0, 60)]
+    found = retrieval.Index(frame(spark, rows), "v", ["block"], "at", "id", 4, 1, size, pivots, digits=1).matches().collect()
+    want = set()
+    for block, at, i, v, _ in rows:
+        near = sorted((float(np.floor(np.hypot(v[0] - r[3][0], v[1] - r[3][1]) * 10 + 0.5) / 10), r[2]) for r in rows if r[0] == block and r[1] < at)
+        want |= {(i, m, d, place + 1) for place, (d, m) in enumerate(near[:4])}
+    assert {(r.id, r.match, r.distance, r.place) for r in found} == want

@@ -46,9 +46,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slack(bound):
+def _rounded(d: np.ndarray, digits: int | None) -> np.ndarray:
+    """Distances to so many places, halves up; as they are without digits."""
+    if digits is None:
+        return d
+    x = d * 10.0**digits
+    return np.where(x < 2.0**52, np.floor(x + 0.5) / 10.0**digits, d)
+
+
+def _slack(bound, digits: int | None = None):
     """A bound with room for rounding; comparisons with it let too much through, never too little."""
-    return bound * (1 + 1e-9) + 1e-9
+    return bound * (1 + 1e-9) + 1e-9 + (0.0 if digits is None else 10.0**-digits)
 
 
 def _choose(pool: np.ndarray, count: int) -> np.ndarray:
@@ -76,7 +84,7 @@ def _closest(k: int, ids: np.ndarray, d: np.ndarray, allowed: np.ndarray):
     return row[least], column[least]
 
 
-def _pack(pivots: np.ndarray, k: int, lag: int, size: int):
+def _pack(pivots: np.ndarray, k: int, lag: int, size: int, digits: int | None):
     """Batches of (b, o, id, spare, v) in order -> a row for each cell of each epoch. Memory is two epochs, whatever a block's rows."""
 
     def columns(rows: list):
@@ -85,7 +93,7 @@ def _pack(pivots: np.ndarray, k: int, lag: int, size: int):
     def closed(epoch: int, b: str, rows: list, before: tuple | None):
         orders, ids, spare, v = own = columns(rows)
         met = own if before is None else [np.concatenate([x, y]) for x, y in zip(before[1], own, strict=True)]
-        all_ids, d, earlier = met[1], _distances(v, met[3]), met[0][None, :] <= orders[:, None] - lag
+        all_ids, d, earlier = met[1], _rounded(_distances(v, met[3]), digits), met[0][None, :] <= orders[:, None] - lag
         kth = _kth(k, d, earlier)  # rows that only ask count: the k they stand behind are as near
         row, column = _closest(k, all_ids, d, earlier & ~met[2][None, :])
         to = _distances(v, pivots)
@@ -130,7 +138,7 @@ def _pack(pivots: np.ndarray, k: int, lag: int, size: int):
     return run
 
 
-def _compare(pivots: np.ndarray, k: int, lag: int):
+def _compare(pivots: np.ndarray, k: int, lag: int, digits: int | None):
     """Batches of two cells each -> the pairs of their rows that may be among the k closest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,12 +149,12 @@ def _compare(pivots: np.ndarray, k: int, lag: int):
                 bound = np.minimum(np.asarray(r.q_bounds, dtype=float), r.reach)
                 to = _distances(q, pivots)
                 gap = np.maximum(np.asarray(r.x_lo) - to, to - np.asarray(r.x_hi)).max(axis=1)
-                at = np.flatnonzero(gap <= _slack(bound))
+                at = np.flatnonzero(gap <= _slack(bound, digits))
                 if not len(at):
                     continue
                 offered = ~np.asarray(r.x_spare, dtype=bool)
-                d = _distances(q[at], x[offered])
-                allowed = (np.asarray(r.x_orders)[offered][None, :] <= np.asarray(r.q_orders)[at][:, None] - lag) & (d <= _slack(bound[at])[:, None])
+                d = _rounded(_distances(q[at], x[offered]), digits)
+                allowed = (np.asarray(r.x_orders)[offered][None, :] <= np.asarray(r.q_orders)[at][:, None] - lag) & (d <= _slack(bound[at], digits)[:, None])
                 if allowed.any():
                     ids = np.asarray(r.x_ids)[offered]
                     row, column = _closest(k, ids, d, allowed)
@@ -159,12 +167,13 @@ def _compare(pivots: np.ndarray, k: int, lag: int):
 
 class Index:
     """The index of the rows' vectors. Keys are unique longs, orders longs, vectors of one length and finite; rows with a null among
-    these take no part, extra columns don't either. Null blocks are a block of their own.
+    these take no part, extra columns don't either. Null blocks are a block of their own. digits: distances are rounded to so
+    many places before they are compared, so that of rows that agree in them the smaller keys are nearer.
 
     `cells` holds a row for each cell, `planned` the pairs of cells that are compared after the epochs themselves."""
 
-    def __init__(self, rows: DataFrame, vector: str, block: list[str], order: str, key: str, k: int, lag: int = 1, size: int = EPOCH, pivots: int = PIVOTS):
-        self.k, self.lag = k, lag
+    def __init__(self, rows: DataFrame, vector: str, block: list[str], order: str, key: str, k: int, lag: int = 1, size: int = EPOCH, pivots: int = PIVOTS, digits: int | None = None):
+        self.k, self.lag, self.digits = k, lag, digits
         spark = rows.sparkSession
         path = scratch_path(spark, "retrieval")
         own = rows.select(F.to_json(F.struct(*block)).alias("b") if block else F.lit("").alias("b"), F.col(order).cast("long").alias("o"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -179,7 +188,7 @@ class Index:
         spare = F.coalesce((F.col("o") >= F.col("since")) & (F.col("id") > F.col("last")), F.lit(False))
         told = own.join(ahead, ["b", "v"], "left").select("b", "o", "id", spare.alias("spare"), "v")
         ranged = told.repartitionByRange(parts, "b", "o", "id").sortWithinPartitions("b", "o", "id")
-        ranged.mapInPandas(_pack(self.pivots, k, lag, size), _CELLS).write.parquet(f"{path}/cells")
+        ranged.mapInPandas(_pack(self.pivots, k, lag, size, digits), _CELLS).write.parquet(f"{path}/cells")
         self.cells = spark.read.schema(_CELLS).parquet(f"{path}/cells")
         self._plan().write.parquet(f"{path}/planned")
         self.planned = spark.read.schema("q long, x long, reach double, rows long").parquet(f"{path}/planned")
@@ -198,7 +207,7 @@ class Index:
         bounded = q.join(reach, F.col("q_pack") == F.col("pack"), "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
         gap = F.greatest(*[F.greatest(F.col("x_lo")[p] - F.col("q_hi")[p], F.col("q_lo")[p] - F.col("x_hi")[p]) for p in every], F.lit(0.0))
         met = (F.col("x_epoch") != F.col("q_epoch")) & (F.col("x_epoch") != F.col("q_earlier")) & (F.col("x_omin") <= F.col("q_omax") - self.lag)
-        near = gap <= _slack(F.least("q_bound", "reach"))
+        near = gap <= _slack(F.least("q_bound", "reach"), self.digits)
         return bounded.join(x, same & met & near).select(F.col("q_pack").alias("q"), F.col("x_pack").alias("x"), "reach", (F.col("q_n").cast("long") * F.col("x_offers")).alias("rows"))
 
     def matches(self) -> DataFrame:
@@ -206,15 +215,15 @@ class Index:
         (distance, match); fewer where there are fewer."""
         side = lambda s, names: self.cells.select(F.col("pack").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
         pairs = self.planned.select("q", "x", "reach").join(side("q", ("n", "ids", "orders", "vectors", "bounds")), "q").join(side("x", ("n", "ids", "orders", "vectors", "spare", "lo", "hi")), "x")
-        others = pairs.mapInPandas(_compare(self.pivots, self.k, self.lag), _FOUND)
+        others = pairs.mapInPandas(_compare(self.pivots, self.k, self.lag, self.digits), _FOUND)
         found = self.cells.select(F.inline(F.arrays_zip(F.col("asks").alias("id"), "match", "distance"))).unionByName(others)
         place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "match"))
         return found.select("*", place.alias("place")).where(F.col("place") <= self.k)
 
 
-def nearest_past(rows: DataFrame, vector: str, block: list[str], order: str, key: str, k: int, lag: int = 1) -> DataFrame:
+def nearest_past(rows: DataFrame, vector: str, block: list[str], order: str, key: str, k: int, lag: int = 1, digits: int | None = None) -> DataFrame:
     """The k most similar earlier rows of each row's block, by (distance, key); see Index."""
-    return Index(rows, vector, block, order, key, k, lag).matches()
+    return Index(rows, vector, block, order, key, k, lag, digits=digits).matches()
 
 
 def retrieved(matches: DataFrame, grids: DataFrame, key: str, tile: str, cells: int, scale: float = 1.4826) -> DataFrame:
