@@ -87,3 +87,19 @@ def test_states_are_kept_by_version(spark, tmp_path):
     got = pipeline.drain(pipeline.stateful_background(spark.readStream.schema(SCHEMA).parquet(rest), 2.0, initial=snapshots.kept(spark, at)))
     want = loop(events, 2.0)
     assert {r.id: (round(r.z, 9), r.anomalous) for r in got.collect()} == {k: v for k, v in want.items() if k >= 140}
+
+
+def test_states_of_histories_are_folded_without_a_call_for_each_device(spark):
+    """The states that histories leave, against a loop; devices with few rows cost no Python call."""
+    rows = [(k % 40, 1000 - k, k, (k * 37) % 256, "rtc" if k % 3 else None) for k in range(400)]
+    history = spark.createDataFrame([(d, us, i, gm, s, None) for d, us, i, gm, s in rows], "device long, us long, id long, gm long, source string, result string")
+    states = pipeline.learned(history, 2.0)
+    want = {}
+    for d, _, _, gm, source in sorted(rows, key=lambda r: r[1]):
+        mean, variance, count = want.get(d, (128.0, 256.0, 0))
+        if source and not (abs(gm - mean) / variance**0.5 > 2.0 and count):
+            mean = 0.85 * mean + 0.15 * gm
+            want[d] = mean, max(0.85 * variance + 0.15 * (gm - mean) ** 2, 36.0), count + 1
+    got = {r.device: (round(r["mean"], 9), round(r["variance"], 9), r["count"]) for r in states.collect()}
+    assert got == {d: (round(m, 9), round(v, 9), n) for d, (m, v, n) in want.items()}
+    assert "FlatMapGroupsInPandas" not in states._jdf.queryExecution().toString()

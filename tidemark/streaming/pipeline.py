@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -66,30 +66,27 @@ class _Background(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("background", STATE)
 
-    def handleInitialState(self, key: tuple, initial: pd.DataFrame, timers: object) -> None:
-        row = initial.iloc[0]
-        self.state.update((float(row["mean"]), float(row["variance"]), int(row["count"])))
+    def handleInitialState(self, key: tuple, initial: Row, timers: object) -> None:
+        self.state.update((float(initial["mean"]), float(initial["variance"]), int(initial["count"])))
 
-    def handleInputRows(self, key: tuple, batches: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
         c = self.c
         start = (c.start_mean, c.start_variance, 0)
-        mean, variance, count = self.state.get() if self.state.exists() else start
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        out = []
-        for event, x, teaches, reset in zip(rows["id"], rows["gm"].astype(float), rows["teaches"], rows["reset"], strict=True):
+        mean, variance, count = self.state.get() or start  # None without a state
+        last = lambda v: (v is None, v or 0)
+        for _, event, _, gm, teaches, reset in sorted(rows, key=lambda r: (last(r[2]), last(r[1]))):
             if reset:
                 mean, variance, count = start
                 continue
+            x = math.nan if gm is None else float(gm)
             far = abs(x - mean) / variance**0.5
-            odd = bool(far > self.z and count > 0)
-            out.append((event, far, odd))
+            odd = far > self.z and count > 0
+            yield Row(id=event, z=far, anomalous=odd)
             if teaches and not odd:
                 mean = (1 - c.alpha) * mean + c.alpha * x
                 variance = max((1 - c.alpha) * variance + c.alpha * (x - mean) ** 2, c.floor)
                 count = min(count + 1, 65535)
         self.state.update((float(mean), float(variance), int(count)))
-        if out:
-            yield pd.DataFrame(out, columns=["id", "z", "anomalous"])
 
     def close(self) -> None:
         pass
@@ -104,7 +101,7 @@ def stateful_background(stream: DataFrame, z: float, c: EmaConfig = EmaConfig(),
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in stream.columns else F.lit(False)
     rows = stream.select("device", "id", "us", "gm", (F.col("source").eqNullSafe("rtc") | F.col("result").eqNullSafe("clouds")).alias("teaches"), reset.alias("reset"))
     states = initial.select("device", "mean", "variance", "count").groupBy("device") if initial is not None else None
-    return rows.groupBy("device").transformWithStateInPandas(_Background(z, c), "id long, z double, anomalous boolean", "append", "none", states)
+    return rows.groupBy("device").transformWithState(_Background(z, c), "id long, z double, anomalous boolean", "append", "none", states)
 
 
 def learned(history: DataFrame, z: float, c: EmaConfig = EmaConfig()) -> DataFrame:
@@ -112,16 +109,19 @@ def learned(history: DataFrame, z: float, c: EmaConfig = EmaConfig()) -> DataFra
     history is folded by one task, so give it in bounded spans."""
     taught = history.withColumn("teaches", F.col("source").eqNullSafe("rtc") | F.col("result").eqNullSafe("clouds"))
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mean, variance, count = c.start_mean, c.start_variance, 0
-        for x in rows.sort_values(["us", "id"])["gm"].astype(float):
-            if not (abs(x - mean) / variance**0.5 > z and count > 0):
-                mean = (1 - c.alpha) * mean + c.alpha * x
-                variance = max((1 - c.alpha) * variance + c.alpha * (x - mean) ** 2, c.floor)
-                count = min(count + 1, 65535)
-        return pd.DataFrame([(key[0], float(mean), float(variance), int(count))], columns=["device", "mean", "variance", "count"])
-
-    return taught.where("teaches").select("device", "us", "id", "gm").groupBy("device").applyInPandas(fold, f"device long, {STATE}")
+    def step(s: Column, e: Column) -> Column:
+        mean = (1 - c.alpha) * s["mean"] + c.alpha * e["x"]
+        variance = F.greatest((1 - c.alpha) * s["variance"] + c.alpha * ((e["x"] - mean) * (e["x"] - mean)), F.lit(c.floor))  # the stream's order, to the last bit
+        learn = (F.abs(e["x"] - s["mean"]) / F.sqrt(s["variance"]) <= z) | (s["count"] == 0)
+        return F.struct(
+            F.when(learn, mean).otherwise(s["mean"]).alias("mean"), F.when(learn, variance).otherwise(s["variance"]).alias("variance"),
+            F.least(s["count"] + learn.cast("int"), F.lit(65535)).alias("count"),
+        )
+
+    start = F.struct(F.lit(c.start_mean).alias("mean"), F.lit(c.start_variance).alias("variance"), F.lit(0).alias("count"))
+    ordered = F.array_sort(F.collect_list(F.struct("us", "id", F.col("gm").cast("double").alias("x"))))
+    states = taught.where("teaches").groupBy("device").agg(ordered.alias("rows")).select("device", F.aggregate("rows", start, step).alias("state"))
+    return states.select("device", "state.*")
 
 
 def bounded_spool(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
