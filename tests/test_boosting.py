@@ -1,6 +1,7 @@
 """Boosting over histograms against trees grown row by row."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -163,3 +164,19 @@ def test_distilled_table_and_gate(spark, monkeypatch):
     tabled, whole = zero_loss([by_cell[own[i]] for i in events["id"]]), zero_loss(score(events))
     (row,) = registry.queries()["table_gate"](spark, SF).collect()
     assert (row.table_zero_loss, row.model_zero_loss, row.ships) == (pytest.approx(tabled), pytest.approx(whole), tabled >= 0.85 * whole)
+
+
+def test_rows_are_computed_once_and_cells_are_told_apart_by_bins_alone(spark, tmp_path, monkeypatch):
+    x, y = rows(300, 5)
+
+    def seen(batches):
+        (tmp_path / str(time.time_ns())).touch()
+        yield from batches
+
+    df = frame(spark, x, y).coalesce(1)
+    df = df.mapInPandas(seen, df.schema)
+    found = []
+    monkeypatch.setattr(boosting, "_grow", lambda spark, cells, *_: found.append(cells.count()))
+    boosting.fit(df, ["a", "b", "c"], "y", "fold", 3, BoostConfig(rounds=1))
+    assert len(list(tmp_path.iterdir())) == 1
+    assert found == [len({tuple(-1.0 if t != t else t for t in r) for r in x.tolist()})]

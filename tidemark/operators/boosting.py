@@ -1,11 +1,12 @@
 """Gradient boosting over histograms: trees of log loss whose splits come from sums of binned rows.
 
-Features are cut into bins once and rows that agree in all bins, fold and label become one counted row, so what a pass reads
-stops growing with the table. Each level of a tree is one pass: tasks place their rows in the tree so far and sum gradients
-and curvatures for each node, feature and bin, and the driver reads those sums, whose number is fixed by the parameters, to
-choose splits. The models of all folds grow in the same passes, each from the rows outside its fold. Rows' scores are written
-every CUT trees, so a pass repeats at most that many and a lost executor costs a reread. Sums are taken over integers, so
-trees don't hang on the order of rows, partitions or retries.
+Features are cut into bins once and rows that agree in all bins become one cell, counted by fold and label, so what a pass
+reads stops growing with the table. A block of up to PART cells is one row of arrays, a feature or a model after another. Each
+level of a tree is one pass: tasks place their cells in the tree so far and sum gradients and curvatures for each node, feature
+and bin, and the driver reads those sums, whose number is fixed by the parameters, to choose splits. The models of all folds
+grow in the same passes, each from the rows outside its fold. Cells' scores are written every CUT trees, so a pass repeats at
+most that many and a lost executor costs a reread. Sums are taken over integers, so trees don't hang on the order of rows,
+partitions or retries.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql.functions import pandas_udf
 from tidemark.operators.evaluation import running_sums
 from tidemark.sources.storage import scratch_path
 
-#: Steps of a gradient: its sums stay exact over 2**37 rows. Trees between two writings, and counted rows to a partition.
-STEPS, CUT, PART = 1 << 26, 10, 200_000
+#: Steps of a gradient: its sums stay exact over 2**37 rows. Trees between two writings, cells to a block, and blocks whose sums
+#: the driver adds up itself, as that is less work than a shuffle; those of more are added up in tasks.
+STEPS, CUT, PART, FEW = 1 << 26, 25, 25_000, 16
 
 
 @dataclass(frozen=True)
@@ -55,15 +57,25 @@ class Tree:
         return cls(np.full(n, -1), np.zeros(n, int), np.zeros(n, bool), np.zeros(n))
 
     def place(self, codes: np.ndarray) -> np.ndarray:
-        """Each row's node. Codes are bins from 1, 0 where the feature is missing."""
-        flat, start = np.ascontiguousarray(codes).ravel(), np.arange(0, codes.size, codes.shape[1])
-        split = np.maximum(self.feature, 0)
-        node = np.zeros(len(codes), int)
-        for _ in range(int(math.log2(len(self.feature) + 1)) - 1):
-            code = flat[start + split[node]]
-            left = np.where(code == 0, self.missing_left[node], code <= self.bin[node])
-            node = np.where(self.feature[node] < 0, node, 2 * node + 2 - left)
-        return node
+        """Each row's node. Codes are bins from 1, 0 where the feature is missing; unsigned, a row of them for each feature."""
+        depth = int(math.log2(len(self.feature) + 1)) - 1
+        ends = np.arange(len(self.feature))  # the node that a row ends at below one, without splits
+        for at in np.flatnonzero(self.feature < 0).tolist():
+            for child in (2 * at + 1, 2 * at + 2):
+                if child < len(ends):
+                    ends[child] = ends[at]
+        # places of a level are counted from 0, below an unsplit node as though all its rows went left
+        place = np.zeros(codes.shape[1], np.uint8 if depth < 8 else np.uint32)
+        for level in range(depth):
+            first, right = 2**level - 1, np.zeros(codes.shape[1], bool)
+            for at in range(2**level):
+                node = first + at
+                if self.feature[node] >= 0:
+                    code, cut = codes[self.feature[node]], int(self.bin[node])
+                    own = code > cut if self.missing_left[node] else code - code.dtype.type(1) >= cut  # 0 - 1 is the largest
+                    right |= own & (place == at) if level else own
+            place = 2 * place + right
+        return ends[2**depth - 1 :][place]
 
 
 @dataclass
@@ -76,21 +88,28 @@ class Model:
 
     def codes(self, columns: list[np.ndarray]) -> np.ndarray:
         """Bins of values: bin k takes values over edge k - 1 up to edge k, counted from 1; 0 for missing ones."""
-        out = [np.where(np.isnan(v), 0, np.searchsorted(e, v, side="left") + 1) for e, v in zip(self.edges, columns, strict=True)]
-        return np.stack(out, axis=1)
+        kind = _kind(max(map(len, self.edges), default=0) + 1)
+        return np.stack([np.where(np.isnan(v), 0, np.searchsorted(e, v, side="left") + 1).astype(kind) for e, v in zip(self.edges, columns, strict=True)])
 
     def score(self, columns: list[np.ndarray]) -> np.ndarray:
         codes = self.codes(columns)
-        return 1 / (1 + np.exp(-(self.base + sum((t.value[t.place(codes)] for t in self.trees), np.zeros(len(codes))))))
+        return 1 / (1 + np.exp(-(self.base + sum((t.value[t.place(codes)] for t in self.trees), np.zeros(codes.shape[1])))))
+
+
+def _kind(most: int) -> type:
+    """Unsigned codes up to `most`."""
+    return np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
 
 
 def bin_edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     """For each feature at most bins - 1 edges: the middles between neighbouring values where there are at most `bins`, else
     the values at whose ranks the rows fall into `bins` equal parts, by running sums over counted values. Null and NaN are
     missing and have no part in it. Infinite values raise an error."""
-    out = []
-    for name in features:
+    out, path = [], scratch_path(rows.sparkSession, "edges")
+    for at, name in enumerate(features):
         own = rows.select(F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+        own.write.parquet(f"{path}/{at}")
+        own = rows.sparkSession.read.schema(own.schema).parquet(f"{path}/{at}")
         values = np.sort(own.select("v").limit(bins + 1).toPandas()["v"].to_numpy(float))
         if len(values) > bins:
             part = lambda rank: F.floor(rank * bins / F.col("all_n"))
@@ -111,57 +130,89 @@ def fit(rows: DataFrame, features: list[str], label: str, fold: str | None = Non
     number = F.lit(-1) if fold is None else F.col(fold).cast("int")
     taught = rows.where(F.col(label).isNotNull() & number.isNotNull())
     taught = taught.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], number.alias("fold"), (F.col(label).cast("double") > 0.5).cast("long").alias("y"))
-    edges = bin_edges(taught, [f"f{i}" for i in range(width)], c.bins)
     path = scratch_path(spark, "boosting")
-    cells = taught.select(_coded(edges, width).alias("codes"), "fold", "y").groupBy("codes", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    taught.write.parquet(f"{path}/taught")  # read once for each feature and once for the cells
+    taught = spark.read.schema(taught.schema).parquet(f"{path}/taught")
+    edges = bin_edges(taught, [f"f{i}" for i in range(width)], c.bins)
+    codes = [f"c{i}" for i in range(width)]
+    of = lambda f, what: F.sum(F.when(F.col("fold") == f, what).otherwise(0))
+    counts = [F.count("*").alias("n"), F.sum("y").alias("k"), *[of(f, F.lit(1)).alias(f"n{f}") for f in range(folds)], *[of(f, F.col("y")).alias(f"k{f}") for f in range(folds)]]
+    coded = taught.mapInArrow(_coded(edges, width), ", ".join([*[f"{x} int" for x in codes], "fold int", "y long"]))
+    cells = coded.groupBy(*codes).agg(*counts)
     cells.write.parquet(f"{path}/counted")
     cells = spark.read.schema(cells.schema).parquet(f"{path}/counted")
-    total = {r.fold: (r.n, r.k) for r in cells.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
+    total = cells.agg(F.count("*").alias("cells"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in cells.columns[width:]]).first()
     models, able = [], []
     for f in range(folds):
-        n, k = (sum(v[i] for g, v in total.items() if g != f) for i in (0, 1))
+        n, k = total.n - total[f"n{f}"], total.k - total[f"k{f}"]
         share = min(max(k / n if n else 0.0, 1e-3 if k in (0, n) else 0.0), 1 - 1e-3 if k in (0, n) else 1.0)
         models.append(Model(edges, math.log(share / (1 - share))))
         if 0 < k < n:
             able.append(f)
     if able and c.rounds:
-        _grow(spark, cells, models, able, width, path, c)
+        _grow(spark, cells, total.cells, models, able, width, path, c)
     return models
 
 
 def _coded(edges: list[np.ndarray], width: int):
+    """(features, fold, y) -> (codes, fold, y)."""
     model = Model(edges, 0.0)
 
-    @pandas_udf("array<int>")
-    def codes(*columns: pd.Series) -> pd.Series:
-        return pd.Series(list(model.codes([v.to_numpy(float) for v in columns])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in model.codes(values)], *batch.columns[width:]], [*[f"c{i}" for i in range(width)], "fold", "y"])
+
+    return run
+
+
+BLOCK_SCHEMA = "cells int, codes binary, n binary, k binary, raw binary"
+
 
-    return codes(*[F.col(f"f{i}") for i in range(width)])
+def _blocks(start: list[float], able: list[int], width: int, kind: type, size: int):
+    """Counted cells -> blocks: codes by feature; by model the rows outside its fold, the positives among them, and scores."""
 
+    def block(table: pa.Table) -> pa.RecordBatch:
+        columns = {x: table[x].to_numpy() for x in table.column_names}
+        codes = np.stack([columns[f"c{i}"] for i in range(width)]).astype(kind)
+        n, k = (np.stack([columns[x] - columns[f"{x}{f}"] for f in able]) for x in "nk")
+        raw = np.repeat(np.array(start)[:, None], table.num_rows, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (codes, n, k, raw)]], ["cells", "codes", "n", "k", "raw"])
 
-def _grow(spark, cells: DataFrame, models: list[Model], able: list[int], width: int, path: str, c: BoostConfig) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= size:
+                yield block(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield block(pa.Table.from_batches(held))
+
+    return run
+
+
+def _grow(spark, cells: DataFrame, n_cells: int, models: list[Model], able: list[int], width: int, path: str, c: BoostConfig) -> None:
     """Give each model in `able` its trees, a level of a tree of all of them in a pass."""
-    parts = -(-cells.count() // PART)
-    start = [models[f].base for f in able]
-    begun = cells.withColumn("raw", F.array(*map(F.lit, start)))
-    held = begun.coalesce(1) if parts == 1 else begun.repartition(parts)
-    held = _written(spark, held, f"{path}/0", parts)
+    parts, kind = -(-n_cells // PART), _kind(c.bins)
+    dealt = cells.coalesce(1) if parts == 1 else cells.repartition(parts)
+    held = _written(spark, dealt.mapInArrow(_blocks([models[f].base for f in able], able, width, kind, PART), BLOCK_SCHEMA), f"{path}/0", parts)
     recent: list[list[Tree]] = [[] for _ in able]
     for turn in range(c.rounds):
         if turn and turn % CUT == 0:
             older = held
-            held = _written(spark, held.mapInArrow(_advance(recent, width), held.schema), f"{path}/{turn}", parts)
+            held = _written(spark, held.mapInArrow(_advance(recent, width, kind), BLOCK_SCHEMA), f"{path}/{turn}", parts)
             older.unpersist()
             recent = [[] for _ in able]
         trees = [Tree.empty(c.depth) for _ in able]
         for level in range(c.depth):
-            sums = held.mapInArrow(_summed(recent, trees, able, level, width, c.bins + 1), "slot int, g long, h long, n long")
-            if parts > 1:  # the sums of a single task are whole as they are
+            sums = held.mapInArrow(_summed(recent, trees, level, width, kind, c.bins + 1), "slot int, g long, h long, n long")
+            if parts > FEW:
                 sums = sums.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
             sums = sums.toArrow()
             table = np.zeros((3, len(able) * 2**level * width * (c.bins + 1)), np.int64)
             for i, name in enumerate(("g", "h", "n")):
-                table[i, sums["slot"].to_numpy()] = sums[name].to_numpy()
+                np.add.at(table[i], sums["slot"].to_numpy(), sums[name].to_numpy())
             _split(table.reshape(3, len(able), 2**level, width, c.bins + 1), trees, level, c)
         for f, tree, own in zip(able, trees, recent, strict=True):
             models[f].trees.append(tree)
@@ -175,52 +226,55 @@ def _written(spark, df: DataFrame, path: str, parts: int) -> DataFrame:
     return (out.coalesce(1) if parts == 1 else out).persist()
 
 
-def _advance(recent: list[list[Tree]], width: int):
-    """Add the trees since the last writing to the rows' scores."""
+def _read(batch: pa.RecordBatch, at: int, width: int, kind: type) -> tuple[np.ndarray, ...]:
+    """(codes by feature, rows, positives and scores by model) of a block."""
+    return tuple(np.frombuffer(batch[name][at].as_buffer(), t).reshape(-1, batch["cells"][at].as_py()) for name, t in (("codes", kind), ("n", np.int64), ("k", np.int64), ("raw", np.float64)))
+
+
+def _advance(recent: list[list[Tree]], width: int, kind: type):
+    """Add the trees since the last writing to the cells' scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = _scored(batch, recent, width)
-            at = pa.array(np.arange(0, raw.size + 1, raw.shape[1]), pa.int32())
-            yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.ListArray.from_arrays(at, pa.array(raw.ravel())))
+            raw = []
+            for at in range(batch.num_rows):
+                codes, _, _, before = _read(batch, at, width, kind)
+                raw.append(np.stack([_scored(codes, x, trees) for x, trees in zip(before, recent, strict=True)]).tobytes())
+            yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(raw, pa.binary()))
 
     return run
 
 
-def _lists(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
-    """A column of lists of one length, a row each."""
-    return batch.column(name).flatten().to_numpy().reshape(-1, width)
-
-
-def _scored(batch: pa.RecordBatch, recent: list[list[Tree]], width: int) -> np.ndarray:
-    """Each row's score by each model."""
-    codes, raw = _lists(batch, "codes", width), _lists(batch, "raw", len(recent)).copy()
-    for m, trees in enumerate(recent):
-        for t in trees:
-            raw[:, m] += t.value[t.place(codes)]
+def _scored(codes: np.ndarray, raw: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """A model's scores of a block's cells."""
+    for t in trees:
+        raw = raw + t.value[t.place(codes)]
     return raw
 
 
-def _summed(recent: list[list[Tree]], trees: list[Tree], able: list[int], level: int, width: int, bins: int):
+def _summed(recent: list[list[Tree]], trees: list[Tree], level: int, width: int, kind: type, bins: int):
     """Sums of gradients, curvatures and rows for each model, node of the level, feature and bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, nodes = 2**level - 1, 2**level
-        sums = np.zeros((3, len(able) * nodes * width * bins), np.int64)
+        sums = np.zeros((3, len(trees), nodes, width, bins), np.int64)
         for batch in batches:
-            codes, raw = _lists(batch, "codes", width), _scored(batch, recent, width)
-            n, k, fold = (batch.column(x).to_numpy() for x in ("n", "k", "fold"))
-            for m, tree in enumerate(trees):
-                node = tree.place(codes) - first
-                live = (fold != able[m]) & (node >= 0)
-                p = 1 / (1 + np.exp(-raw[live, m]))
-                up, down, bend = (np.rint(x * STEPS).astype(np.int64) for x in (p, 1 - p, p * (1 - p)))
-                rows, hits = n[live], k[live]
-                values = (up * (rows - hits) - down * hits, bend * rows, rows)
-                for f in range(width):
-                    slot = ((m * nodes + node[live]) * width + f) * bins + codes[live, f]
-                    for i, v in enumerate(values):
-                        np.add.at(sums[i], slot, v)
+            for at in range(batch.num_rows):
+                codes, n, k, raw = _read(batch, at, width, kind)
+                for m, tree in enumerate(trees):
+                    node = tree.place(codes) - first
+                    live = np.flatnonzero((node >= 0) & (n[m] > 0))
+                    node, rows, hits = node[live], n[m, live], k[m, live]
+                    p = 1 / (1 + np.exp(-_scored(codes, raw[m], recent[m])[live]))
+                    up, down, bend = (np.rint(x * STEPS).astype(np.int64) for x in (p, 1 - p, p * (1 - p)))
+                    values = (up * (rows - hits) - down * hits, bend * rows, rows)
+                    for f in range(width):
+                        slot = node * bins + codes[f, live]
+                        for i, v in enumerate(values):
+                            own = np.zeros(nodes * bins, np.int64)
+                            np.add.at(own, slot, v)
+                            sums[i, m, :, f] += own.reshape(nodes, bins)
+        sums = sums.reshape(3, -1)
         slot = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *[pa.array(x[slot]) for x in sums]], names=["slot", "g", "h", "n"])
 
