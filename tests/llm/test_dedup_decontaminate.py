@@ -288,3 +288,26 @@ def test_templates_cost_no_memory_by_items():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert {f[1] for f in found} == {7} and max(f[2] for f in found) == 1.0 and peak < 100 << 20
+
+
+def test_what_a_step_no_longer_reads_is_freed(spark, documents, monkeypatch):
+    """Shuffle files go with the job that wrote a table, a run's tables with the last plan that reads them."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.storage import Scratch
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    held = lambda: {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+    before = held()
+    saved = Scratch(spark, "freed").save(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not held() - before and saved.count() == 7
+    roots = []
+    made = Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *of: (made(self, *of), roots.append((of[1], self.root)))[0])
+    words = [" ".join(f"w{(k * 7 + j) % 997}" for j in range(40)) for k in range(60)]
+    frame = documents(*[(k, words[k // 2] + (" more" if k % 2 else "")) for k in range(60)])
+    kept = minhash_dedup.drop_near_duplicates(frame)
+    left = [t for name, root in roots if name.startswith("minhash") for t in glob.glob(f"{root.removeprefix('file://').removeprefix('file:')}/*")]
+    assert len(left) == 1 and kept.count() == 30

@@ -307,12 +307,15 @@ def drop_near_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig()) -
     scratch = Scratch(docs.sparkSession, "minhash-drop")
     keyed, (file, place) = with_row_key(docs)
     read = texts(keyed, file, place)
-    judged = scratch.save(_judged(read, (file, place), scratch, config).where("n > 0"))
+    steps = Scratch(docs.sparkSession, "minhash-steps")
+    judged = scratch.save(_judged(read, (file, place), steps, config).where("n > 0"))
+    steps.clear()
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(file).alias("file"), F.col(place).alias("place"))
     first = judged.groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     first = scratch.save(first.select("node", F.col("first.file").alias("first_file"), F.col("first.place").alias("first_place")))
     stays = (F.col(file) == F.col("first_file")) & (F.col(place) == F.col("first_place"))
     gone = scratch.save(judged.join(first, "node").where(~stays).select(F.col(file).alias("gone_file"), F.col(place).alias("gone_place")))
+    scratch.drop(judged, first)
     few = gone.count() <= config.broadcast_ids // 4  # a file's name beside each
     same = (F.col(file) == F.col("gone_file")) & (F.col(place) == F.col("gone_place"))
     return keyed.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
