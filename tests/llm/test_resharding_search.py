@@ -3,8 +3,11 @@ import itertools
 import math
 import random
 import re
+import types
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +183,21 @@ def test_queries_of_hundreds_of_terms(spark, documents, shard_docs, query_words)
         got[r.query_id].append((round(-r.score, 9), r.doc_id))
     assert dict(got) == brute(docs, queries, config)
     assert got[90][0][1] == 0 and got[91][0][1] == 7
+
+
+def test_exact_scores_come_from_the_documents_own_postings(monkeypatch):
+    """Scores of chosen documents against sums over all terms, without a matrix of documents by the query's terms."""
+    monkeypatch.setattr(bm25_search.TaskContext, "get", staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"v{k}" for k in range(300)], k=rng.randint(0, 60))) for _ in range(80)]
+    config = bm25_search.SearchConfig()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    shard = bm25_search.Shard(next(bm25_search._build(config)(iter([batch]))), 30.0, config)
+    at = np.array(rng.sample(range(len(shard.terms)), 200))
+    idfs = np.array([rng.random() for _ in at])
+    want = np.zeros(80)
+    for term, idf in sorted(zip(at.tolist(), idfs.tolist(), strict=True)):
+        own = slice(shard.starts[term], shard.starts[term + 1])
+        want[shard.docs[own]] += shard.adds[own] * idf
+    monkeypatch.setattr(np, "tile", lambda *a: pytest.fail("documents by terms"))
+    assert shard.exact(at, idfs, np.arange(80)).tolist() == want.tolist()
