@@ -94,3 +94,26 @@ def test_rounded_distances_are_compared(spark, size, pivots):
         near = sorted((float(np.floor(np.hypot(v[0] - r[3][0], v[1] - r[3][1]) * 10 + 0.5) / 10), r[2]) for r in rows if r[0] == block and r[1] < at)
         want |= {(i, m, d, place + 1) for place, (d, m) in enumerate(near[:4])}
     assert {(r.id, r.match, r.distance, r.place) for r in found} == want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_travel_by_units(spark, kind):
+    """Where pivots rule out nothing, pairs of units are planned, not pairs of cells with the vectors of both in each."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (1500, 24)).astype(np.float32)
+    rows = [(k % 2, k, k, [float(x) for x in v[k]], "x") for k in range(1500)]
+    table = frame(spark, rows).withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    index = retrieval.Index(table, "v", ["block"], "at", "id", 4, size=16, pivots=8)
+    assert index.planned.agg(F.sum("rows")).first()[0] > 0.8 * 2 * 750 * 750 / 2
+    assert index.planned.count() <= 2 * 8 * 9 / 2
+    assert {(r.id, r.match, round(r.distance, 9), r.place) for r in index.matches().collect()} == all_pairs(rows, 4, 1)
+
+
+def test_rows_close_beside_the_farthest(spark):
+    """32-bit products can't part vectors a millionth of the farthest norm from each other."""
+    rng = np.random.default_rng(5)
+    rows = [(0, k, k, [1e6 + float(x) for x in rng.integers(0, 9, 3)], "x") for k in range(400)]
+    rows += [(0, 400 + k, 400 + k, [float(x) for x in rng.uniform(-1e9, 1e9, 3)], "x") for k in range(5)]
+    index = retrieval.Index(frame(spark, rows), "v", ["block"], "at", "id", 3, size=16, pivots=4)
+    want = {(i, m, place) for i, m, _, place in all_pairs(rows, 3, 1)}
+    assert {(r.id, r.match, r.place) for r in index.matches().collect()} == want

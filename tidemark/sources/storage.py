@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # lazy results may read it until the session ends
     return root
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Free a folder that no later plan reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the plans that run inside; those of before come back."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
