@@ -201,3 +201,48 @@ def test_exact_scores_come_from_the_documents_own_postings(monkeypatch):
         want[shard.docs[own]] += shard.adds[own] * idf
     monkeypatch.setattr(np, "tile", lambda *a: pytest.fail("documents by terms"))
     assert shard.exact(at, idfs, np.arange(80)).tolist() == want.tolist()
+
+
+def test_a_shard_is_unfolded_once_for_many_blocks(monkeypatch):
+    """Rows of one shard and several blocks of queries in a task; the k best are those of all shards."""
+    monkeypatch.setattr(bm25_search.TaskContext, "get", staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"v{k}" for k in range(300)], k=rng.randint(1, 60))) for _ in range(120)]
+    config = bm25_search.SearchConfig(k=3, shard_docs=40)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 20), pa.int64()), pa.array(texts[k : k + 20])], ["doc_id", "text"]) for k in range(0, 120, 20)]
+    index = list(bm25_search._build(config)(iter(batches)))
+    read = lambda own, c, t: np.frombuffer(own[c][0].as_buffer(), t)
+    vocabulary = sorted(read(index[0], "terms", np.int64).tolist())
+    idf = {t: 1.0 + k % 7 for k, t in enumerate(vocabulary)}
+    asked = {q: rng.sample(vocabulary, 25 if q % 2 else 5) for q in range(8)}
+    packs = []
+    for part in range(4):
+        rows = [(q, t, idf[t], 0.0, part) for q in (2 * part, 2 * part + 1) for t in asked[q]]
+        packs.append(bm25_search._pack(pa.table(dict(zip(("query_id", "term", "idf", "floor", "part"), zip(*rows, strict=True), strict=True)))).to_batches()[0])
+    rows, sums = [], {q: collections.defaultdict(float) for q in asked}
+    for own in index:
+        rows += [pa.RecordBatch.from_arrays([*own.columns, *pack.columns], [*own.schema.names, *pack.schema.names]) for pack in packs]
+        terms, starts, docs, tfs, ids, lengths = (read(own, c, t) for c, t in (("terms", np.int64), ("starts", np.int32), ("docs", np.uint16), ("tfs", np.uint8), ("doc_ids", np.int64), ("lengths", np.int32)))
+        lists = {t: range(starts[k], starts[k + 1]) for k, t in enumerate(terms.tolist())}
+        for q, own_terms in asked.items():
+            for t in own_terms:
+                for p in lists.get(t, ()):
+                    sums[q][int(ids[docs[p]])] += idf[t] * int(tfs[p]) * (config.k1 + 1) / (int(tfs[p]) + config.k1 * (1 - config.b + config.b * int(lengths[docs[p]]) / 30.0))
+    built, shard = [], bm25_search.Shard
+    monkeypatch.setattr(bm25_search, "Shard", lambda row, *a: built.append(row["shard"][0].as_py()) or shard(row, *a))
+    got = collections.defaultdict(list)
+    for batch in bm25_search._search(30.0, config)(iter(rows)):
+        for r in batch.to_pylist():
+            got[r["query_id"]].append((round(-r["score"], 9), r["doc_id"]))
+    assert built == [own["shard"][0].as_py() for own in index] and len(index) == 3
+    assert got == {q: sorted((round(-s, 9), d) for d, s in own.items())[:3] for q, own in sums.items()}
+
+
+def test_a_small_tail_joins_the_shard_before_it(monkeypatch):
+    monkeypatch.setattr(bm25_search.TaskContext, "get", staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    config = bm25_search.SearchConfig(shard_docs=40)
+    for n, want in ((40, [40]), (45, [45]), (60, [40, 20]), (85, [40, 45]), (3, [3])):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(k, min(k + 5, n)), pa.int64()), pa.array([f"a{i} b" for i in range(k, min(k + 5, n))])], ["doc_id", "text"]) for k in range(0, n, 5)]
+        index = list(bm25_search._build(config)(iter(batches)))
+        assert [own["n_docs"][0].as_py() for own in index] == want and len({own["shard"][0].as_py() for own in index}) == len(want)
+        assert np.concatenate([np.frombuffer(own["doc_ids"][0].as_buffer(), np.int64) for own in index]).tolist() == list(range(n))
